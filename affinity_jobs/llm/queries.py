@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, langid, media, mixing
 
 
 def queries() -> dict:
-    return {"op9_mixing": mixing.op9}
+    return {
+        "op3_bpe": bpe.op3,
+        "op5_langid": langid.op5,
+        "op8_media": media.op8,
+        "op9_mixing": mixing.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
