@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing
+from . import bpe, langid, media, mixing, ngram_lm, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2,
         "op3_bpe": bpe.op3,
         "op5_langid": langid.op5,
+        "op6_lm": ngram_lm.op6,
         "op8_media": media.op8,
         "op9_mixing": mixing.op9,
     }
