@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media, mixing, ngram_lm, toxicity
+from . import bpe, embed_dedup, langid, media, mixing, ngram_lm, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_lm": ngram_lm.op6,
         "op8_media": media.op8,
         "op9_mixing": mixing.op9,
+        "op10_embed_dedup": embed_dedup.op10,
     }
 
 
