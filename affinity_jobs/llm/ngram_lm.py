@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, checkpoint_dir, fold, mix64, text_chunks, words
+from .common import U, checkpoint_dir, chunks, cut, fold, mix64, text_chunks, words
 
-CHUNK = 1 << 23
+#: Bytes of text counted or scored at once; they are hashed in smaller pieces.
+CHUNK = 5 << 20
 SHARD_BYTES = 1 << 23
 END, BEGIN = mix64(np.array([11, 12], dtype=U))
 UNI, BI, HIST, CONT = range(4)
@@ -56,7 +57,9 @@ def add_up(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, lis
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all rows with an end after each, the words before them, and the rows' first places."""
-    found, at = words(data, offsets)
+    pieces = [words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
+    found = np.concatenate([p[0] for p in pieces]) if pieces else np.zeros(0, U)
+    at = np.r_[0, np.cumsum(np.concatenate([np.diff(p[1]) for p in pieces]))] if pieces else np.zeros(1, np.int64)
     token = np.insert(found, at[1:], END)
     starts = at[:-1] + np.arange(len(at) - 1)
     before = np.r_[BEGIN, token[:-1]].astype(U)
@@ -257,8 +260,6 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
 
     schema = "kind int, shard int, blob binary"
     level1 = docs.select(text).mapInArrow(count, schema).groupBy("kind", "shard").applyInArrow(first_level, schema)
-    from .common import cut
-
     level1 = cut(level1, "lm-words")
     level2 = level1.where("kind >= 0").groupBy("kind", "shard").applyInArrow(second_level, schema)
     found = {kind: np.zeros(6, np.int64) for kind in range(4)}
