@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, langid, media, mixing, ngram_lm, toxicity
+from . import bpe, embed_dedup, html_text, langid, media, mixing, near_dedup, ngram_lm, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": near_dedup.op1,
         "op2_toxicity": toxicity.op2,
         "op3_bpe": bpe.op3,
+        "op4_html_text": html_text.op4,
         "op5_langid": langid.op5,
         "op6_lm": ngram_lm.op6,
+        "op7_suffix_dedup": suffix_dedup.op7,
         "op8_media": media.op8,
         "op9_mixing": mixing.op9,
         "op10_embed_dedup": embed_dedup.op10,

@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinity_jobs.llm import mixing
-from affinity_jobs.llm.common import cut, table
+from affinity_jobs.llm import bpe, langid, mixing, near_dedup, suffix_dedup
+from affinity_jobs.llm.common import cut, fold, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that training documents have; those without a letter go."""
+    model = langid.fit(docs.where(fold(F.col("doc_id")) != 0))
+    found = langid.identify(docs, model)
+    return found.where("lang_pred != 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one of least id."""
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 100 bytes that an earlier document has; ``n_chars`` follows."""
+    out = suffix_dedup.deduplicate(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each text and of what its tokens decode to."""
+    return bpe.digests(docs, bpe.default_path())
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("mixing", mix_sources), ("encoding", encode)]
 
 #: Suffix sorting, language models and byte-pair merges have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
