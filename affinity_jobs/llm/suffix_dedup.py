@@ -6,7 +6,7 @@ occurrence is a short segment of text. Segments whose minimizer occurs once are
 segments are aggregated to their first place; the others' windows all start earlier. Different segments of
 one minimizer are compared in a shard: suffixes are sorted by induction, permuted common prefixes follow,
 and among windows that share 100 bytes all but the first are repeats. Minimizers with very many different
-segments are compared by window hashes instead, which aggregate before they move.
+segments are dealt anew by minimizers of longer grams, at last of whole windows, in the same way.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import U, cut, mix64, powers, prefix_hash, span_hash, text_bytes, text_chunks
 
-LENGTH, GRAM = 100, 24
+LENGTH = 100
+#: Minimizer grams: the first deals all windows; hot minimizers are dealt anew by longer ones, at last by whole windows.
+GRAMS = (24, 64, 92, 100)
 #: Longer documents are read in pieces that overlap by a window.
 PIECE = 1 << 22
 HOT = 64
@@ -225,41 +227,73 @@ def run_rows(docs: DataFrame, length: int, gram: int, only_keys: bool = False) -
     return docs.mapInArrow(run, "mh long" if only_keys else "doc_id long, start long, many int, mh long, code long")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, start, many``: windows (from ``start`` on, ``many``) that also start earlier. ``docs`` is ``doc_id, text``."""
+    grams = [*[g for g in GRAMS if g < length], length]
+    gram = grams[0]
     shared = run_rows(docs, length, gram, only_keys=True).groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh")
     runs = cut(run_rows(docs, length, gram).join(shared, "mh", "left_semi"), "runs")
-    place = F.struct("doc_id", "start", "many")
-    segments = cut(runs.groupBy("mh", "code").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "segments")
-    copied = segments.where("c > 1").select(F.col("mh").alias("m"), F.col("code").alias("k"), "first")
-    later = runs.join(copied, (F.col("mh") == F.col("m")) & (F.col("code") == F.col("k")) & (place != F.col("first"))).select("doc_id", "start", "many")
-    different = segments.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    rivals = segments.join(different, "mh").select("mh", "d", "first.doc_id", "first.start", "first.many")
+    later, rivals = sorted_out(runs, F.struct("doc_id", "start", "many"))
     rivals = cut(rivals, "rivals")
     wanted = rivals.groupBy("doc_id").agg(F.collect_list(F.struct("mh", "d", "start", "many")).alias("spans"))
     texts = wanted.join(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id")
 
     def read(batches):
-        """Each span's bytes; of hot minimizers one row for each window, known by its hash."""
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, spans in enumerate(batch.column("spans")):
-                text = data[offsets[i] : offsets[i + 1]]
-                rows: list[tuple] = []
-                for s in spans.as_py():
-                    part = text[s["start"] : s["start"] + s["many"] + length - 1]
-                    if s["d"] > HOT:
-                        prefix = prefix_hash(part)
-                        w = np.arange(s["many"])
-                        rows += [(h, s["start"] + k, 1, None) for k, h in enumerate(span_hash(prefix, w, w + length).view(np.int64).tolist())]
-                    else:
-                        rows.append((s["mh"], s["start"], s["many"], part.tobytes()))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), ids[i])), *[pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)]], ["doc_id", "mh", "start", "many", "bytes"])
-
-    rows = cut(texts.select("doc_id", "text", "spans").mapInArrow(read, "doc_id long, mh long, start long, many int, bytes binary"), "rival-bytes")
-    shards = max(1, rows.where("bytes IS NOT NULL").count() // SHARD_SEGMENTS)
+                text, found = data[offsets[i] : offsets[i + 1]], spans.as_py()
+                parts = [text[s["start"] : s["start"] + s["many"] + length - 1].tobytes() for s in found]
+                columns = [pa.array([s[c] for s in found], k) for c, k in (("mh", pa.int64()), ("d", pa.int64()), ("start", pa.int64()), ("many", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), ids[i])), *columns, pa.array(parts, pa.binary())], ["doc_id", "mh", "d", "start", "many", "bytes"])
+
+    rows = cut(texts.select("doc_id", "text", "spans").mapInArrow(read, "doc_id long, mh long, d long, start long, many int, bytes binary"), "rival-bytes")
+    found = [later]
+    for gram in [*grams[1:], length]:
+        cold = rows.where(F.col("d") <= HOT)
+        found.append(compared(cold, max(1, cold.count() // SHARD_SEGMENTS), length))
+        hot = rows.where(F.col("d") > HOT)
+        if hot.isEmpty():
+            break
+        later, rows = sorted_out(finer_runs(hot, length, gram), F.struct("doc_id", "start", "many", "bytes"))
+        found.append(later)
+        rows = cut(rows, "rival-bytes")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def sorted_out(runs: DataFrame, place) -> tuple[DataFrame, DataFrame]:
+    """Runs equal to an earlier run, and the first ones of each minimizer that has different ones (``d`` of them)."""
+    segments = cut(runs.groupBy("mh", "code").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "segments")
+    copied = segments.where("c > 1").select(F.col("mh").alias("m"), F.col("code").alias("k"), F.col("first.doc_id").alias("d0"), F.col("first.start").alias("s0"))
+    same = (F.col("mh") == F.col("m")) & (F.col("code") == F.col("k"))
+    later = runs.join(copied, same & ((F.col("doc_id") != F.col("d0")) | (F.col("start") != F.col("s0")))).select("doc_id", "start", "many")
+    different = segments.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    return later, segments.join(different, "mh").select("mh", "d", "first.*")
+
+
+def finer_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs of rows' bytes by minimizers of longer grams; at ``length`` each window is its own run."""
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4096):
+                part = batch.slice(begin, 4096)
+                blobs = part.column(2).to_pylist()
+                data = np.frombuffer(b"".join(blobs), np.uint8)
+                offsets = np.r_[0, np.cumsum([len(b) for b in blobs])].astype(np.int64)
+                row, start, many, key, code = window_runs(data, offsets, length, gram)
+                pieces = [blobs[r][s : s + m + length - 1] for r, s, m in zip(row.tolist(), start.tolist(), many.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(part.column(1).to_numpy()[row] + start), pa.array(many.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(code.view(np.int64)), pa.array(pieces, pa.binary())], ["doc_id", "start", "many", "mh", "code", "bytes"])
+
+    return rows.select("doc_id", "start", "bytes").mapInArrow(run, "doc_id long, start long, many int, mh long, code long, bytes binary")
+
+
+def compared(rows: DataFrame, shards: int, length: int) -> DataFrame:
+    """Repeats among different segments of one minimizer, by the suffix arrays of shards of segments."""
 
     def compare(table: pa.Table) -> pa.Table:
         ids, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
@@ -269,12 +303,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         k = order[[f[0] for f in found]] if found else np.zeros(0, np.int64)
         return pa.table({"doc_id": ids[k], "start": start[k] + np.array([f[1] for f in found], np.int64), "many": pa.array([f[2] for f in found], pa.int32())})
 
-    schema = "doc_id long, start long, many int"
-    cold = rows.where("bytes IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("mh"), F.lit(shards))).groupBy("shard").applyInArrow(compare, schema)
-    hot = rows.where("bytes IS NULL").select("mh", "doc_id", "start")
-    firsts = hot.groupBy("mh").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("mh").alias("m"), "first")
-    seen = hot.join(firsts, (F.col("mh") == F.col("m")) & (F.struct("doc_id", "start") != F.col("first"))).select("doc_id", "start", F.lit(1).alias("many"))
-    return later.unionByName(cold).unionByName(seen)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("mh"), F.lit(shards))).groupBy("shard").applyInArrow(compare, "doc_id long, start long, many int")
 
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
