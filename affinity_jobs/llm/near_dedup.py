@@ -8,8 +8,8 @@ agreement of compressed values; pairs near or above the threshold are confirmed
 
 Large groups: equal sets form one class first. In the star rounds each document meets a few of its buckets'
 centres, and components form. What is left to decide are pairs of different components within a bucket;
-these are compared in blocks, and only pairs whose estimate can reach the threshold leave a block. Pairs
-inside a component cannot change the result and are never made.
+these are compared in blocks, on full sets where the estimate allows a link, and only links leave a block.
+Pairs inside a component cannot change the result and are never made.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, text_chunks, words
+from .common import U, cut, mix64, text_bytes, text_chunks, words
 from .graph import components
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
@@ -96,6 +96,16 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard index of two sets is ``percent`` hundredths or more."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, s1, s2, regs``: set size, two sums that identify the set, and registers."""
 
@@ -140,12 +150,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 near = estimate(x, y, part.column(4).to_numpy(), part.column(5).to_numpy()) >= floor
                 part = part.filter(pa.array(near))
                 sets = [[s for _, _, data, offsets in text_chunks(part.column(c)) for s in shingle_sets(data, offsets, size)] for c in (6, 7)]
-                hit = []
-                for p, q in zip(*sets, strict=True):
-                    both = np.concatenate([p, q])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    hit.append(100 * common >= percent * (len(p) + len(q) - common))
+                hit = [linked(p, q, percent) for p, q in zip(*sets, strict=True)]
                 part = part.filter(pa.array(hit, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
@@ -154,11 +159,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def block_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket whose estimate can reach the threshold.
+def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components within a bucket, enough to join all that any link joins.
 
     ``members`` is ``key, doc, label``. A bucket's largest component need not meet itself, so its rows stand
-    once in each block of the others; the others stand in every block.
+    once in each block of the others; the others stand in every block. A block confirms pairs on full sets,
+    skips those that its links have already joined, and returns fewer links than it has rows.
     """
     floor = least_estimate(percent / 100)
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -167,19 +173,30 @@ def block_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     rows = members.join(about, "key").withColumn("h", F.xxhash64("doc"))
     own = rows.select("key", "doc", "label", F.pmod("h", F.col("down")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(0).alias("side"))
     other = rows.where("label != main").select("key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod("h", F.col("across")).cast("int").alias("j"), F.lit(1).alias("side"))
-    cells = own.unionByName(other).join(texts.select(F.col("doc_id").alias("doc"), "n", "regs"), "doc").select("key", "i", "j", "side", "doc", "label", "n", "regs")
+    cells = own.unionByName(other).join(texts.select(F.col("doc_id").alias("doc"), "n", "regs", "text"), "doc").select("key", "i", "j", "side", "doc", "label", "n", "regs", "text")
 
     def run(table: pa.Table) -> pa.Table:
         side, doc, label, n = (table.column(c).to_numpy() for c in ("side", "doc", "label", "n"))
         regs = np.frombuffer(b"".join(x.as_py() for x in table.column("regs")), np.uint16).reshape(-1, REGISTERS)
-        down = side == 0
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in np.flatnonzero(~down):
-            near = down & (label != label[k])
-            hit = np.flatnonzero(near)[estimate(regs[near], regs[k], n[near], n[k : k + 1]) >= floor]
-            a.append(np.minimum(doc[hit], doc[k]))
-            b.append(np.maximum(doc[hit], doc[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        text, sets, group = table.column("text"), {}, np.unique(label, return_inverse=True)[1]
+
+        def full_set(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets(*text_bytes(text.slice(k, 1)), size)[0]
+            return sets[k]
+
+        links = []
+        for k in np.flatnonzero(side == 1).tolist():
+            near = np.flatnonzero((side == 0) & (group != group[k]))
+            if not len(near):
+                continue
+            guess = estimate(regs[near], regs[k], n[near], n[k : k + 1])
+            for i in near[np.argsort(-guess, kind="stable")][: int((guess >= floor).sum())].tolist():
+                if group[i] == group[k] or not linked(full_set(i), full_set(k), percent):
+                    continue
+                links.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
+                group[group == group[i]] = group[k]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -202,7 +219,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     involved = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = cut(rows.join(classes.join(involved, "doc_id").select("doc_id", "n", "regs"), "doc_id").dropDuplicates(["doc_id"]), "candidates")
     links = members.sparkSession.createDataFrame([], "a long, b long")
-    label = members
     for turn in range(STAR_ROUNDS):
         centre = members.groupBy("key").agg(F.min(F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("k"), "doc")).getField("doc").alias("centre"))
         meet = label_of(members, links) if turn else members.withColumn("label", F.col("doc"))
@@ -216,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     label = label_of(members, links)
     mixed = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
     rest = cut(label.join(mixed, "key"), "open-buckets")
-    links = cut(links.unionByName(confirmed(block_pairs(rest, texts, percent), texts, size, percent)), "doc-links")
+    links = cut(links.unionByName(block_links(rest, texts, size, percent)), "doc-links")
     found = components(links)
     about = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
     linked = some.select("doc_id", "n", "s1", "s2").join(about, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
