@@ -101,7 +101,7 @@ def pool(df: DataFrame, keys: list[str], vector: str, how: str = "sum") -> DataF
     kinds = {"sum": [F.sum(x)], "max": [F.max(x)], "mean": [F.avg(x)], "max_mean": [F.max(x), F.avg(x)]}[how]
     cells = rows.groupBy(*keys, "_at").agg(*[k.alias(f"_x{i}") for i, k in enumerate(kinds)])
     lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", *[f"_x{i}" for i in range(len(kinds))]))).alias("_v"))
-    return lists.select(*keys, F.concat(*[F.transform("_v", lambda e, i=i: e[f"_x{i}"]) for i in range(len(kinds))]).alias(vector))
+    return lists.select(*keys, F.concat(*[F.col(f"_v._x{i}") for i in range(len(kinds))]).alias(vector))
 
 
 def _propagate(nodes: DataFrame, arcs: DataFrame, weight: Column | None, own: Column) -> DataFrame:

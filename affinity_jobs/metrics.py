@@ -61,13 +61,17 @@ def concordant(y: np.ndarray, f: np.ndarray) -> tuple[float, int]:
     return credit, comparable
 
 
+def _below(column: str):
+    return lambda edge: edge < F.col(column)
+
+
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, y: str, f: str) -> DataFrame:
     """Rows with buckets of y and f, equal values always together."""
     out = df
     for column, name in ((y, "_by"), (f, "_bf")):
         edges = F.percentile_approx(column, [float(i) / buckets for i in range(1, buckets)]).alias("_edges")
         cuts = df.groupBy(*keys).agg(edges)
-        out = out.join(cuts, keys).withColumn(name, F.size(F.filter("_edges", lambda e, c=column: e < F.col(c)))).drop("_edges")
+        out = out.join(cuts, keys).withColumn(name, F.size(F.filter("_edges", _below(column)))).drop("_edges")
     return out
 
 
@@ -111,7 +115,7 @@ def epoch_progress(df: DataFrame, keys: list[str], epoch: str = "epoch", metric:
     value = F.when(~F.isnan(metric), F.col(metric))
     before = F.least(F.coalesce(F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(START)), F.lit(START))
     out = df.withColumn("_before", before).withColumn("improved", F.coalesce(value < F.col("_before"), F.lit(False)))
-    out = out.withColumn("best", F.when("improved", F.col(metric)).otherwise(F.col("_before")))
+    out = out.withColumn("best", F.when(F.col("improved"), F.col(metric)).otherwise(F.col("_before")))
     last = F.last(F.when(F.col("improved"), F.col(epoch)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("best_epoch", F.coalesce(last, F.lit(-1))).drop("_before")
 

@@ -68,9 +68,15 @@ def normalize_pocket(pocket: Column) -> Column:
     return F.translate(F.trim(F.coalesce(pocket, F.lit(""))), "-", "_")
 
 
-def pocket_summary(pocket: Column) -> tuple[Column, Column, Column]:
-    """Residue composition, share of hydrophobic residues, and net charge per residue; letters only."""
-    letters = F.regexp_replace(pocket, r"[^\p{L}]", "")
+def pocket_letters(pocket: Column) -> Column:
+    return F.regexp_replace(pocket, r"[^\p{L}]", "")
+
+
+def pocket_summary(letters: Column) -> tuple[Column, Column, Column]:
+    """Residue composition, share of hydrophobic residues, and net charge per residue of ``pocket_letters``.
+
+    Give it a column rather than an expression: each kind of letter looks at it once.
+    """
     n = F.length(letters)
 
     def count(residues: str) -> Column:
@@ -91,8 +97,9 @@ def gatekeeper_hinge(pocket: Column) -> tuple[Column, Column]:
 
 def structure_columns(df: DataFrame) -> DataFrame:
     """Feature columns of rows that have a structure's fields."""
-    pocket = normalize_pocket(F.col("pocket"))
-    composition, share, charge = pocket_summary(pocket)
+    df = df.withColumn("pocket", normalize_pocket(F.col("pocket"))).withColumn("_letters", pocket_letters(F.col("pocket")))
+    pocket = F.col("pocket")
+    composition, share, charge = pocket_summary(F.col("_letters"))
     gate, hinge = gatekeeper_hinge(pocket)
     found = is_resolved(F.col("structure_ID"))
     some = lambda c: F.when(found, c).otherwise("")
@@ -102,7 +109,7 @@ def structure_columns(df: DataFrame) -> DataFrame:
         "pocket_hydrophobicity": some(share.cast("string")), "pocket_charge": some(charge.cast("string")), "dfg_state": some(text_or_blank(F.col("DFG"))),
         "ac_helix_state": some(text_or_blank(F.col("aC_helix"))), "activation_loop_state": some(text_or_blank(F.col("Grich_rotation"))),
     }
-    return df.withColumns(columns)
+    return df.withColumns(columns).drop("_letters")
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
