@@ -135,7 +135,7 @@ def spearman_by_group(spark, d):
 
 
 def ci_by_group(spark, d):
-    return metrics.concordance_index(scored_lines(spark, d, "l_suppkey"), ["l_suppkey"]).select("l_suppkey", F.round("ci", 6).alias("ci"))
+    return metrics.concordance_index(scored_lines(spark, d, "l_suppkey"), ["l_suppkey"], buckets=4).select("l_suppkey", F.round("ci", 6).alias("ci"))
 
 
 def epoch_progress(spark, d):
