@@ -3,8 +3,8 @@
 A page is a sequence of words and tags. Words score positive; a tag scores negative by how much commoner
 it is outside the article than inside, counted on a bounded sample of labelled pages: those that mark
 their article with an ``article`` or ``main`` element. One linear scan finds the region of the greatest
-sum. Elements that are never article text (menus, forms, adverts, comments ...) score negative inside the
-scan and are left out of the region's text.
+sum. An element that is never article text (menus, forms, adverts, comments ...) costs a little as a whole
+and is left out of the region's text.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 40_000
 #: Costs of a tag: least, greatest, and of one never seen in training.
 LEAST, MOST, UNSEEN = 0.02, 6.0, 0.5
-#: Score of a word in an element that is never article text.
-AWAY = -1.0
+#: Cost of an element that is never article text, whatever it holds.
+AWAY = 1.0
 
 #: Element names and the words in class, id and role that mark other content.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select")
@@ -116,11 +116,13 @@ def extract(page: str | None, cost: dict[str, float]) -> str:
     found = tokens(page)
     hidden = away(found)
     best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (name, text, end, _) in enumerate(found):
-        if name:
+    for i, (name, text, end, opens) in enumerate(found):
+        if hidden[i]:
+            total -= AWAY * opens
+        elif name:
             total -= cost.get("/" * end + name, UNSEEN)
         else:
-            total += len(text.split()) * (AWAY if hidden[i] else 1.0)
+            total += len(text.split())
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
