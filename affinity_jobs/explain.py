@@ -118,7 +118,7 @@ def describe_atoms(df: DataFrame, atoms: DataFrame, key: str = "sample_id") -> D
 
 def output_columns(df: DataFrame) -> DataFrame:
     """List columns as JSON text, components sorted."""
-    return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", F.array_sort))})
+    return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", lambda c: F.array_sort(c)))})
 
 
 def explain(samples: DataFrame, adj: DataFrame, score, *, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL, k: int | None = None) -> DataFrame:
