@@ -232,6 +232,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     grams = [*[g for g in GRAMS if g < length], length]
     gram = grams[0]
     shared = run_rows(docs, length, gram, only_keys=True).groupBy("mh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mh")
+    shared = cut(shared, "shared")  # so that the join shuffles both sides and splits hot minimizers
     runs = cut(run_rows(docs, length, gram).join(shared, "mh", "left_semi"), "runs")
     later, rivals = sorted_out(runs, F.struct("doc_id", "start", "many"))
     rivals = cut(rivals, "rivals")
@@ -271,7 +272,7 @@ def sorted_out(runs: DataFrame, place) -> tuple[DataFrame, DataFrame]:
     copied = segments.where("c > 1").select(F.col("mh").alias("m"), F.col("code").alias("k"), F.col("first.doc_id").alias("d0"), F.col("first.start").alias("s0"))
     same = (F.col("mh") == F.col("m")) & (F.col("code") == F.col("k"))
     later = runs.join(copied, same & ((F.col("doc_id") != F.col("d0")) | (F.col("start") != F.col("s0")))).select("doc_id", "start", "many")
-    different = segments.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    different = cut(segments.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "different")
     return later, segments.join(different, "mh").select("mh", "d", "first.*")
 
 
