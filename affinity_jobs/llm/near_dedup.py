@@ -9,7 +9,9 @@ agreement of compressed values; pairs near or above the threshold are confirmed
 Large groups: equal sets form one class first. In the star rounds each document meets a few of its buckets'
 centres, and components form. What is left to decide are pairs of different components within a bucket;
 these are compared in blocks, on full sets where the estimate allows a link, and only links leave a block.
-Pairs inside a component cannot change the result and are never made.
+Pairs inside a component cannot change the result and are never made. What is summed up for each bucket is
+written before it is joined with the bucket's rows, so that the join shuffles both sides and a bucket with very
+many rows is split.
 """
 
 from __future__ import annotations
@@ -214,23 +216,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "regs")).alias("x")).select("n", "s1", "s2", F.col("x.doc_id").alias("doc_id"), F.col("x.regs").alias("regs"))
     classes = cut(classes, "sets")
     every = bands(classes)
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
     members = cut(every.join(shared, "key"), "buckets")
     involved = members.select(F.col("doc").alias("doc_id")).distinct()
     texts = cut(rows.join(classes.join(involved, "doc_id").select("doc_id", "n", "regs"), "doc_id").dropDuplicates(["doc_id"]), "candidates")
     links = members.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(STAR_ROUNDS):
-        centre = members.groupBy("key").agg(F.min(F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("k"), "doc")).getField("doc").alias("centre"))
-        meet = label_of(members, links) if turn else members.withColumn("label", F.col("doc"))
-        meet = meet.join(centre, "key").where("doc != centre")
-        if turn:
-            meet = meet.join(label_of(centre.select(F.col("centre").alias("doc")).distinct(), links).select(F.col("doc").alias("centre"), F.col("label").alias("other")), "centre").where("label != other")
+        labelled = label_of(members, links) if turn else members.withColumn("label", F.col("doc"))
+        first = F.min(F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("k"), "doc", "label"))
+        centre = cut(labelled.groupBy("key").agg(first.alias("c")).select("key", F.col("c.doc").alias("centre"), F.col("c.label").alias("other")), "centres")
+        meet = labelled.join(centre, "key").where("doc != centre AND label != other")
         votes = meet.groupBy("doc", "centre").agg(F.count(F.lit(1)).alias("votes"))
         best = votes.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "centre"))).where(F.col("k") <= STAR_CENTRES if turn else F.col("k") == 1)
         pairs = best.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         links = cut(links.unionByName(confirmed(pairs, texts, size, percent)), "doc-links")
     label = label_of(members, links)
-    mixed = label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    mixed = cut(label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key"), "mixed")
     rest = cut(label.join(mixed, "key"), "open-buckets")
     links = cut(links.unionByName(block_links(rest, texts, size, percent)), "doc-links")
     found = components(links)
