@@ -2,7 +2,8 @@
 
 Every round points each node's larger neighbours, then its smaller ones, at the least node in reach, so
 paths shrink to stars in a number of rounds that grows with the log of their length. A round is joins and
-partial aggregates on nodes; its result is written to the shared folder.
+partial aggregates on nodes; its result is written to the shared folder. Rounds end when only stars are left:
+when each larger end of a link has that one link and is no smaller end.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from .common import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` of every linked node: the least node that it reaches. Loops and repeats are ignored."""
     stars = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    stars, before = cut(stars, "links"), None
-    while True:
+    stars = cut(stars, "links")
+    while not settled(stars):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,7 +26,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(least, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         stars = cut(small.distinct(), "stars")
-        state = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)).alias("h")).first()
-        if state == before or not state["n"]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def settled(links: DataFrame) -> bool:
+    """Whether links ``u > v`` are stars around their least nodes."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    most = ends.groupBy("node").agg((F.sum("up") + F.max("low") * F.max("up")).alias("n")).agg(F.max("n").alias("n")).first()
+    return (most["n"] or 0) <= 1
