@@ -22,17 +22,24 @@ def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) ->
     level = level.select("mol_id", "adj", F.array("atom").alias("path"), F.array(F.lit(0)).alias("dist"))
     if max_size is None:
         max_size = level.agg(F.max(F.size("adj"))).first()[0] or 1
-    levels = [level]
-    for _ in range(1, max(max_size, 1)):
+    own = F.struct("path", "dist")
+    for size in range(1, max(max_size, 1)):  # sets of this size give themselves and what they grow to, so the plan has one source
         near = F.array_except(F.array_distinct(F.flatten(F.transform("path", lambda a: F.element_at("adj", a)))), "path")
-        grown = levels[-1].select("mol_id", "adj", "path", "dist", F.explode(near).alias("c"))
-        touch = F.filter(F.arrays_zip("path", "dist"), lambda e: F.array_contains(F.element_at("adj", e["path"]), F.col("c")))
-        grown = grown.withColumn("d", F.array_min(F.transform(touch, lambda e: e["dist"])) + 1)
-        last, far = F.element_at("path", -1), F.element_at("dist", -1)
-        grown = grown.where((F.col("c") > F.col("path")[0]) & ((F.col("d") > far) | ((F.col("d") == far) & (F.col("c") > last))))
-        levels.append(grown.select("mol_id", "adj", F.concat("path", F.array("c")).alias("path"), F.concat("dist", F.array("d")).alias("dist")))
-    every = reduce(DataFrame.unionByName, levels)
-    return every.select("mol_id", "path", F.array_sort("path").alias("atoms"), F.size("path").alias("size"))
+        grown = F.transform(F.filter(F.transform(near, _reached), _comes_last), lambda n: F.struct(F.concat("path", F.array(n["c"])).alias("path"), F.concat("dist", F.array(n["d"])).alias("dist")))
+        sets = F.when(F.size("path") == size, F.concat(F.array(own), grown)).otherwise(F.array(own))
+        level = level.select("mol_id", "adj", F.explode_outer(sets).alias("s")).select("mol_id", "adj", "s.path", "s.dist")
+    return level.select("mol_id", "path", F.array_sort("path").alias("atoms"), F.size("path").alias("size"))
+
+
+def _reached(c: Column) -> Column:
+    """A neighbour with its distance from a set's first atom."""
+    touch = F.filter(F.arrays_zip("path", "dist"), lambda e: F.array_contains(F.element_at("adj", e["path"]), c))
+    return F.struct(c.alias("c"), (F.array_min(F.transform(touch, lambda e: e["dist"])) + 1).alias("d"))
+
+
+def _comes_last(n: Column) -> Column:
+    last, far = F.element_at("path", -1), F.element_at("dist", -1)
+    return (n["c"] > F.col("path")[0]) & ((n["d"] > far) | ((n["d"] == far) & (n["c"] > last)))
 
 
 def combine(subgraphs: DataFrame, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:

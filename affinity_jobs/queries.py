@@ -101,8 +101,8 @@ def connected_subgraphs(spark, d):
 
 
 def disjoint_pairs(spark, d):
-    """Numbers of combinations of up to two subgraphs and four atoms by molecule, size and parts."""
-    combos = explain.combine(explain.enumerate_connected(molecule_adjacency(spark, d), 4), 2, 4)
+    """Numbers of combinations of up to two subgraphs and eight atoms by molecule, size and parts."""
+    combos = explain.combine(explain.enumerate_connected(molecule_adjacency(spark, d)))
     return combos.groupBy("mol_id", "size", "num_components").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("atoms").alias("n_sets"))
 
 
@@ -117,7 +117,7 @@ def minimal_explanations(spark, d):
         part = F.aggregate(F.transform("atoms", lambda a: F.element_at("w", a)), F.lit(0.0), lambda s, x: s + x)
         return candidates.withColumn("prediction", part / F.col("total")).drop("w", "total")
 
-    found = explain.explain(samples, adj, score, max_subgraph=4, max_total=4)
+    found = explain.explain(samples, adj, score)
     return found.select("mol_id", F.array_join("atoms", ",").alias("atoms"), "num_components", "size", F.round("difference", 6).alias("difference"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinity_jobs import encode, explain, graphs, io, metrics, pairs, splits, targets, udfs
+from affinity_jobs import encode, explain, graphs, io, metrics, pairs, queries, splits, targets, udfs
 
 
 def test_json_dictionary_keeps_order_and_folds_keep_repeats(spark, tmp_path):
@@ -144,6 +144,27 @@ def test_connected_subgraphs_and_combinations(spark, seed):
     assert explain.enumerate_connected(adj, 0).count() == n
 
 
+def test_queries_of_combinations_take_up_to_eight_atoms(spark, tmp_path):
+    rng = random.Random(6)
+    orders = {1: [(i, "AB"[i % 2], 10.0) for i in range(1, 8)], 2: [(i, "A", 7.0) for i in range(1, 10)]}
+    orders |= {m: [(i, rng.choice("ANR"), float(rng.randint(1, 50))) for i in range(1, rng.randint(2, 8))] for m in range(3, 12)}
+    rows = [(m, *line) for m, lines in orders.items() for line in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    counts, least = {}, set()
+    for m, lines in orders.items():
+        n, weight = len(lines), [line[2] for line in lines]
+        sets = brute_sets(n, [(a, b) for a, b in itertools.combinations(range(n), 2) if b == a + 1 or lines[a][1] == lines[b][1]], min(n, 8))
+        made = [(frozenset(s), 1) for s in sets] + [(frozenset(x + y), 2) for x, y in itertools.combinations(sorted(sets), 2) if not set(x) & set(y) and len(x) + len(y) <= 8]
+        for atoms, parts in made:
+            counts.setdefault((m, len(atoms), parts), []).append(atoms)
+        near = {atoms for atoms, _ in made if abs(1 - sum(weight[a] for a in atoms) / sum(weight)) <= 0.25}
+        least |= {(m, ",".join(str(lines[a][0]) for a in sorted(s))) for s in near if not any(o < s for o in near)}
+    found = {(r.mol_id, r["size"], r.num_components): (r.n, r.n_sets) for r in queries.disjoint_pairs(spark, str(tmp_path)).collect()}
+    assert found == {k: (len(v), len(set(v))) for k, v in counts.items()} and max(k[1] for k in found) == 8
+    explained = [(r.mol_id, r.atoms) for r in queries.minimal_explanations(spark, str(tmp_path)).collect()]
+    assert sorted(explained) == sorted(least) and {m for m, _ in explained} == set(orders)
+
+
 def test_minimal_and_dedup(spark):
     rows = [(1, [0, 1], [[0], [1]], [[0], [1]], 2, 2, 0.1), (1, [0, 1], [[0, 1]], [[0, 1]], 1, 2, 0.25), (1, [0, 1, 2], [[0, 1, 2]], [[0, 1, 2]], 1, 3, 0.0), (1, [3], [[3]], [[3]], 1, 1, 0.26)]
     df = spark.createDataFrame([(*r[:6], 1.0, 1.0 - r[6]) for r in rows], "sample_id long, atoms array<int>, components array<array<int>>, paths array<array<int>>, num_components int, size int, full_prediction double, prediction double")
