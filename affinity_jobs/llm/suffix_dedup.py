@@ -309,7 +309,7 @@ def compared(rows: DataFrame, shards: int, length: int) -> DataFrame:
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with ``spans``, the repeated windows of each."""
-    found = repeats(docs.select("doc_id", "text").where(F.octet_length("text") >= length), length)
+    found = repeats(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)), length)
     spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "many")).alias("_spans"))
     return docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
 

@@ -83,6 +83,15 @@ def test_suffix_arrays_and_repeats(spark):
     suffix_dedup.HOT = 64
 
 
+def test_suffix_dedup_keeps_null_ids_whole(spark):
+    text = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 150)))
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text), (None, None)], "doc_id long, text string")
+    removed = [(r.doc_id, r.n_removed) for r in suffix_dedup.digests(docs).collect()]
+    assert sorted(removed, key=repr) == [(1, 0), (2, 150), (None, 0), (None, 0), (None, 0)]
+    kept = [tuple(r) for r in suffix_dedup.deduplicate(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, text), (None, text), (None, text), (None, "")], key=repr)
+
+
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
