@@ -147,6 +147,16 @@ def test_mix_reaches_its_targets(spark):
     assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
+def test_curriculum_keeps_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s"), (None, "d e", "s"), (None, None, "s"), (1, "f", "s"), (1, "g h i j", "s"), (2, "k", "s"), (2, "k", "s")]
+    once = [tuple(r) for r in mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(once, key=repr) == sorted([r for r in rows if r[1]], key=repr)  # one source: its target is its size
+    rows += [(None, "w " * n, "t") for n in range(1, 40)]
+    mixed = mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    words = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in "st"}
+    assert words["s"] == 3 * 12 and abs(words["t"] - (12 + 780 - 36)) <= 20
+
+
 def test_media_round_trip():
     payload = media.pad("é text".encode())
     assert len(payload) == 64 and media.load(media.store(payload)) == (payload, media.RATE)
