@@ -6,8 +6,9 @@ works on UTF-8 bytes and whole Arrow batches rather than on single strings.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,26 +112,66 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(prefix_hash(LOWER[data]), start, end), np.searchsorted(start, offsets)
 
 
+def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts and the n+1 offsets of them."""
+    parts = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+
+
+def free_names(names: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """Each name with underscores after it until it clashes with none of ``taken`` (case doesn't count)."""
+    used, out = {t.lower() for t in taken}, {}
+    for name in names:
+        out[name] = name
+        while out[name].lower() in used:
+            out[name] += "_"
+        used.add(out[name].lower())
+    return out
+
+
+def carried(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A row's own columns as the struct ``row``, where their names meet no others; never an empty struct."""
+    own = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*(own or [F.lit(0).alias("none")])).alias("row")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder for tests where it names none."""
+    """The shared folder that the cluster names. Only a local master may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends there."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The folders that ``cut`` has written in this session and that are still there."""
+    return list(_written)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders that ``cut`` wrote, once no result that reads them is needed any more."""
+    for path in list(paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -138,12 +179,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
-
-
-def drop(df: DataFrame, spark_paths: list[str]) -> None:
-    """Remove shared folders that are no longer read."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in spark_paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)

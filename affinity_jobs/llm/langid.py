@@ -2,59 +2,40 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A document is
 parsed greedily against it: from each place the longest match is one phrase, and the letter that
-breaks it begins the next. The language with the fewest phrases per letter wins. Automata have a dense
-transition table over letters seen in training, so many texts step through it together in numpy.
+breaks it begins the next. The language with the fewest phrases per letter wins.
+
+Letters are bytes of the text in lower case, whose other characters are spaces. A state's out-edges are
+bits of a mask and a run of an array, so an automaton takes about 20 bytes a letter of its sample. Many
+texts step through it together. A long text is parsed in pieces side by side; then each piece is parsed
+anew from the state in which the one before it ended, until both parses are in one state, so that the
+phrases are those of the whole text.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold
-
-#: Bounds of the training sample: excerpts per language, their length, and languages.
-EXCERPTS, EXCERPT_CHARS, LANGUAGES = 64, 800, 200
-#: Longer texts are parsed in pieces of this length, whose phrases add up.
-PIECE = 1024
-LANES = 1 << 14
-
-
-def normalise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of lower-cased texts with each run of other characters than letters as one space."""
-    lower = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("\x00".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32) if lower else np.zeros(0, np.uint32)
-    end = np.cumsum([len(t) + 1 for t in lower]) - 1
-    letters = is_letter(codes)
-    keep = letters | np.r_[True, letters[:-1]][: len(codes)]
-    keep[end[:-1]] = False
-    starts = np.r_[0, end[:-1] + 1] if len(lower) else np.zeros(0, int)
-    starts = starts[starts < len(codes)]
-    keep[starts] = letters[starts]
-    total = np.r_[0, np.cumsum(keep)]
-    offsets = np.r_[total[np.r_[0, end[:-1] + 1]], total[-1]] if len(lower) else np.zeros(1, int)
-    return np.where(letters, codes, 32)[keep], offsets
+from .common import U, carried, cut, fold, free_names, packed, text_chunks
 
+#: Bounds of the training sample: windows per language, their characters, characters of all, and languages.
+WINDOWS, WINDOW_CHARS, SAMPLE_CHARS, LANGUAGES = 64, 800, 1 << 20, 4096
+#: Long texts are parsed in pieces of this many bytes, and so many pieces at once.
+PIECE, LANES = 1024, 1 << 14
+#: A text is foreign to its best language if it needs so many times the most phrases of any training window.
+FOREIGN, FOREIGN_LETTERS = 2.0, 40
 
-@lru_cache(maxsize=1)
-def letter_table() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    table[points] = pc.utf8_is_alpha(pa.array([chr(c) for c in points])).to_numpy(zero_copy_only=False)
-    return table
 
+def plain(text: Column) -> Column:
+    """A text in lower case, each run of other characters than letters as one space; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
 
-def is_letter(codes: np.ndarray) -> np.ndarray:
-    return letter_table()[codes]
 
-
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes`` (1..width-1); state 0 is "none", state 1 the root."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Out-edges of the states of the suffix automaton of ``codes``; state 0 is "none", state 1 the root."""
     step: list[dict[int, int]] = [{}, {}]
     link, longest = [0, 0], [0, 0]
     last = 1
@@ -81,119 +62,190 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     step[p][c] = twin
                     p = link[p]
         last = new
-    table = np.zeros((len(step), width), np.int32)
-    for state, out in enumerate(step):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return step
 
 
 class Model:
-    """Automata of all languages in one table, with a shared letter numbering."""
+    """Automata of all languages, with a shared numbering of states and of the bytes seen."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], foreign: dict[str, float] | None = None):
         self.langs = sorted(samples)
-        texts = {lang: normalise(samples[lang])[0] for lang in self.langs}
-        seen = sorted(set(np.concatenate([*texts.values(), np.array([32])]).tolist()))
-        self.width = len(seen) + 1
-        self.points, self.numbers = np.array(seen), np.arange(1, self.width)
-        tables, base, self.roots = [], 0, []
-        for lang in self.langs:
-            table = automaton(self.letters(texts[lang]).tolist(), self.width)
-            tables.append(np.where(table > 0, table + base, 0))
+        #: Phrases per letter from which a text is foreign to the language.
+        self.foreign = np.array([(foreign or {}).get(lang, np.inf) for lang in self.langs])
+        texts = [" ".join(samples[lang]).encode() for lang in self.langs]
+        seen = sorted({32, *b"".join(texts)})
+        self.number = np.full(256, len(seen), np.uint8)  # bytes never seen share a number without edges
+        self.number[seen] = np.arange(len(seen))
+        self.words = len(seen) // 64 + 1
+        sizes, edges, self.roots = [1], [], []
+        for text in texts:
+            base = sum(sizes) - 1
+            states = automaton(self.number[np.frombuffer(text, np.uint8)].tolist())
+            edges.append(np.array([(s + base, c, to + base) for s, out in enumerate(states) for c, to in sorted(out.items())], np.int64).reshape(-1, 3))
             self.roots.append(base + 1)
-            base += len(table)
-        self.flat = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-
-    def letters(self, codes: np.ndarray) -> np.ndarray:
-        """Letter numbers of code points; 0 for those never seen, which match nothing."""
-        at = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
-        return np.where(self.points[at] == codes, self.numbers[at], 0).astype(np.int32)
-
-    def parse(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            sizes.append(len(states) - 1)
+        state, letter, to = np.concatenate([*edges, np.zeros((0, 3), np.int64)]).T
+        self.mask = np.zeros(sum(sizes) * self.words, U)
+        np.bitwise_or.at(self.mask, state * self.words + letter // 64, U(1) << (letter % 64).astype(U))
+        many = np.bitwise_count(self.mask)
+        self.first = (np.cumsum(many, dtype=np.int64) - many).astype(np.int32)
+        self.to = np.r_[to, 0].astype(np.int32)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states after one letter; 0 where there is no edge."""
+        at = state if self.words == 1 else state * self.words + (letter >> 6)
+        mask, bit = self.mask[at], (letter & 63).astype(U)
+        before = np.bitwise_count(mask & ((U(1) << bit) - U(1)))
+        return np.where(mask >> bit & U(1) != 0, self.to[np.minimum(self.first[at] + before, len(self.to) - 1)], 0)
+
+    def next(self, state: np.ndarray, letter: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one letter, which begins a new phrase where it breaks the old one, and where it does."""
+        to = self.step(state, letter)
+        miss = to == 0
+        return np.where(miss, start[letter], to), miss
+
+    def walk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray, state: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases broken and last states of pieces of letters from the given states."""
+        broken, last = np.zeros(len(begin), np.int64), state.copy()
+        for lane in range(0, len(begin), LANES):
+            order = lane + np.argsort(-many[lane : lane + LANES], kind="stable")
+            first, now, count = begin[order], state[order], np.zeros(len(order), np.int64)
+            active = np.searchsorted(-many[order], -np.arange(int(many[order[0]])), side="left")  # pieces longer than each step
+            for t, n in enumerate(active.tolist()):
+                now[:n], miss = self.next(now[:n], letters[first[:n] + t], start)
+                count[:n] += miss
+            broken[order], last[order] = count, now
+        return broken, last
+
+    def rewalk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray, old: np.ndarray, new: np.ndarray, end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many more phrases break from ``new`` states than from ``old`` ones, and the last states (``end`` from the old)."""
+        more, end = np.zeros(len(begin), np.int64), end.copy()
+        live, t = np.arange(len(begin)), 0
+        while len(live):  # until both are in one state
+            letter = letters[begin[live] + t]
+            (old, miss), (new, other) = self.next(old, letter, start), self.next(new, letter, start)
+            more[live] += other.astype(np.int64) - miss
+            t += 1
+            over = t >= many[live]
+            end[live[over]] = new[over]
+            go = ~over & (old != new)
+            live, old, new = live[go], old[go], new[go]
+        return more, end
+
+    def parse(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases (rows by languages) that the texts need."""
         phrases = np.zeros((len(offsets) - 1, len(self.langs)), np.int64)
-        letters = self.letters(codes)
-        length = np.diff(offsets)
+        letters, length = self.number[data], np.diff(offsets)
         pieces = -(-length // PIECE)
         row = np.repeat(np.arange(len(length)), pieces)
-        number = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = offsets[:-1][row] + number * PIECE
-        size = np.minimum(PIECE, length[row] - number * PIECE)
-        for lane in range(0, len(row), LANES):
-            part = slice(lane, lane + LANES)
-            order = np.argsort(-size[part], kind="stable")
-            begin, many, own = start[part][order], size[part][order], row[part][order]
-            active = np.searchsorted(-many, -np.arange(int(many[0])), side="left")  # texts longer than each step
-            for k, root in enumerate(self.roots):
-                state = np.zeros(len(begin), np.int32)
-                count = np.zeros(len(begin), np.int32)
-                first = self.flat[root * self.width : (root + 1) * self.width]
-                for t, n in enumerate(active.tolist()):
-                    letter = letters[begin[:n] + t]
-                    to = self.flat[state[:n] * self.width + letter]
-                    miss = to == 0
-                    count[:n] += miss
-                    state[:n] = np.where(miss, first[letter], to)
-                phrases[:, k] += np.bincount(own, weights=count, minlength=len(phrases)).astype(np.int64)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = offsets[:-1][row] + place * PIECE
+        many = np.minimum(PIECE, length[row] - place * PIECE)
+        if not len(row):
+            return phrases
+        for k, root in enumerate(self.roots):
+            state = np.full(len(row), root, np.int32)
+            start = self.step(np.full(256, root, np.int32), np.arange(256))
+            broken, end = self.walk(letters, begin, many, state, start)
+            while len(wrong := np.flatnonzero((place[1:] > 0) & (state[1:] != end[:-1])) + 1):
+                fresh = end[wrong - 1]
+                more, end[wrong] = self.rewalk(letters, begin[wrong], many[wrong], state[wrong], fresh, end[wrong], start)
+                broken[wrong] += more
+                state[wrong] = fresh
+            opening = (place == 0) & (start[letters[begin]] != 0)  # a first letter that the language lacks is a phrase already counted
+            phrases[:, k] = np.bincount(row, weights=broken + opening, minlength=len(phrases))
         return phrases
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and phrases per letter of each text; ``und`` and 0 without letters."""
-        codes, offsets = normalise(texts)
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, phrases per letter, and whether foreign, of texts made plain; ``und``, 0, 1 and true without letters."""
         length = np.diff(offsets)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
-        rate = (self.parse(codes, offsets) / np.maximum(length, 1)[:, None]) if len(texts) else np.zeros((0, len(self.langs)))
-        best = rate.argmin(axis=1) if len(texts) else np.zeros(0, int)
-        low = rate.min(axis=1, keepdims=True) if len(texts) else rate
+        if not self.langs or not len(length):
+            return pa.array(["und"] * len(length), pa.string()), np.zeros(len(length)), np.ones(len(length)), np.ones(len(length), bool)
+        rate = self.parse(data, offsets) / np.maximum(length, 1)[:, None]
+        best, low = rate.argmin(axis=1), rate.min(axis=1, keepdims=True)
         # fewer phrases by a tenth make a language e**4 times likelier; little text says less
         odds = np.exp(-(rate / np.maximum(low, 1e-9) - 1) * 40 * np.minimum(1.0, length[:, None] / 40))
-        score = 1 / np.maximum(odds.sum(axis=1), 1.0)
-        langs = [self.langs[b] if n else "und" for b, n in zip(best, length, strict=True)]
-        return langs, np.where(length > 0, score, 0.0), low[:, 0] if len(texts) else np.zeros(0)
+        none = length == 0
+        foreign = none | (length >= FOREIGN_LETTERS) & (low[:, 0] > self.foreign[best])
+        langs = pa.array([*self.langs, "und"], pa.string()).take(pa.array(np.where(none, len(self.langs), best)))
+        return langs, np.where(none, 0.0, 1 / np.maximum(odds.sum(axis=1), 1.0)), np.where(none, 1.0, low[:, 0]), foreign
 
 
-def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", ident: str = "doc_id", excerpts: int = EXCERPTS, excerpt_chars: int = EXCERPT_CHARS) -> Model:
-    """A model from labelled rows: per language the ``excerpts`` rows of least hash, the start of each.
+def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", ident: str = "doc_id", windows: int = WINDOWS, window_chars: int = WINDOW_CHARS) -> Model:
+    """A model from labelled rows: per language one window of text from each of the ``windows`` rows of least hash.
 
-    The sample is bounded by ``excerpts * excerpt_chars`` characters per language and ``LANGUAGES``
-    languages. Rows without label or text are left out.
+    A window starts where a hash of the row says. The sample is bounded by ``windows * window_chars`` characters a
+    language and about ``SAMPLE_CHARS`` in all: with many languages each gives fewer windows, one at least. More
+    than ``LANGUAGES`` languages are an error. Rows without label or letter are left out; rows repeated with one id
+    count once; a table without labels gives a model that knows no language.
+
+    How many phrases a text of a language may need before it counts as foreign follows from its windows: half
+    of them are parsed against the other half, and the other way round.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(ident).alias("h"), F.substring(text, 1, excerpt_chars).alias("text"))
-    # each row of the partial aggregate keeps at most `excerpts` excerpts
-    best = rows.groupBy("lang", (F.pmod("h", F.lit(excerpts))).alias("slot")).agg(F.min_by("text", "h").alias("text"))
+    own = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    spare = F.greatest(F.length(text) - window_chars + 1, F.lit(1))
+    begin = (F.pmod(F.xxhash64(ident, F.lit(1)), spare) + 1).cast("int")
+    rows = own.select(F.col(lang).alias("lang"), F.xxhash64(ident, text).alias("h"), F.substring(F.col(text), begin, F.lit(window_chars)).alias("text"))
+    # each row of the partial aggregate keeps at most `windows` windows
+    best = cut(rows.groupBy("lang", F.pmod("h", F.lit(windows)).alias("slot")).agg(F.min_by("text", "h").alias("text")), "windows")
+    count = best.select("lang").distinct().count()
+    if count > LANGUAGES:
+        raise ValueError(f"{count} languages are more than {LANGUAGES}: is '{lang}' a language column?")
+    allowed = max(1, min(windows, SAMPLE_CHARS // (window_chars * max(count, 1))))
+    first = best.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("slot"))).where(F.col("k") <= allowed)
     samples: dict[str, list[str]] = {}
-    for row in best.orderBy("lang", "slot").limit(excerpts * LANGUAGES).collect():
+    for row in first.select("lang", "slot", plain(F.col("text")).alias("text")).orderBy("lang", "slot").collect():
         samples.setdefault(row["lang"], []).append(row["text"])
-    return Model(samples)
+    return Model(samples, foreign_rates(samples))
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``' columns (or those of ``keep``) with ``lang_pred string, score double, rate double``.
+def foreign_rates(samples: dict[str, list[str]]) -> dict[str, float]:
+    """The phrases per letter from which a text is foreign, for languages with enough windows to tell."""
+    halves = [{lang: texts[side::2] for lang, texts in samples.items() if len(texts) >= 8} for side in (0, 1)]
+    most: dict[str, float] = {}
+    for known, others in (halves, halves[::-1]):
+        for lang in known:
+            own = Model({lang: known[lang]})
+            long = [t for t in others[lang] if len(t) >= FOREIGN_LETTERS]
+            if long:
+                _, _, rate, _ = own.predict(*packed(long))
+                most[lang] = max(most.get(lang, 0.0), float(rate.max()) * FOREIGN)
+    return most
 
-    A null text and one without a letter is ``und`` with score 0. Ties go to the first language by
-    code point. ``rate`` is the number of phrases per letter.
-    """
+
+FOUND = ("lang_pred", "score", "rate", "foreign")
+
+
+def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``row`` (the document's own columns as a struct), ``lang_pred string, score double, rate double, foreign boolean``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
-    rest = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score", "rate")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias("__text"))
+    rows = docs.select(carried(docs), plain(F.col(text)).alias("text"))
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, max(batch.num_rows, 1), 2000):
-                part = batch.slice(begin, 2000)
-                langs, score, rate = shared.value.predict(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], [*rest, "lang_pred", "score", "rate"])
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                langs, score, rate, foreign = shared.value.predict(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), langs, pa.array(score), pa.array(rate), pa.array(foreign)], ["row", *FOUND])
+
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(n, k) for n, k in zip(FOUND, kinds, strict=True)]]))
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``docs``' columns with ``lang_pred, score, rate, foreign``.
+
+    A null text and one without a letter is ``und``: score 0, rate 1 and foreign. Ties go to the first language by
+    code point; repeated rows and null ids have a row each; an empty table gives no rows. ``rate`` is the number
+    of phrases per letter, over whole texts of any length. Where ``docs`` has a column of one of these names, it
+    stays as it is, and the model's is named with underscores after it.
+    """
+    names = free_names(FOUND, docs.columns)
+    out = scored(docs, model, text=text)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[F.col(n).alias(names[n]) for n in FOUND])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs.where(fold(F.col("doc_id")) != 0))
-    out = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    model = fit(docs.where(fold(F.col("doc_id")) != 0).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rate")
