@@ -17,12 +17,20 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import chunks, text_bytes
 
 #: The byte-level splitting pattern (fixed by the vocabulary format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << 40
-BATCH_CHARS = 1 << 22
-CACHE_PIECES = 200_000
+#: Characters of text encoded at once, and bytes of distinct pieces and their ids that a worker remembers.
+BATCH_CHARS, CACHE_BYTES = 1 << 19, 24 << 20
+#: What a remembered piece takes beside its characters and ids.
+CACHE_ENTRY = 150
+#: Rows of ids decoded at once.
+ROWS = 256
 
 
 def byte_chars() -> dict[str, int]:
@@ -60,7 +68,9 @@ class Vocabulary:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.pieces = regex.compile(PATTERN)
         self.breaks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.known: dict[str, np.ndarray] = {}
+        self.gap = regex.compile(r"(?<=\S) (?=\S)") if not any(" " in x for x in special) else None
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of pairs among the sorted keys, -1 where a pair never merges."""
@@ -124,9 +134,23 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Special tokens written in a text become their ids."""
-        split = [self.split(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
+        return [self.encode_long(t) if len(t) > 2 * BATCH_CHARS else ids for t, ids in zip(texts, self.encode_short(texts), strict=True)]
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """Ids of a text encoded stretch by stretch, cut before single spaces between two words: pieces begin there anyway."""
+        parts, at = [], 0
+        while at < len(text):
+            gap = self.gap.search(text, at + BATCH_CHARS) if self.gap else None
+            end = gap.start() if gap else len(text)
+            parts += self.encode_short([text[at:end]], longest=len(text))
+            at = end
+        return np.concatenate(parts)
+
+    def encode_short(self, texts: list[str], longest: int = 2 * BATCH_CHARS) -> list[np.ndarray]:
+        """Ids of each text of at most ``longest`` characters; none of others."""
+        split = [self.split(t) if len(t) <= longest else [] for t in texts]
+        if self.known_bytes > CACHE_BYTES:
+            self.known, self.known_bytes = {}, 0
         known = self.known
         fresh = [p for p in {p for pieces in split for p in pieces} if p not in known]
         plain = [p for p in fresh if p not in self.special]
@@ -140,17 +164,19 @@ class Vocabulary:
         for p in fresh:
             if p in self.special:
                 known[p] = np.array([self.special[p]], "<u4").tobytes()
+        self.known_bytes += sum(CACHE_ENTRY + 2 * len(p) + len(known[p]) for p in fresh)
         return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
-        ids = np.asarray(ids, dtype=np.int64)
-        if not len(ids):
-            return ""
-        start, length = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
-        before = np.cumsum(length) - length
-        place = np.arange(int(length.sum())) + np.repeat(start - before, length)
-        return self.spelled[place].tobytes().decode("utf-8", "replace")
+        parts = []
+        for at in range(0, len(ids), BATCH_CHARS):
+            part = np.asarray(ids[at : at + BATCH_CHARS], dtype=np.int64)
+            start, length = self.starts[part], self.starts[part + 1] - self.starts[part]
+            before = np.cumsum(length) - length
+            place = np.arange(int(length.sum())) + np.repeat(start - before, length)
+            parts.append(self.spelled[place].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -158,35 +184,32 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def text_batches(texts: list[str | None]) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``BATCH_CHARS`` characters."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= BATCH_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` of every whole text; a null text is empty and has no ids."""
+    """``doc_id, ids array<int>`` of every whole text.
+
+    A null or empty text has no ids, a null id or a repeated row a row like any other; an empty table gives no rows
+    and other columns have no part in it.
+    """
 
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
-            begin = 0
-            for texts in text_batches(batch.column(1).to_pylist()):
-                ids = bpe.encode(texts)
+            _, at = text_bytes(batch.column(1))
+            for a, b in chunks(at, BATCH_CHARS):
+                ids = bpe.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
-                begin += len(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def id_rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row; none where it is null."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for i, known in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+        yield flat[at[i] : at[i + 1]] if known else flat[:0]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -195,29 +218,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
-            texts = [bpe.decode(np.array(x or [], dtype=np.int64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(ids) for ids in id_rows(part.column(1))], pa.string())], ["doc_id", "text"])
 
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode, and return ``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: digests of what ``encode`` gives, and of its decoding.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns are as in ``encode``.
+    """
 
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for texts in text_batches(batch.column(1).to_pylist()):
-                for ids in bpe.encode(texts):
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for ids in id_rows(batch.column(1)):
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            columns = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = encode(docs, path, doc_id=doc_id, text=text)
+    kinds = (T.LongType(), T.StringType(), T.StringType())
+    fields = [T.StructField(n, k) for n, k in zip(("n_tokens", "ids_sha256", "decoded_sha256"), kinds, strict=True)]
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
 
 
 def default_path() -> str:
