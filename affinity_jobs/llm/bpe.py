@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, text_bytes
+from .common import chunks, lean, text_bytes
 
 #: The byte-level splitting pattern (fixed by the vocabulary format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -184,6 +184,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def id_batches(bpe: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The first column of ``(id, text)`` batches and the ids of the texts, a bounded run of rows at a time."""
+    for batch in lean(batches):
+        _, at = text_bytes(batch.column(1))
+        for a, b in chunks(at, BATCH_CHARS):
+            yield batch.column(0).slice(a, b - a), bpe.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+
+
 def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, ids array<int>`` of every whole text.
 
@@ -192,14 +200,10 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     """
 
     def run(batches):
-        bpe = vocabulary(path)
-        for batch in batches:
-            _, at = text_bytes(batch.column(1))
-            for a, b in chunks(at, BATCH_CHARS):
-                ids = bpe.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
+        for key, ids in id_batches(vocabulary(path), batches):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -217,36 +221,35 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in lean(batches):
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(ids) for ids in id_rows(part.column(1))], pa.string())], ["doc_id", "text"])
+                texts = pa.array([bpe.decode(ids) for ids in id_rows(part.column(1))], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], ["doc_id", "text"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: digests of what ``encode`` gives, and of its decoding.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document: digests of ``encode``'s ids and of their decoding.
 
-    Nulls, empty texts, repeated rows, empty tables and other columns are as in ``encode``.
+    Nulls, empty texts, repeated rows, empty tables and other columns are as in ``encode``. Ids are decoded by the
+    worker that made them.
     """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
         bpe = vocabulary(path)
-        for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for ids in id_rows(batch.column(1)):
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            columns = [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = encode(docs, path, doc_id=doc_id, text=text)
+        for key, rows in id_batches(bpe, batches):
+            ids_sha = [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in rows]
+            text_sha = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in rows]
+            columns = [pa.array([len(ids) for ids in rows], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([key, *columns], ["doc_id", *names])
+
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kinds = (T.LongType(), T.StringType(), T.StringType())
-    fields = [T.StructField(n, k) for n, k in zip(("n_tokens", "ids_sha256", "decoded_sha256"), kinds, strict=True)]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *fields]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
 
 
 def default_path() -> str:

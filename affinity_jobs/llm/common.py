@@ -6,9 +6,11 @@ works on UTF-8 bytes and whole Arrow batches rather than on single strings.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +44,27 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n, grown on demand."""
+    """``BASE**i`` and ``BASE**-i`` modulo 2**64 for i < n; kept for as many as a chunk of text needs."""
     if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for key, base in (("p", BASE), ("q", BASE_INV)):
-            x = np.full(size, base, dtype=U)
+        made = []
+        for base in (BASE, BASE_INV):
+            x = np.full(max(n, CHUNK_BYTES + 1), base, dtype=U)
             x[0] = 1
-            _powers[key] = np.cumprod(x, dtype=U)
+            made.append(np.cumprod(x, dtype=U))
+        if n > CHUNK_BYTES + 1:
+            return made[0], made[1]
+        _powers.update(p=made[0], q=made[1])
     return _powers["p"][:n], _powers["q"][:n]
 
 
+def lean(batches: Iterable) -> Iterator:
+    """The batches; at their end, memory that is no longer in use goes back to the system, as Spark reuses its workers."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash; ``span_hash`` reads any span's hash off it."""
     p, _ = powers(len(data) + 1)

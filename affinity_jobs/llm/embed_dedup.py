@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .graph import components
 
 SKETCH_WORDS = 4
@@ -45,7 +45,7 @@ def sign_rows(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFram
     """``key, id, s0..s3``: for each table a bucket key, and the sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
@@ -67,7 +67,7 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     """Pairs of representatives whose cosine reaches ``threshold`` in double precision."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
                 x, y = part.column(2), part.column(3)

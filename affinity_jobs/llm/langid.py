@@ -11,20 +11,20 @@ anew from the state in which the one before it ended, until both parses are in o
 phrases are those of the whole text.
 """
 
-from __future__ import annotations
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, carried, cut, fold, free_names, packed, text_chunks
+from .common import U, cut, fold, free_names, lean, packed, text_bytes, text_chunks
 
 #: Bounds of the training sample: windows per language, their characters, characters of all, and languages.
 WINDOWS, WINDOW_CHARS, SAMPLE_CHARS, LANGUAGES = 64, 800, 1 << 20, 4096
 #: Long texts are parsed in pieces of this many bytes, and so many pieces at once.
-PIECE, LANES = 1024, 1 << 14
+PIECE, LANES = 1024, 1 << 13
 #: A text is foreign to its best language if it needs so many times the most phrases of any training window.
 FOREIGN, FOREIGN_LETTERS = 2.0, 40
 
@@ -77,12 +77,12 @@ class Model:
         self.number = np.full(256, len(seen), np.uint8)  # bytes never seen share a number without edges
         self.number[seen] = np.arange(len(seen))
         self.words = len(seen) // 64 + 1
-        sizes, edges, self.roots = [1], [], []
+        sizes, edges, roots = [1], [], []
         for text in texts:
             base = sum(sizes) - 1
             states = automaton(self.number[np.frombuffer(text, np.uint8)].tolist())
             edges.append(np.array([(s + base, c, to + base) for s, out in enumerate(states) for c, to in sorted(out.items())], np.int64).reshape(-1, 3))
-            self.roots.append(base + 1)
+            roots.append(base + 1)
             sizes.append(len(states) - 1)
         state, letter, to = np.concatenate([*edges, np.zeros((0, 3), np.int64)]).T
         self.mask = np.zeros(sum(sizes) * self.words, U)
@@ -90,46 +90,49 @@ class Model:
         many = np.bitwise_count(self.mask)
         self.first = (np.cumsum(many, dtype=np.int64) - many).astype(np.int32)
         self.to = np.r_[to, 0].astype(np.int32)
-
-    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        """The states after one letter; 0 where there is no edge."""
+        self.roots = np.array(roots, np.int32)
+        #: The bit of each letter in its word, and its state after each language's root.
+        self.bit = U(1) << (np.arange(256) & 63).astype(U)
+        self.start = np.zeros((256, len(roots)), np.int32)
+        root = np.isin(state, roots)
+        self.start[letter[root], np.searchsorted(self.roots, state[root])] = to[root]
+
+    def next(self, state: np.ndarray, letter: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after one letter, and where it breaks a phrase of its language and begins the next one."""
         at = state if self.words == 1 else state * self.words + (letter >> 6)
-        mask, bit = self.mask[at], (letter & 63).astype(U)
-        before = np.bitwise_count(mask & ((U(1) << bit) - U(1)))
-        return np.where(mask >> bit & U(1) != 0, self.to[np.minimum(self.first[at] + before, len(self.to) - 1)], 0)
-
-    def next(self, state: np.ndarray, letter: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after one letter, which begins a new phrase where it breaks the old one, and where it does."""
-        to = self.step(state, letter)
-        miss = to == 0
-        return np.where(miss, start[letter], to), miss
-
-    def walk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray, state: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases broken and last states of pieces of letters from the given states."""
-        broken, last = np.zeros(len(begin), np.int64), state.copy()
+        mask, bit = self.mask[at], self.bit[letter]
+        to = self.to[self.first[at] + np.bitwise_count(mask & (bit - U(1)))]
+        hit = mask & bit != 0
+        return np.where(hit, to, self.start[letter, lang]), ~hit
+
+    def walk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases broken and last states (pieces by languages) of pieces of letters, each from the root."""
+        every = np.arange(len(self.langs))[None, :]
+        broken = np.zeros((len(begin), len(self.langs)), np.int64)
+        last = np.repeat(self.roots[None, :], len(begin), axis=0)
         for lane in range(0, len(begin), LANES):
             order = lane + np.argsort(-many[lane : lane + LANES], kind="stable")
-            first, now, count = begin[order], state[order], np.zeros(len(order), np.int64)
+            first, now, count = begin[order], last[order], broken[order].astype(np.int32)
             active = np.searchsorted(-many[order], -np.arange(int(many[order[0]])), side="left")  # pieces longer than each step
             for t, n in enumerate(active.tolist()):
-                now[:n], miss = self.next(now[:n], letters[first[:n] + t], start)
+                now[:n], miss = self.next(now[:n], letters[first[:n] + t][:, None], every)
                 count[:n] += miss
             broken[order], last[order] = count, now
         return broken, last
 
-    def rewalk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray, old: np.ndarray, new: np.ndarray, end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rewalk(self, letters: np.ndarray, begin: np.ndarray, many: np.ndarray, lang: np.ndarray, old: np.ndarray, new: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many more phrases break from ``new`` states than from ``old`` ones, and the last states (``end`` from the old)."""
         more, end = np.zeros(len(begin), np.int64), end.copy()
         live, t = np.arange(len(begin)), 0
         while len(live):  # until both are in one state
             letter = letters[begin[live] + t]
-            (old, miss), (new, other) = self.next(old, letter, start), self.next(new, letter, start)
+            (old, miss), (new, other) = self.next(old, letter, lang), self.next(new, letter, lang)
             more[live] += other.astype(np.int64) - miss
             t += 1
             over = t >= many[live]
             end[live[over]] = new[over]
             go = ~over & (old != new)
-            live, old, new = live[go], old[go], new[go]
+            live, lang, old, new = live[go], lang[go], old[go], new[go]
         return more, end
 
     def parse(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -143,17 +146,20 @@ class Model:
         many = np.minimum(PIECE, length[row] - place * PIECE)
         if not len(row):
             return phrases
-        for k, root in enumerate(self.roots):
-            state = np.full(len(row), root, np.int32)
-            start = self.step(np.full(256, root, np.int32), np.arange(256))
-            broken, end = self.walk(letters, begin, many, state, start)
-            while len(wrong := np.flatnonzero((place[1:] > 0) & (state[1:] != end[:-1])) + 1):
-                fresh = end[wrong - 1]
-                more, end[wrong] = self.rewalk(letters, begin[wrong], many[wrong], state[wrong], fresh, end[wrong], start)
-                broken[wrong] += more
-                state[wrong] = fresh
-            opening = (place == 0) & (start[letters[begin]] != 0)  # a first letter that the language lacks is a phrase already counted
-            phrases[:, k] = np.bincount(row, weights=broken + opening, minlength=len(phrases))
+        broken, end = self.walk(letters, begin, many)
+        state = np.repeat(self.roots[None, :], len(row), axis=0)
+        later = (place[1:] > 0)[:, None]
+        while True:  # until each piece begins in the state in which the one before it ends
+            piece, lang = np.nonzero(later & (state[1:] != end[:-1]))
+            if not len(piece):
+                break
+            fresh, piece = end[piece, lang], piece + 1
+            more, end[piece, lang] = self.rewalk(letters, begin[piece], many[piece], lang, state[piece, lang], fresh, end[piece, lang])
+            broken[piece, lang] += more
+            state[piece, lang] = fresh
+        # a first letter that the language lacks is a phrase already counted
+        broken += (place == 0)[:, None] & (self.start[letters[begin]] != 0)
+        np.add.at(phrases, row, broken)
         return phrases
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,22 +219,21 @@ def foreign_rates(samples: dict[str, list[str]]) -> dict[str, float]:
     return most
 
 
-FOUND = ("lang_pred", "score", "rate", "foreign")
+FOUND = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rate": T.DoubleType(), "foreign": T.BooleanType()}
 
 
-def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``row`` (the document's own columns as a struct), ``lang_pred string, score double, rate double, foreign boolean``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
-    rows = docs.select(carried(docs), plain(F.col(text)).alias("text"))
+def found(model: Model, text: Column, spark: SparkSession) -> Column:
+    """A struct of ``lang_pred string, score double, rate double, foreign boolean`` of a text; only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)  # bounded by fit's sample
 
-    def run(batches):
-        for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                langs, score, rate, foreign = shared.value.predict(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), langs, pa.array(score), pa.array(rate), pa.array(foreign)], ["row", *FOUND])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in lean(batches):
+            parts = [shared.value.predict(data, offsets) for _, _, data, offsets in text_chunks(column)] or [shared.value.predict(*text_bytes(column))]
+            columns = [pa.concat_arrays([p[0] for p in parts]), *[pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)]]
+            yield pa.StructArray.from_arrays(columns, list(FOUND))
 
-    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(n, k) for n, k in zip(FOUND, kinds, strict=True)]]))
+    kind = T.StructType([T.StructField(name, kind) for name, kind in FOUND.items()])
+    return F.arrow_udf(run, kind).asNondeterministic()(plain(text))  # so that no filter repeats it
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -239,9 +244,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     of phrases per letter, over whole texts of any length. Where ``docs`` has a column of one of these names, it
     stays as it is, and the model's is named with underscores after it.
     """
-    names = free_names(FOUND, docs.columns)
-    out = scored(docs, model, text=text)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[F.col(n).alias(names[n]) for n in FOUND])
+    names = free_names([*FOUND, "found"], docs.columns)
+    out = docs.withColumn(names["found"], found(model, F.col(f"`{text}`"), docs.sparkSession))
+    return out.withColumns({names[n]: F.col(names["found"]).getField(n) for n in FOUND}).drop(names["found"])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

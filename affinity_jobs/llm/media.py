@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import lean, text_bytes
 
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 FRAME, HOP, MELS, BLOCK = 128, 64, 20, 16
@@ -167,7 +167,7 @@ def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = text_bytes(batch.column(1))
             raw = data.tobytes()
             for i in range(batch.num_rows):
@@ -184,7 +184,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """The media columns' sizes and checksums: what was stored is read back before it is measured."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = text_bytes(batch.column(1))
             raw = data.tobytes()
             out: list[list] = [[] for _ in range(8)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, text_bytes, text_chunks, words
+from .common import U, cut, lean, mix64, text_bytes, text_chunks, words
 from .graph import components
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, s1, s2, regs``: set size, two sums that identify the set, and registers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 n, s1, s2, regs = [], [], [], []
                 for s in shingle_sets(data, offsets, size):
@@ -130,7 +130,7 @@ def bands(sets: DataFrame) -> DataFrame:
 
     def run(batches):
         scale = mix64(np.arange(1, ROWS + 1, dtype=U))
-        for batch in batches:
+        for batch in lean(batches):
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
                 regs = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint16).reshape(-1, BANDS, ROWS).astype(U)
@@ -145,7 +145,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     floor = least_estimate(percent / 100)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 x, y = (np.frombuffer(b"".join(v.as_py() for v in part.column(c)), np.uint16).reshape(-1, REGISTERS) for c in (2, 3))

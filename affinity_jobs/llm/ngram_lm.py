@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, checkpoint_dir, chunks, cut, fold, mix64, text_chunks, words
+from .common import U, checkpoint_dir, chunks, cut, fold, lean, mix64, text_chunks, words
 
 #: Bytes of text counted or scored at once; they are hashed in smaller pieces.
 CHUNK = 5 << 20
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
 
     def count(batches):
         keys = Keys(bits)
-        for batch in batches:
+        for batch in lean(batches):
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 token, before, _ = tokens(data, offsets)
                 word, times = np.unique(token, return_counts=True)
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text (null: empty)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for a, b, data, offsets in text_chunks(batch.column(1), CHUNK):
                 found = model.score(data, offsets)
                 yield pa.RecordBatch.from_arrays(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, powers, prefix_hash, span_hash, text_bytes, text_chunks
+from .common import U, cut, lean, mix64, powers, prefix_hash, span_hash, text_bytes, text_chunks
 
 LENGTH = 100
 #: Minimizer grams: the first deals all windows; hot minimizers are dealt anew by longer ones, at last by whole windows.
@@ -214,7 +214,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int):
 
 def run_rows(docs: DataFrame, length: int, gram: int, only_keys: bool = False) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             ids = batch.column(0).to_numpy()
             for a, _, data, offsets in text_chunks(batch.column(1)):
                 for part, at, first, place in pieces(data, offsets, length):
@@ -240,7 +240,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = wanted.join(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "doc_id")
 
     def read(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             for i, spans in enumerate(batch.column("spans")):
@@ -280,7 +280,7 @@ def finer_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """The runs of rows' bytes by minimizers of longer grams; at ``length`` each window is its own run."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
                 blobs = part.column(2).to_pylist()
@@ -333,7 +333,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = text_bytes(batch.column(1))
             out: list[list] = [[], [], [], []]
             for i, spans in enumerate(batch.column(2)):
@@ -357,7 +357,7 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     rest = [c for c in names if c != "text"]
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             data, offsets = text_bytes(batch.column("text"))
             texts = []
             for i, spans in enumerate(batch.column("_spans")):

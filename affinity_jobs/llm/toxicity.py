@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, U, chunks, fold, mix64, prefix_hash, span_hash, text_bytes, text_chunks
+from .common import CHUNK_BYTES, LOWER, U, chunks, fold, lean, mix64, prefix_hash, span_hash, text_bytes, text_chunks
 
 #: Bounds of the training sample: rows of each label, and bytes read of each.
 TOXIC_ROWS, ORDINARY_ROWS, EXCERPT = 1500, 2500, 6000
@@ -183,7 +183,7 @@ def toxicity(docs: DataFrame, model: Classifier, *, doc_id: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for a, b, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
                 score = shared.value.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
