@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinity_jobs.llm import bpe, langid, mixing, near_dedup, suffix_dedup
-from affinity_jobs.llm.common import cut, fold, remove, table, written
+from affinity_jobs.llm.common import cut, fold, free_names, remove, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language by code point. If no document has a language, only texts without a letter go.
     """
     model = langid.fit(docs.where(fold(F.col("doc_id")) != 0))
-    found = langid.scored(docs, model)
-    known = found.where("lang_pred != 'und' AND NOT foreign") if model.langs else found.where(F.col("row.text").rlike(r"\p{L}"))
-    own = {c: F.col("row").getField(c) for c in docs.columns}
-    if model.langs:
-        own["lang"] = F.coalesce(own["lang"], F.col("lang_pred"))
-    return known.select(*[c.alias(name) for name, c in own.items()])
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    name = free_names(["found"], docs.columns)["found"]
+    known = docs.withColumn(name, langid.found(model, F.col("text"), spark)).where(f"{name}.lang_pred != 'und' AND NOT {name}.foreign")
+    return known.withColumn("lang", F.coalesce("lang", f"{name}.lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
