@@ -201,7 +201,7 @@ def scored(found: list[Token], hidden: list[int], count: list[int], costs: Costs
 
 def learn(pages: list[str]) -> Costs:
     """Costs from pages that mark their article: log-odds of standing outside it, of tags and of words in classes."""
-    inside, outside, near, far, total = Counter(), Counter(), Counter(), Counter(), [1, 1]
+    inside, outside, near, far = Counter(), Counter(), Counter(), Counter()
     for page in pages:
         found = tokens(page)
         spans = [i for i, t in enumerate(found) if t.tag in ("article", "main")]
@@ -212,17 +212,13 @@ def learn(pages: list[str]) -> Costs:
         among = [spans[0] < i < spans[-1] and not hidden[i] for i in range(len(found))]
         sums = [0, *accumulate(n * a for n, a in zip(count, among, strict=True))], [0, *accumulate(count)]
         for i, token in enumerate(found):
-            total[among[i]] += count[i]
-            if token.tag:
+            if token.tag and not hidden[i]:  # tags of elements that are left out have no part in the sum
                 (inside if among[i] else outside)["/" * token.end + token.tag] += 1
             for c in token.classes:
                 within = sums[0][reach[i] + 1] - sums[0][i]
                 near[c] += within
                 far[c] += sums[1][reach[i] + 1] - sums[1][i] - within
-    tags = {}
-    for tag in inside.keys() | outside.keys():
-        odds = math.log((outside[tag] + 0.5) / total[0]) - math.log((inside[tag] + 0.5) / total[1])
-        tags[tag] = min(MOST, max(LEAST, odds))
+    tags = {tag: min(MOST, max(LEAST, math.log((outside[tag] + 0.5) / (inside[tag] + 0.5)))) for tag in inside.keys() | outside.keys()}
     classes = {c: min(UP, max(DOWN, math.log((far[c] + DOUBT) / (near[c] + DOUBT)))) for c in near.keys() | far.keys()}
     return Costs(tags, classes)
 
