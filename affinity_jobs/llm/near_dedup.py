@@ -26,9 +26,11 @@ from .graph import components
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 REGISTERS = BANDS * ROWS
-#: Deviations below the threshold down to which an estimate is verified.
-MARGIN = 5.0
-BLOCK = 1024
+#: Deviations below the threshold down to which an estimate is verified. Sets of fewer shingles share hashes among
+#: registers, so that their estimates say too little: those are always verified.
+MARGIN, SMALL = 5.0, 64
+#: Rows and bytes of text on each side of a block, unless one text alone is longer.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 STAR_ROUNDS, STAR_CENTRES = 2, 3
 
 PROBES = (mix64(np.arange(REGISTERS * 64, dtype=U) + U(1 << 40)) % U(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
@@ -94,8 +96,12 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((x == y).mean(axis=-1) - c) / (1 - c)
 
 
-def least_estimate(threshold: float) -> float:
-    return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+def near_enough(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates, and whether full sets must be compared: no estimate is trusted that can hide a link."""
+    guess, share = estimate(x, y, n, m), percent / 100
+    least, most = np.minimum(n, m), np.maximum(n, m)
+    possible = 100 * least >= percent * most
+    return guess, possible & ((guess >= share - MARGIN * (share * (1 - share) / REGISTERS) ** 0.5) | (least < SMALL))
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
@@ -142,14 +148,13 @@ def bands(sets: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose estimate is near enough and whose full sets reach the threshold."""
-    floor = least_estimate(percent / 100)
 
     def run(batches):
         for batch in lean(batches):
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
                 x, y = (np.frombuffer(b"".join(v.as_py() for v in part.column(c)), np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
-                near = estimate(x, y, part.column(4).to_numpy(), part.column(5).to_numpy()) >= floor
+                _, near = near_enough(x, y, part.column(4).to_numpy(), part.column(5).to_numpy(), percent)
                 part = part.filter(pa.array(near))
                 sets = [[s for _, _, data, offsets in text_chunks(part.column(c)) for s in shingle_sets(data, offsets, size)] for c in (6, 7)]
                 hit = [linked(p, q, percent) for p, q in zip(*sets, strict=True)]
@@ -168,10 +173,16 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     once in each block of the others; the others stand in every block. A block confirms pairs on full sets,
     skips those that its links have already joined, and returns fewer links than it has rows.
     """
-    floor = least_estimate(percent / 100)
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    about = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
-    about = about.select("key", F.ceil(F.col("all") / BLOCK).cast("int").alias("down"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("across"), F.col("top.label").alias("main"))
+    members = members.join(texts.select(F.col("doc_id").alias("doc"), F.octet_length("text").cast("long").alias("bytes")), "doc")
+    members = cut(members, "block-rows")
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    about = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "label", "bytes")).alias("top"))
+
+    def many(rows, size):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    down, across = many(F.col("all"), F.col("bytes")), many(F.col("all") - F.col("top.c"), F.col("bytes") - F.col("top.bytes"))
+    about = cut(about.select("key", down.alias("down"), across.alias("across"), F.col("top.label").alias("main")), "blocks")
     rows = members.join(about, "key").withColumn("h", F.xxhash64("doc"))
     own = rows.select("key", "doc", "label", F.pmod("h", F.col("down")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(0).alias("side"))
     other = rows.where("label != main").select("key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod("h", F.col("across")).cast("int").alias("j"), F.lit(1).alias("side"))
@@ -192,8 +203,9 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
             near = np.flatnonzero((side == 0) & (group != group[k]))
             if not len(near):
                 continue
-            guess = estimate(regs[near], regs[k], n[near], n[k : k + 1])
-            for i in near[np.argsort(-guess, kind="stable")][: int((guess >= floor).sum())].tolist():
+            guess, may = near_enough(regs[near], regs[k], n[near], n[k : k + 1], percent)
+            near, guess = near[may], guess[may]
+            for i in near[np.argsort(-guess, kind="stable")].tolist():
                 if group[i] == group[k] or not linked(full_set(i), full_set(k), percent):
                     continue
                 links.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
