@@ -65,11 +65,11 @@ def lean(batches: Iterable) -> Iterator:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; ``span_hash`` reads any span's hash off it."""
+def prefix_hash(data: np.ndarray, codes: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """Running polynomial hash of bytes, or of other letters by their ``codes``; ``span_hash`` reads any span's hash off it."""
     p, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(BYTE_CODE[data] * p[:-1], dtype=U, out=out[1:])
+    np.cumsum(codes[data] * p[:-1], dtype=U, out=out[1:])
     return out
 
 

@@ -12,13 +12,14 @@ segments are dealt anew by minimizers of longer grams, at last of whole windows,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, lean, mix64, powers, prefix_hash, span_hash, text_bytes, text_chunks
+from .common import U, carried, cut, lean, mix64, powers, prefix_hash, span_hash, text_bytes, text_chunks
 
 LENGTH = 100
 #: Minimizer grams: the first deals all windows; hot minimizers are dealt anew by longer ones, at last by whole windows.
@@ -31,63 +32,106 @@ SHARD_SEGMENTS = 2000
 STOP = 0xFF
 
 
+def bucket_runs(source: np.ndarray, target: np.ndarray, letters: int, up: bool) -> list[tuple[int, int, bool]]:
+    """Runs ``[a, b)`` of buckets, in scanning order, whose entries put nothing into the run; a bucket that feeds itself stands alone, as True.
+
+    ``source`` and ``target`` are the buckets of each entry and of what it puts ahead.
+    """
+    if not up:  # the same with buckets counted from the other end
+        runs = bucket_runs(letters - 1 - source, letters - 1 - target, letters, True)
+        return [(letters - b, letters - a, loop) for a, b, loop in runs]
+    own = source == target
+    loops = np.zeros(letters, bool)
+    loops[source[own]] = True
+    nearest = np.full(letters, letters)
+    np.minimum.at(nearest, source[~own], target[~own])
+    runs, a, limit = [], 0, letters
+    for c, (loop, near) in enumerate(zip(loops.tolist(), nearest.tolist(), strict=True)):
+        if loop or c >= limit:
+            if a < c:
+                runs.append((a, c, False))
+            a, limit = c, letters
+        if loop:
+            runs.append((c, c + 1, True))
+            a = c + 1
+        limit = min(limit, near)
+        if loop:
+            limit = letters
+    if a < letters:
+        runs.append((a, letters, False))
+    return runs
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of bytes by induced sorting.
+    """Suffix array of a string of small numbers (bytes, or dense names) by induced sorting.
 
     Suffixes are L or S by whether they are greater or smaller than the next. The leftmost S of each run are
-    sorted by their substrings (one induction), named, and the string of names is sorted; a second induction
-    from their order gives all suffixes.
+    sorted by their substrings (one induction) and named; the string of names is sorted in the same way, until all
+    names differ; a second induction from their order gives all suffixes. An induction goes from bucket to bucket,
+    a bucket holding the suffixes of one first letter; buckets that don't feed each other are gone through at once.
     """
     n = len(t)
     if n < 2:
         return np.arange(n)
-    step = np.sign(t[1:].astype(np.int16) - t[:-1].astype(np.int16))
+    t = t.astype(np.int64)
+    letters = int(t.max()) + 1
+    step = np.sign(t[1:] - t[:-1])
     where = np.where(step != 0, np.arange(n - 1), n - 1)
     where = np.minimum.accumulate(where[::-1])[::-1]  # the next place where neighbours differ
     small = np.r_[np.r_[step, -1][where] > 0, False]
     left = np.flatnonzero(small & ~np.r_[True, small[:-1]])
-    size = np.bincount(t, minlength=256)
+    size = np.bincount(t, minlength=letters)
     head = np.cumsum(size) - size
+    large_at, small_at = np.flatnonzero(~small[:-1]), np.flatnonzero(small[:-1])
+    upward = bucket_runs(t[large_at + 1], t[large_at], letters, True)
+    downward = bucket_runs(t[small_at + 1], t[small_at], letters, False)
 
     def induce(order: np.ndarray) -> np.ndarray:
+        out, slot = np.full(n, -1, np.int64), np.repeat(np.arange(letters), size)
         lms = order[np.argsort(t[order], kind="stable")]
-        lms_at = np.r_[0, np.cumsum(np.bincount(t[lms], minlength=256))]
-        out = np.full(n, -1, np.int64)
+        count = np.bincount(t[lms], minlength=letters)
+        rank = np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)
+        out[(head + size - count)[t[lms]] + rank] = lms  # at the ends of their buckets
         fill = head.copy()
-        out[fill[t[n - 1]]] = n - 1  # induced by the end of the text
+        out[fill[t[n - 1]]] = n - 1  # induced by the end of the string
         fill[t[n - 1]] += 1
 
         def put(source: np.ndarray, large: bool) -> None:
             """Append the left neighbours of the right type to their buckets, in order."""
             p = source[source > 0] - 1
             p = p[small[p] != large]
-            if not len(p):
+            if len(p) <= 1:
+                if len(p):
+                    c = t[p[0]]
+                    out[fill[c]] = p[0]
+                    fill[c] += 1 if large else -1
                 return
             c = t[p]
             by = np.argsort(c, kind="stable")
-            p, c = p[by], c[by].astype(np.int64)
-            start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            many = np.diff(np.r_[start, len(c)])
+            p, c = p[by], c[by]
+            edges = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]))
+            start, many = edges[:-1], edges[1:] - edges[:-1]
             rank = np.arange(len(c)) - np.repeat(start, many)
             out[fill[c] + rank if large else fill[c] - rank] = p
             fill[c[start]] += many if large else -many
 
-        for c in np.flatnonzero(size).tolist():
-            done = head[c]
-            while done < fill[c]:  # entries may put more into their own bucket
-                upto = fill[c]
+        for a, b, loop in upward:
+            done, end = head[a], head[b - 1] + size[b - 1]
+            while loop and done < fill[a]:
+                upto = fill[a]
                 put(out[done:upto], True)
                 done = upto
-            put(lms[lms_at[c] : lms_at[c + 1]], True)
+            put(out[done:end], True)
         ends = fill.copy()  # of the L parts
+        out[np.arange(n) >= ends[slot]] = -1
         fill = head + size - 1
-        for c in np.flatnonzero(size)[::-1].tolist():
-            done = head[c] + size[c] - 1
-            while done > fill[c]:
-                upto = fill[c]
+        for a, b, loop in downward:
+            done, end = head[b - 1] + size[b - 1] - 1, head[a]
+            while loop and done > fill[a]:
+                upto = fill[a]
                 put(out[upto + 1 : done + 1][::-1], False)
                 done = upto
-            put(out[head[c] : ends[c]][::-1], False)
+            put(out[end : done + 1][::-1], False)
         return out
 
     if not len(left):
@@ -96,33 +140,17 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_left = np.zeros(n, bool)
     is_left[left] = True
     order = order[is_left[order]]
-    prefix, stop = prefix_hash(t), np.r_[left[1:] + 1, n]
-    code = span_hash(prefix, left, stop)
+    stop = np.r_[left[1:] + 1, n]
+    code = span_hash(prefix_hash(t, mix64(np.arange(letters, dtype=U) + U(1))), left, stop)
     place = np.searchsorted(left, order)
     fresh = np.r_[True, code[place][1:] != code[place][:-1]]
-    name = np.empty(len(left), np.int64)
-    name[place] = np.cumsum(fresh) - 1
     if not fresh.all():
-        order = left[sorted_names(name)]
+        name = np.empty(len(left), np.int64)
+        name[place] = np.cumsum(fresh) - 1
+        order = left[suffix_array(name)]
     return induce(order)
 
 
-def sorted_names(name: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by doubling ranks: its alphabet is too wide for buckets."""
-    n, width, rank = len(name), 1, name
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(n - width, 0)] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.r_[False, key[order][1:] != key[order][:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if rank[order[-1]] == n - 1:
-            return order
-        width *= 2
-
-
 def common_prefixes(t: np.ndarray, array: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix and the one before it in the array (-1 for the first), in text order.
 
@@ -267,10 +295,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def sorted_out(runs: DataFrame, place) -> tuple[DataFrame, DataFrame]:
-    """Runs equal to an earlier run, and the first ones of each minimizer that has different ones (``d`` of them)."""
-    segments = cut(runs.groupBy("mh", "code").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "segments")
-    copied = segments.where("c > 1").select(F.col("mh").alias("m"), F.col("code").alias("k"), F.col("first.doc_id").alias("d0"), F.col("first.start").alias("s0"))
-    same = (F.col("mh") == F.col("m")) & (F.col("code") == F.col("k"))
+    """Runs equal to an earlier run, and the first ones of each minimizer that has different ones (``d`` of them).
+
+    Runs are equal if their minimizers (64-bit hashes), lengths and 64-bit hashes of all their bytes are.
+    """
+    segments = cut(runs.groupBy("mh", "code", "many").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")), "segments")
+    copied = segments.where("c > 1").select(F.col("mh").alias("m"), F.col("code").alias("k"), F.col("many").alias("w"), F.col("first.doc_id").alias("d0"), F.col("first.start").alias("s0"))
+    same = (F.col("mh") == F.col("m")) & (F.col("code") == F.col("k")) & (F.col("many") == F.col("w"))
     later = runs.join(copied, same & ((F.col("doc_id") != F.col("d0")) | (F.col("start") != F.col("s0")))).select("doc_id", "start", "many")
     different = cut(segments.groupBy("mh").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "different")
     return later, segments.join(different, "mh").select("mh", "d", "first.*")
@@ -307,11 +338,11 @@ def compared(rows: DataFrame, shards: int, length: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64("mh"), F.lit(shards))).groupBy("shard").applyInArrow(compare, "doc_id long, start long, many int")
 
 
-def marked(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with ``spans``, the repeated windows of each."""
-    found = repeats(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)), length)
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "many")).alias("_spans"))
-    return docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+def marked(rows: DataFrame, length: int) -> DataFrame:
+    """``rows(doc_id, text, ...)`` with ``spans``, the repeated windows of each."""
+    long = rows.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    spans = repeats(long, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
+    return rows.join(spans, "doc_id", "left")
 
 
 def covered(size: int, spans, length: int) -> np.ndarray:
@@ -328,9 +359,11 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
 
     Null texts are empty, texts under ``length`` bytes are kept whole. Documents with a null id are kept whole;
-    rows repeated with one id and text count as one document.
+    rows repeated with one id and text count as one document; an empty table gives no rows; other columns have no
+    part in it. Of equal strings the one in the document of least id, or first in the document, stays.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
         for batch in lean(batches):
@@ -339,37 +372,37 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
             for i, spans in enumerate(batch.column(2)):
                 part = data[offsets[i] : offsets[i + 1]]
                 gone = covered(len(part), spans.as_py(), length)
-                values = len(part), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(part[~gone].tobytes()).hexdigest()
+                edges = int((gone & ~np.r_[False, gone[:-1]]).sum())
+                values = len(part), int(gone.sum()), edges, hashlib.sha256(part[~gone].tobytes()).hexdigest()
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
 
-    return marked(rows, length).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked(rows, length).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicate(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``, all columns kept.
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``, all columns kept, whatever their names.
 
-    Where a cut splits a character, its remaining bytes go too. Documents of which nothing is left go.
+    Where a cut splits a character, its remaining bytes go too. Documents of which nothing is left go; null and empty
+    texts stay, as empty ones. Null ids, repeated rows, ties and empty tables are as in ``digests``.
     """
-    names = docs.columns
-    rest = [c for c in names if c != "text"]
 
-    def run(batches):
-        for batch in lean(batches):
-            data, offsets = text_bytes(batch.column("text"))
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for column, marks in lean(batches):
+            data, offsets = text_bytes(column)
             texts = []
-            for i, spans in enumerate(batch.column("_spans")):
+            for i, spans in enumerate(marks):
                 part = data[offsets[i] : offsets[i + 1]]
-                gone = covered(len(part), spans.as_py(), length)
-                texts.append(part[~gone].tobytes().decode("utf-8", "ignore"))
-            keep = pa.array([bool(t) or offsets[i] == offsets[i + 1] for i, t in enumerate(texts)])
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
-
-    rows = marked(docs, length).select(*[F.col(f"`{c}`") for c in rest], "text", "_spans")
-    return rows.mapInArrow(run, docs.schema)
+                left = part[~covered(len(part), spans.as_py(), length)].tobytes().decode("utf-8", "ignore")
+                texts.append(left if left or not len(part) else None)
+            yield pa.array(texts, pa.string())
+
+    rows = docs.select(carried(docs, without=(text,)), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kept = F.arrow_udf(run, "string").asNondeterministic()("text", "spans")
+    rows = marked(rows, length).select("row", kept.alias("text")).where("text IS NOT NULL")
+    return rows.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
