@@ -10,6 +10,8 @@ ALPHABET = "ABCDEFGHIKLMNOPQRSTUVWXYZ"
 NUMERIC = ["has_structure", "pocket_hydrophobicity", "pocket_charge", "activation_loop_state"]
 CATEGORIES = ["kinase_group", "kinase_family", "kinase_subfamily", "dfg_state", "ac_helix_state"]
 SEQUENCE, POCKET, HINGE, GATE = 1000, 85, 3, 1
+#: The most values of a category.
+WIDTH = 10_000
 
 
 def numeric_or_zero(c: Column) -> Column:
@@ -30,9 +32,16 @@ def sequence(c: Column, n: int, strict: bool = True) -> Column:
     return F.concat(codes, F.array_repeat(F.lit(0), F.lit(n) - F.size(letters)))
 
 
-def vocabularies(df: DataFrame, columns: list[str] = CATEGORIES) -> DataFrame:
-    """One row with the sorted distinct values of each column; missing ones are blanks and count."""
-    return df.agg(*[F.sort_array(F.collect_set(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in columns])
+def vocabularies(df: DataFrame, columns: list[str] = CATEGORIES, width: int = WIDTH) -> DataFrame:
+    """One row with the sorted distinct values of each column; missing ones are blanks and count.
+
+    A column of more than ``width`` values is an error: it makes no vector.
+    """
+    values = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    counts = df.agg(*[F.count_distinct(v).alias(c) for c, v in values.items()]).first().asDict()
+    if wide := {c: n for c, n in counts.items() if n > width}:
+        raise ValueError(f"too many values for one-hot vectors (more than {width}): {wide}")
+    return df.agg(*[F.sort_array(F.collect_set(v)).alias(c) for c, v in values.items()])
 
 
 def one_hot(value: Column, vocabulary: Column) -> Column:
@@ -51,7 +60,7 @@ def one_of_k(value: Column, allowed: list, unknown: str = "error") -> Column:
 def target_vector(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``target_id, protein_feat``: four numbers, then five one-hots."""
     words = vocabulary.select(*[F.col(c).alias(f"_v_{c}") for c in CATEGORIES])
-    rows = df.join(F.broadcast(words))  # one row: the vocabularies of five columns
+    rows = df.join(F.broadcast(words))  # one row, whose width `vocabularies` checks
     numbers = F.array(*[numeric_or_zero(F.col(c)).cast("float") for c in NUMERIC])
     return rows.select("target_id", F.concat(numbers, *[one_hot(F.coalesce(F.col(c), F.lit("")), F.col(f"_v_{c}")) for c in CATEGORIES]).alias("protein_feat"))
 

@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .io import cut
+
 EPSILON, MAX_SUBGRAPH, MAX_COMBINATION, MAX_TOTAL = 0.25, 8, 2, 8
+#: The largest molecule whose connected sets of all sizes may be asked for.
+UNLIMITED = 24
 
 
 def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) -> DataFrame:
@@ -16,12 +20,15 @@ def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) ->
     A set grows by one neighbour at a time. ``dist`` holds each atom's distance from the first; a neighbour joins
     only if it is greater than the first atom and, by distance then number, comes after the last one. Each set
     has one such order (its ``path``), so nothing is made twice and no step shuffles. A size below 1 gives single
-    atoms; None goes on until no molecule has a larger set.
+    atoms; None goes on until no molecule has a larger set, which is an error above ``UNLIMITED`` atoms: the number
+    of sets doubles with each atom.
     """
     level = adj.select("mol_id", "adj", F.explode(F.map_keys("adj")).alias("atom"))
     level = level.select("mol_id", "adj", F.array("atom").alias("path"), F.array(F.lit(0)).alias("dist"))
     if max_size is None:
-        max_size = level.agg(F.max(F.size("adj"))).first()[0] or 1
+        max_size = adj.agg(F.max(F.size("adj"))).first()[0] or 1
+        if max_size > UNLIMITED:
+            raise ValueError(f"a molecule of {max_size} atoms has too many connected sets: give a max_size")
     own = F.struct("path", "dist")
     for size in range(1, max(max_size, 1)):  # sets of this size give themselves and what they grow to, so the plan has one source
         near = F.array_except(F.array_distinct(F.flatten(F.transform("path", lambda a: F.element_at("adj", a)))), "path")
@@ -88,6 +95,17 @@ def node_mask(n_atoms: Column, atoms: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n_atoms - 1), lambda i: F.array_contains(atoms, i).cast("float"))
 
 
+def masked_sample(candidates: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """A model sample for each candidate: its full sample with features masked, ``mask`` added, and no molecule vector.
+
+    ``samples`` has ``features`` (a row for each atom, by number from 0), ``mol_features`` and ``n_atoms``. Arcs and the
+    number of atoms stay; the molecule's own vector becomes zeros, as it would tell of the whole molecule.
+    """
+    rows = candidates.select(key, "atoms").join(samples, key)
+    masked = {"features": masked_features(F.col("features"), F.col("atoms")), "mask": node_mask(F.col("n_atoms"), F.col("atoms"))}
+    return rows.withColumns(masked | {"mol_features": F.transform("mol_features", lambda x: x * 0)})
+
+
 def sufficient(scored: DataFrame, epsilon: float = EPSILON, full: str = "full_prediction", prediction: str = "prediction") -> DataFrame:
     """Rows whose prediction is within ``epsilon`` of the full one, with their ``difference``."""
     return scored.withColumn("difference", F.abs(F.col(full) - F.col(prediction))).where(F.col("difference") <= epsilon)
@@ -103,8 +121,10 @@ def dedup_by_atoms(df: DataFrame, key: str = "sample_id") -> DataFrame:
 def minimal(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """Rows none of whose strictly smaller sets is among the rows.
 
-    A smaller set's least atom is one of a dominated set's atoms, so the two meet by an equi-join on it.
+    A smaller set's least atom is one of a dominated set's atoms, so the two meet by an equi-join on it. The rows are
+    written first, as they are used three times and may come from a model.
     """
+    df = cut(df, "sets")
     small = df.select(F.col(key).alias("_k"), F.col("atoms").alias("_a"), F.size("atoms").alias("_s"), F.array_min("atoms").alias("_least"))
     each = df.select(key, "atoms", F.explode("atoms").alias("_atom"))
     inside = (F.col(key) == F.col("_k")) & (F.col("_atom") == F.col("_least")) & (F.col("_s") < F.size("atoms")) & (F.size(F.array_except("_a", "atoms")) == 0)

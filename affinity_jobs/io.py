@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Blanks at the ends of a text belong to it.
+CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+# The columns of pair and feature tables.
 PAIRS = "compound_iso_smiles string, target_id string, target_sequence string, affinity double"
 FEATURES = ["target_id", "target_sequence", "kinase_group", "kinase_family", "kinase_subfamily", "klifs_kinase_id", "best_structure_klifs_id", "best_structure_pdb_id", "has_structure", "klifs_85_residue_sequence", "gatekeeper_residue", "hinge_residues", "pocket_residue_composition", "pocket_hydrophobicity", "pocket_charge", "dfg_state", "ac_helix_state", "activation_loop_state"]
 
@@ -37,7 +43,7 @@ def write(df: DataFrame, path: str, *, fmt: str = "parquet", force: bool = False
 
 
 def write_pairs(df: DataFrame, path: str, force: bool = False) -> None:
-    write(df.select("compound_iso_smiles", "target_id", "target_sequence", "affinity"), path, fmt="csv", force=force, header=True)
+    write(df.select("compound_iso_smiles", "target_id", "target_sequence", "affinity"), path, fmt="csv", force=force, **CSV)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +51,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_features(df: DataFrame, path: str, force: bool = False) -> None:
-    write(df.select(*[F.col(c).cast("string") for c in FEATURES]), path, fmt="csv", force=force, header=True)
+    write(df.select(*[F.col(c).cast("string") for c in FEATURES]), path, fmt="csv", force=force, **CSV)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -61,4 +67,21 @@ def write_samples(df: DataFrame, path: str, force: bool = False) -> None:
 def write_explanations(df: DataFrame, path: str, force: bool = False) -> None:
     """Explanations as CSV; list columns become JSON text."""
     columns = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
-    write(df.select(*columns), path, fmt="csv", force=force, header=True)
+    write(df.select(*columns), path, fmt="csv", force=force, **CSV)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, ``spark.checkpoint.dir``; only a local master may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/.shared"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what is used more than once is computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

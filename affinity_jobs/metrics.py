@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .io import cut
+
 #: Best error before the first epoch.
 START = 1000.0
+#: Ranges of a group's values for ranks; distinct rows of a bucket for the concordance index, and the most buckets.
+RANGES, BUCKET_ROWS, MOST_BUCKETS = 64, 200_000, 256
 
 
 def _correlation(k: str, a: str, b: str) -> Column:
@@ -21,18 +25,36 @@ def regression(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> Da
     return found.select(*keys, F.sqrt("mse").alias("rmse"), "mse", _correlation("_k", "_a", "_b").alias("pearson"))
 
 
+def _same(keys: list[str], other: str = "_") -> Column:
+    """Whether group keys agree; null is a group like any other."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
+    return out
+
+
+def _renamed(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_{k}") for k in keys]
+
+
 def average_rank(df: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
     """Ranks within groups, ties sharing their average, from counts of equal values.
 
-    Values are counted first, so a window holds a group's distinct values only.
+    Values are counted first. Counts are summed up over ``RANGES`` ranges of a group's values, then within each
+    range, so that no window holds a group.
     """
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
-    ranks = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(column).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(out))
-    same = F.col(column).eqNullSafe(F.col("_v"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(ranks, same).drop("_v", *[f"_{k}" for k in keys])
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_edges"))
+    edges = edges.select(*_renamed(keys), "_edges")
+    counts = counts.join(edges, _same(keys)).withColumn("_r", F.size(F.filter("_edges", _below(column)))).select(*keys, column, "_n", "_r")
+    ranges = counts.groupBy(*keys, "_r").agg(F.sum("_n").alias("_all"))  # RANGES rows for a group at most
+    before = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_r")) - F.col("_all")
+    ranges = ranges.select(*_renamed(keys), F.col("_r").alias("_q"), before.alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy(column))
+    counts = counts.withColumn("_upto", upto).join(ranges, _same(keys) & (F.col("_r") == F.col("_q")))
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2
+    ranks = counts.select(*_renamed(keys), F.col(column).alias("_v"), rank.alias(out))
+    return df.join(ranks, _same(keys) & F.col(column).eqNullSafe(F.col("_v"))).drop("_v", *[f"_{k}" for k in keys])
 
 
 def spearman(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> DataFrame:
@@ -42,23 +64,43 @@ def spearman(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> Data
     return regression(ranked, keys, "_ry", "_rf").select(*keys, F.col("pearson").alias("spearman"))
 
 
-def concordant(y: np.ndarray, f: np.ndarray) -> tuple[float, int]:
-    """Credit and number of pairs with y_i > y_j: 1 where f_i > f_j, a half where equal; by merging counts."""
-    order = np.lexsort([f, y])
-    y, rank = y[order], np.unique(f[order], return_inverse=True)[1]
-    n = len(y)
-    same_y = np.unique(y, return_counts=True)[1]
-    comparable = (n * (n - 1) - int((same_y * (same_y - 1)).sum())) // 2
-    tree = np.zeros(int(rank.max(initial=0)) + 2, np.int64)
-    credit, start = 0.0, 0
-    for size in same_y.tolist():  # ranks of smaller y are in the tree
-        group = rank[start : start + size]
-        if start:
-            before = np.r_[0, np.cumsum(tree)]
-            credit += float(before[group].sum()) + 0.5 * float(tree[group].sum())
-        np.add.at(tree, group, 1)
-        start += size
-    return credit, comparable
+def pairs_in_order(rank: np.ndarray, n: np.ndarray) -> int:
+    """Pairs of rows (weights multiplied) of which the later has the greater rank, by merging sorted runs in numpy."""
+    total, width = 0, 1
+    rank, n = rank.astype(np.int64), n.astype(np.int64)
+    place, span = np.arange(len(rank)), int(rank.max(initial=0)) + 1
+    while width < len(rank):
+        run = place // (2 * width)
+        late = place % (2 * width) >= width
+        # rows of both halves by run, rank, later half first: a later row counts the earlier ones before it
+        order = np.argsort((run * span + rank) * 2 + ~late, kind="stable")
+        early = np.cumsum(np.where(late[order], 0, n[order]))
+        first = np.searchsorted(run[order], run[order], side="left")
+        before = early - np.where(first > 0, early[first - 1], 0)
+        total += int((before * np.where(late[order], n[order], 0)).sum())
+        rank, n = rank[order], n[order]
+        width *= 2
+    return total
+
+
+def concordant(y: np.ndarray, f: np.ndarray, n: np.ndarray | None = None) -> tuple[float, int]:
+    """Credit and number of pairs with y_i > y_j: 1 where f_i > f_j, a half where equal; rows may have weights.
+
+    Equal rows are merged; rows by y, then falling f, are merge-sorted by f, which takes n log n steps.
+    """
+    if not len(y):
+        return 0.0, 0
+    (ys, a), (fs, b) = (np.unique(v, return_inverse=True) for v in (y, f))
+    cell, inverse = np.unique(a * len(fs) + b, return_inverse=True)
+    n = np.bincount(inverse, weights=n).astype(np.int64)
+    a, b = cell // len(fs), cell % len(fs)
+    order = np.lexsort([-b, a])
+    above = pairs_in_order(b[order], n[order])
+    each = lambda v: sum(int(x) * int(x) for x in np.bincount(v, weights=n))
+    rows, both = int(n.sum()), int((n.astype(object) ** 2).sum())
+    comparable = (rows * rows - each(a)) // 2
+    equal = (each(b) - both) // 2
+    return above + 0.5 * equal, comparable
 
 
 def _below(column: str):
@@ -69,44 +111,64 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int, y: str, f: str) -> D
     """Rows with buckets of y and f, equal values always together."""
     out = df
     for column, name in ((y, "_by"), (f, "_bf")):
-        edges = F.percentile_approx(column, [float(i) / buckets for i in range(1, buckets)]).alias("_edges")
-        cuts = df.groupBy(*keys).agg(edges)
-        out = out.join(cuts, keys).withColumn(name, F.size(F.filter("_edges", _below(column)))).drop("_edges")
+        edges = F.percentile_approx(column, [float(i) / buckets for i in range(1, buckets)], 10 * buckets).alias("_edges")
+        cuts = df.groupBy(*keys).agg(edges).select(*_renamed(keys), "_edges")
+        out = out.join(cuts, _same(keys)).withColumn(name, F.size(F.filter("_edges", _below(column)))).drop("_edges", *[f"_{k}" for k in keys])
     return out
 
 
-def concordance_index(df: DataFrame, keys: list[str], y: str = "y", f: str = "f", buckets: int = 16) -> DataFrame:
-    """``ci`` of each group: null where no two y differ. Rows with NaN are left out.
+def concordance_index(df: DataFrame, keys: list[str], y: str = "y", f: str = "f", buckets: int | None = None) -> DataFrame:
+    """``ci`` of each group: null where no two y differ. Rows with NaN are left out; a null key is a group.
 
-    Pairs fall in three kinds: different y and f buckets (from the grid of bucket counts), the same y bucket, and
-    the same f bucket with different y buckets. The last two are counted bucket by bucket, so no task holds a group.
+    Equal rows are counted first. Pairs fall in three kinds: different y and f buckets (from the grid of bucket counts),
+    the same y bucket, and the same f bucket with different y buckets. The last two are counted bucket by bucket, so
+    no task holds a group; of the last, rows are first added up by y bucket, so a hot value of f takes one row for
+    each bucket. The largest group's distinct rows decide the number of buckets, unless it is given.
     """
-    clean = df.where(~F.isnan(y) & ~F.isnan(f)).select(*keys, F.col(y).alias("y"), F.col(f).alias("f"))
-    rows = _bucketed(clean, keys, buckets, "y", "f")
+    clean = df.where(~F.isnan(y) & ~F.isnan(f)).select(*keys, F.col(y).cast("double").alias("y"), F.col(f).cast("double").alias("f"))
+    cells = cut(clean.groupBy(*keys, "y", "f").agg(F.count(F.lit(1)).alias("n")), "cells")
+    if buckets is None:
+        most = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(1, min(MOST_BUCKETS, -(-most // BUCKET_ROWS)))
+    rows = cut(_bucketed(cells, keys, buckets, "y", "f"), "buckets") if buckets > 1 else cells.withColumns({"_by": F.lit(0), "_bf": F.lit(0)})
     fields = {x.name: x.dataType.simpleString() for x in rows.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", credit double, pairs long"
 
     def within(which: str):
         def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            credit, pairs = concordant(part[which].to_numpy(), part["f"].to_numpy())
+            credit, pairs = concordant(part[which].to_numpy(), part["f"].to_numpy(), part["n"].to_numpy())
             return pd.DataFrame([[*key[: len(keys)], credit, pairs]], columns=[*keys, "credit", "pairs"])
 
         return run
 
-    same_y = rows.groupBy(*keys, "_by").applyInPandas(within("y"), schema)
-    same_f = rows.groupBy(*keys, "_bf").applyInPandas(within("_by"), schema)
-    grid = rows.groupBy(*keys, "_by", "_bf").agg(F.count(F.lit(1)).alias("n"))
-    cells = grid.groupBy(*keys).agg(F.collect_list(F.struct("_by", "_bf", "n")).alias("cells"))
-    high = F.col("a._by") > F.col("b._by")
-    pairs = cells.select(*keys, F.explode("cells").alias("a"), "cells").select(*keys, "a", F.explode("cells").alias("b")).where(high & (F.col("a._bf") != F.col("b._bf")))
-    far = pairs.groupBy(*keys).agg(F.sum(F.when(F.col("a._bf") > F.col("b._bf"), F.col("a.n") * F.col("b.n")).otherwise(0)).cast("double").alias("credit"), F.sum(F.col("a.n") * F.col("b.n")).alias("pairs"))
-    total = same_y.unionByName(same_f).unionByName(far).groupBy(*keys).agg(F.sum("credit").alias("credit"), F.sum("pairs").alias("pairs"))
+    total = rows.groupBy(*keys, "_by").applyInPandas(within("y"), schema)
+    if buckets > 1:
+        added = rows.groupBy(*keys, "_bf", "_by", "f").agg(F.sum("n").alias("n"))
+        total = total.unionByName(added.groupBy(*keys, "_bf").applyInPandas(within("_by"), schema))
+        grid = cut(rows.groupBy(*keys, "_by", "_bf").agg(F.sum("n").alias("n")), "grid")
+        # pairs of different buckets: for each cell, rows of lower y buckets, and of those in lower f buckets
+        one = grid.select(*keys, "_by", "_bf", "n", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_to"))
+        lower = one.where("_to > _bf OR _to < _bf").groupBy(*keys, "_by", "_to").agg(
+            F.sum(F.when(F.col("_bf") < F.col("_to"), F.col("n")).otherwise(0)).alias("_low"), F.sum("n").alias("_all"))
+        filled = grid.select(*keys, "_by", F.col("_bf").alias("_to"), "n").unionByName(lower.select(*keys, "_by", "_to", F.lit(0).cast("long").alias("n")))
+        filled = filled.groupBy(*keys, "_by", "_to").agg(F.sum("n").alias("n"))
+        lower = lower.select(*_renamed(keys), F.col("_by").alias("_b"), F.col("_to").alias("_t"), "_low", "_all")
+        meet = filled.join(lower, _same(keys) & (F.col("_by") == F.col("_b")) & (F.col("_to") == F.col("_t")), "left").select(*keys, "_by", "_to", "n", "_low", "_all")
+        order = Window.partitionBy(*keys, "_to").orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+        far = meet.withColumns({"_below": F.coalesce(F.sum("_low").over(order), F.lit(0)), "_others": F.coalesce(F.sum("_all").over(order), F.lit(0))})
+        far = far.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_below")).cast("double").alias("credit"), F.sum(F.col("n") * F.col("_others")).alias("pairs"))
+        total = total.unionByName(far)
+    total = total.groupBy(*keys).agg(F.sum("credit").alias("credit"), F.sum("pairs").alias("pairs"))
     return total.select(*keys, F.when(F.col("pairs") > 0, F.col("credit") / F.col("pairs")).alias("ci"))
 
 
 def evaluate(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> DataFrame:
-    """``rmse, mse, pearson, spearman, ci`` of each group."""
-    return regression(df, keys, y, f).join(spearman(df, keys, y, f), keys, "left").join(concordance_index(df, keys, y, f), keys, "left")
+    """``rmse, mse, pearson, spearman, ci`` of each group; a null key is a group like any other."""
+    out = regression(df, keys, y, f)
+    for more in (spearman(df, keys, y, f), concordance_index(df, keys, y, f)):
+        name = more.columns[-1]
+        out = out.join(more.select(*_renamed(keys), name), _same(keys), "left").drop(*[f"_{k}" for k in keys])
+    return out
 
 
 def epoch_progress(df: DataFrame, keys: list[str], epoch: str = "epoch", metric: str = "mse") -> DataFrame:

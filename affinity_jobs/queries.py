@@ -66,7 +66,7 @@ def vocab_onehot(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     columns = ["o_orderstatus", "o_orderpriority"]
     words = encode.vocabularies(rows, columns).select(*[F.col(c).alias(f"v_{c}") for c in columns])
-    hot = rows.join(F.broadcast(words)).select("o_orderkey", F.concat(*[encode.one_hot(F.coalesce(F.col(c), F.lit("")), F.col(f"v_{c}")) for c in columns]).alias("v"))  # one row of words
+    hot = rows.join(F.broadcast(words)).select("o_orderkey", F.concat(*[encode.one_hot(F.coalesce(F.col(c), F.lit("")), F.col(f"v_{c}")) for c in columns]).alias("v"))  # one row, its width checked
     return hot.select("o_orderkey", F.posexplode("v").alias("slot", "value")).where("value > 0").select("o_orderkey", "slot", F.col("value").cast("int").alias("value"))
 
 
@@ -183,7 +183,7 @@ SETS = MOLECULES + """,
 sets(m, mask, n) AS (SELECT m, CAST(1 AS BIGINT) << i, 1 FROM atoms
   UNION SELECT s.m, s.mask | (CAST(1 AS BIGINT) << r.b), s.n + 1 FROM sets s JOIN arcs r ON s.m = r.m AND (s.mask >> r.a) & 1 = 1 AND (s.mask >> r.b) & 1 = 0 WHERE s.n < %d)"""
 NAMES = "array_to_string(list_filter(range(1, 60), lambda i: (mask >> i) & 1 = 1), ',')"
-COMBOS = ", combos AS (SELECT m, mask, n, 1 AS parts FROM sets UNION ALL SELECT x.m, x.mask | y.mask, x.n + y.n, 2 FROM sets x JOIN sets y ON x.m = y.m AND x.mask < y.mask AND x.mask & y.mask = 0 AND x.n + y.n <= 4)"
+COMBOS = ", combos AS (SELECT m, mask, n, 1 AS parts FROM sets UNION ALL SELECT x.m, x.mask | y.mask, x.n + y.n, 2 FROM sets x JOIN sets y ON x.m = y.m AND x.mask < y.mask AND x.mask & y.mask = 0 AND x.n + y.n <= 8)"
 
 SQL = {
     "melt_fold": "WITH c AS (SELECT vec_id AS row_idx, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS col_idx FROM embeddings), o AS (SELECT row_idx, CAST(col_idx AS INTEGER) AS col_idx, row_number() OVER (ORDER BY row_idx, col_idx) - 1 AS ordinal, CAST(v AS DOUBLE) AS value FROM c WHERE v >= 0) SELECT * FROM o WHERE ordinal % 5 = 0",
@@ -197,8 +197,8 @@ SQL = {
     "seq_codes": "SELECT p_partkey, array_to_string(list_transform(range(1, 86), lambda i: CASE WHEN i <= length(p_name) THEN instr('ABCDEFGHIKLMNOPQRSTUVWXYZ', substring(upper(p_name), CAST(i AS INTEGER), 1)) ELSE 0 END), ',') AS codes FROM part",
     "arcs_degree": f"WITH {MOLECULES} SELECT atoms.m AS mol_id, atoms.i AS atom_idx, count(arcs.a) AS degree FROM atoms LEFT JOIN arcs ON atoms.m = arcs.m AND atoms.i = arcs.a GROUP BY 1, 2",
     "connected_subgraphs": f"WITH RECURSIVE {SETS % 8} SELECT m AS mol_id, {NAMES} AS atoms, n AS size FROM sets",
-    "disjoint_pairs": f"WITH RECURSIVE {SETS % 4}{COMBOS} SELECT m AS mol_id, n AS size, parts AS num_components, count(*) AS n, count(DISTINCT mask) AS n_sets FROM combos GROUP BY 1, 2, 3",
-    "minimal_explanations": f"WITH RECURSIVE {SETS % 4}{COMBOS}, u AS (SELECT m, mask, n, min(parts) AS parts FROM combos GROUP BY 1, 2, 3), t AS (SELECT m, sum(w) AS total FROM atoms GROUP BY m), p AS (SELECT u.m, u.mask, u.n, u.parts, sum(w) / any_value(total) AS p FROM u JOIN atoms a ON u.m = a.m AND (u.mask >> a.i) & 1 = 1 JOIN t ON u.m = t.m GROUP BY 1, 2, 3, 4), s AS (SELECT *, abs(1.0::DOUBLE - p) AS d FROM p WHERE abs(1.0::DOUBLE - p) <= 0.25) SELECT m AS mol_id, {NAMES} AS atoms, parts AS num_components, n AS size, round(d, 6) AS difference FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.m = s.m AND o.n < s.n AND o.mask & s.mask = o.mask)",
+    "disjoint_pairs": f"WITH RECURSIVE {SETS % 8}{COMBOS} SELECT m AS mol_id, n AS size, parts AS num_components, count(*) AS n, count(DISTINCT mask) AS n_sets FROM combos GROUP BY 1, 2, 3",
+    "minimal_explanations": f"WITH RECURSIVE {SETS % 8}{COMBOS}, u AS (SELECT m, mask, n, min(parts) AS parts FROM combos GROUP BY 1, 2, 3), t AS (SELECT m, sum(w) AS total FROM atoms GROUP BY m), p AS (SELECT u.m, u.mask, u.n, u.parts, sum(w) / any_value(total) AS p FROM u JOIN atoms a ON u.m = a.m AND (u.mask >> a.i) & 1 = 1 JOIN t ON u.m = t.m GROUP BY 1, 2, 3, 4), s AS (SELECT *, abs(1.0::DOUBLE - p) AS d FROM p WHERE abs(1.0::DOUBLE - p) <= 0.25) SELECT m AS mol_id, {NAMES} AS atoms, parts AS num_components, n AS size, round(d, 6) AS difference FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.m = s.m AND o.n < s.n AND o.mask & s.mask = o.mask)",
     "regression_metrics": "SELECT l_returnflag, round(sqrt(avg(power(l_extendedprice - 1000 * l_quantity, 2))), 4) AS rmse, round(avg(power(l_extendedprice - 1000 * l_quantity, 2)) / 1e6, 4) AS mse_m, round(corr(l_extendedprice, 1000 * l_quantity), 6) AS pearson FROM lineitem GROUP BY 1",
     "spearman_by_group": "WITH r AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS b FROM lineitem) SELECT g AS l_returnflag, round(corr(a, b), 6) AS spearman FROM r GROUP BY g",
     "ci_by_group": "SELECT a.l_suppkey, round(sum(CASE WHEN a.l_quantity > b.l_quantity THEN 1.0::DOUBLE WHEN a.l_quantity = b.l_quantity THEN 0.5 ELSE 0 END) / count(*), 6) AS ci FROM lineitem a JOIN lineitem b ON a.l_suppkey = b.l_suppkey AND a.l_extendedprice > b.l_extendedprice GROUP BY 1",

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from affinity_jobs import queries
+from affinity_jobs import chain_queries, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,12 +17,16 @@ def rows(columns, values):
     return sorted((tuple(tidy(row[i]) for i in order) for row in values), key=repr)
 
 
-@pytest.mark.parametrize("name", list(queries.SQL))
+SQL = queries.SQL | chain_queries.SQL
+QUERIES = queries.queries() | chain_queries.queries()
+
+
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
-    found = queries.queries()[name](spark, DATA)
+    found = QUERIES[name](spark, DATA)
     con = duckdb.connect()
     for path in Path(DATA).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
-    frame = con.sql(queries.SQL[name]).to_arrow_table()
+    frame = con.sql(SQL[name]).to_arrow_table()
     want = rows(frame.column_names, zip(*[c.to_pylist() for c in frame.columns], strict=True))
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == want
