@@ -44,6 +44,11 @@ def vocabularies(df: DataFrame, columns: list[str] = CATEGORIES, width: int = WI
     return df.agg(*[F.sort_array(F.collect_set(v)).alias(c) for c, v in values.items()])
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def one_hot(value: Column, vocabulary: Column) -> Column:
     """1 at the value's place; all 0 where it is not there."""
     return F.transform(vocabulary, lambda v: F.coalesce((v == value).cast("float"), F.lit(0.0).cast("float")))
@@ -54,7 +59,7 @@ def one_of_k(value: Column, allowed: list, unknown: str = "error") -> Column:
     options = F.array(*[F.lit(a) for a in allowed])
     known = F.coalesce(F.array_contains(options, value), F.lit(False))
     other = F.lit(allowed[-1]) if unknown == "last" else F.raise_error(F.concat(F.lit("not allowed: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("string" if isinstance(allowed[0], str) else "int")
-    return one_hot(F.when(known, value).otherwise(other), options)
+    return once(F.when(known, value).otherwise(other), lambda v: one_hot(v, options))
 
 
 def target_vector(df: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import one_of_k
+from .encode import once, one_of_k
 
 # The slots of the atom vector.
 SYMBOLS = ["C", "N", "O", "S", "F", "Si", "P", "Cl", "Br", "Mg", "Na", "Ca", "Fe", "As", "Al", "I", "B", "V", "K", "Tl", "Yb", "Sb", "Sn", "Ag", "Pd", "Co", "Se", "Ti", "Zn", "H", "Li", "Ge", "Cu", "Au", "Ni", "Cd", "In", "Mn", "Zr", "Cr", "Pt", "Hg", "Pb", "Unknown"]
@@ -81,8 +81,12 @@ def atom_vector(df: DataFrame) -> DataFrame:
 
 def l1_normalize(v: Column) -> Column:
     """A vector divided by its sum."""
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(v, lambda x: x / total)
+
+    def divide(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+        return once(total, lambda t: F.transform(w, lambda x: x / t))
+
+    return once(v, divide)
 
 
 def distinct_ligands(pairs: list[DataFrame], column: str = "compound_iso_smiles") -> DataFrame:
