@@ -1,29 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class, toxic and ordinary, is a model that spells a word in two steps: its beginning (the first
-``STEM`` bytes), then the word given that beginning, so that compounds of a telling stem count though
-the word itself is new. Counts are discounted in each class, and both classes back off to the same
-continuation counts: an expression too rare to say anything has the same probability in both. A text's
-score compares the two log-likelihoods per word, as a whole and of the telling words, and is calibrated
-on out-of-fold training texts. Words are runs of letters, lower-cased.
+Each class, toxic and ordinary, has a model of words in two orders. The higher one counts a word's tokens; the lower
+one spells a word by its beginning (the first ``STEM`` bytes) and counts, as Kneser-Ney models do, not tokens but the
+different words that it follows, so that compounds of a telling stem count though the word itself is new. Discounts
+follow from how many counts are one, two, three and four. What is discounted goes down to the next order, and at last
+to counts that both classes share: how many different words an expression follows in any of them. So an expression too
+rare to say anything has about the same probability in both.
+
+A text is compared by its log-likelihoods in both classes a word: over the whole text, and over its most toxic few
+words, as a long text may hold a short passage. These differences become a probability by a logistic calibration on
+out-of-fold training texts. Words are runs of letters, lower-cased.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, LOWER, U, chunks, fold, lean, mix64, prefix_hash, span_hash, text_bytes, text_chunks
 
-#: Bounds of the training sample: rows of each label, and bytes read of each.
-TOXIC_ROWS, ORDINARY_ROWS, EXCERPT = 1500, 2500, 6000
+#: Bounds of the training sample: rows of each label, bytes of a text (longer ones don't train), and bytes of all.
+TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES, SAMPLE_BYTES = 1500, 2500, 1 << 16, 24 << 20
 STEM = 6
-#: A count is discounted by itself up to this: expressions seen once or twice leave their mass to the backoff.
-DISCOUNT = 2.5
-#: Log-ratios from which a word is telling.
-TELLING = 1.5
+#: A text is also compared over so many of its words, the most toxic ones.
+FEW = (1, 2, 4, 8)
+#: Multiples of the formula's discounts that are tried.
+SCALES = (1.0, 1.5, 2.0)
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
 
@@ -53,97 +58,99 @@ def piece_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hash(prefix, start, end), span_hash(prefix, start, np.minimum(end, start + STEM)), np.searchsorted(start, offsets)
 
 
-def look(keys: np.ndarray, values: np.ndarray, query: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros((*values.shape[:-1], len(query)))
-    at = np.minimum(np.searchsorted(keys, query), len(keys) - 1)
-    return np.where(keys[at] == query, values[..., at], 0.0)
+def discounts(counts: np.ndarray, scale: float) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and from 3 on: modified Kneser-Ney's, from how many counts are 1 to 4, times ``scale``."""
+    n1, n2, n3, n4 = (max(float((counts == i).sum()), 0.5) for i in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    formula = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.r_[0.0, np.clip(formula * scale, 0.1, [0.98, 1.96, 2.94])]
 
 
-def by_class(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.stack([np.bincount(inverse[label == c], minlength=len(distinct)) for c in (0, 1)]).astype(np.float64)
+def discounted(counts: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+    """Shares of the counts after discounting, and the share left over."""
+    d = discounts(counts, scale)[np.minimum(counts, 3).astype(np.int64)]
+    total = max(float(counts.sum()), 1.0)
+    return (counts - d) / total, float(d.sum()) / total if counts.any() else 1.0
 
 
-class Step:
-    """One spelling step: class counts of units, discounted, over a shared continuation distribution.
-
-    ``history`` gives each unit the key of what it follows; None is the empty history.
-    """
-
-    def __init__(self, unit: np.ndarray, label: np.ndarray, history: np.ndarray | None, contexts: np.ndarray):
-        self.units, self.n = by_class(unit, label)
-        # continuation counts: how many different contexts (texts) a unit is seen in, whatever the class
-        once = unit[np.unique(mix64(unit + contexts * U(0x9E3779B97F4A7C15)), return_index=True)[1]]
-        self.cont = np.bincount(np.searchsorted(self.units, once), minlength=len(self.units)).astype(float)
-        first = np.unique(unit, return_index=True)[1]
-        owner = history[first] if history is not None else np.zeros(len(first), U)
-        self.left, place = np.unique(owner, return_inverse=True)
-        each = lambda x: np.stack([np.bincount(place, weights=v, minlength=len(self.left)) for v in x])
-        self.total = each(self.n)
-        self.mass = each(np.minimum(self.n, DISCOUNT))
-        self.shared = each(self.cont[None] + 0.5)[0]
-
-    def ratio(self, unit: np.ndarray, history: np.ndarray | None) -> np.ndarray:
-        """Log-ratio of toxic to ordinary probability."""
-        owner = history if history is not None else np.zeros(len(unit), U)
-        low = (look(self.units, self.cont, unit) + 0.5) / (look(self.left, self.shared, owner) + 0.5)
-        n, total, mass = look(self.units, self.n, unit), look(self.left, self.total, owner), look(self.left, self.mass, owner)
-        # one token of the shared distribution is added to each class, so that no class rules anything out
-        p = (np.maximum(n - DISCOUNT, 0) + (mass + 1) * low) / (total + 1)
-        return np.log(p[1]) - np.log(p[0])
+def distinct_before(units: np.ndarray, unit: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many different words each of ``units`` (sorted) follows."""
+    once = unit[np.unique(mix64(unit + before * U(0x9E3779B97F4A7C15)), return_index=True)[1]]
+    return np.bincount(np.searchsorted(units, once), minlength=len(units)).astype(float)
 
 
 class Models:
-    """The two spelling steps of both classes."""
+    """Both classes' models, as one log-ratio (toxic against ordinary) for each word and each stem seen."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, scale: float = 1.0):
         word, stem, at = letter_words(data, offsets)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        label, longer = labels[row], word != stem
-        self.stem = Step(stem, label, None, row.astype(U))
-        self.word = Step(word[longer], label[longer], stem[longer], row[longer].astype(U))
+        before = np.r_[U(0), word[:-1]].astype(U)
+        before[at[:-1][at[:-1] < len(word)]] = 0
+        label = np.repeat(labels, np.diff(at))
+        self.words, first, place = np.unique(word, return_index=True, return_inverse=True)
+        self.stems = np.unique(stem)
+        of = np.searchsorted(self.stems, stem[first])  # each word's stem
+        shared, shared_stem = distinct_before(self.words, word, before), distinct_before(self.stems, stem, before)
+        bottom = (shared_stem + 0.5) / (shared_stem.sum() + 0.5 * (len(self.stems) + 1))
+        # a word's share of its stem; one more word of each stem is yet to be seen
+        inside = np.bincount(of, weights=shared, minlength=len(self.stems)) + 1.0
+        spell = shared / inside[of]
+        tokens, stems, fresh = [], [], []
+        for c in (0, 1):
+            own = label == c
+            share, left = discounted(distinct_before(self.stems, stem[own], before[own]), scale)
+            lower = share + left * bottom
+            counts, rest = discounted(np.bincount(place[own], minlength=len(self.words)).astype(float), scale)
+            tokens.append(np.log(counts + rest * lower[of] * spell))
+            stems.append(np.log(rest * lower))
+            fresh.append(np.log(rest * left))
+        self.ratio, self.stem_ratio, self.new = tokens[1] - tokens[0], stems[1] - stems[0], fresh[1] - fresh[0]
 
     def ratios(self, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """Each word's log-likelihood ratio, toxic against ordinary."""
-        some, first, inverse = np.unique(word, return_index=True, return_inverse=True)
-        start = stem[first]
-        ratio = self.stem.ratio(start, None)
-        longer = some != start
-        ratio[longer] += self.word.ratio(some[longer], start[longer])
-        return ratio[inverse]
+        """Each word's log-likelihood ratio, toxic against ordinary: its own, its stem's, or that of new stems."""
+        if not len(self.words) or not len(word):
+            return np.zeros(len(word))
+        at = np.minimum(np.searchsorted(self.stems, stem), len(self.stems) - 1)
+        out = np.where(self.stems[at] == stem, self.stem_ratio[at], self.new)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, self.ratio[at], out)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text: the length-normalised ratio, that of its telling words, their sum's log, and the largest."""
+        """Per text: the difference of log-likelihoods a word, over all words and over the most toxic ``FEW``; 0 without words."""
         word, stem, at = letter_words(data, offsets)
-        ratio = self.ratios(word, stem)
-        telling = np.where(ratio > TELLING, ratio, 0.0)
-        total, strong = (np.diff(np.r_[0, np.cumsum(x)][at]) for x in (ratio, telling))
-        n = np.maximum(np.diff(at), 1)
-        top = np.zeros(len(n))
-        some = np.diff(at) > 0
-        top[some] = np.maximum.reduceat(telling, at[:-1][some]) if some.any() else 0
-        return np.stack([total / n, strong / n, np.log1p(strong), top], axis=1)
+        ratio, n = self.ratios(word, stem), np.diff(at)
+        total = np.r_[0, np.cumsum(ratio)]
+        falling = np.r_[0, np.cumsum(ratio[np.lexsort([-ratio, np.repeat(np.arange(len(n)), n)])])]
+        some = [(falling[np.minimum(at[:-1] + k, at[1:])] - falling[at[:-1]]) / k for k in FEW]
+        return np.stack([(total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1), *some], axis=1)
 
 
 class Classifier:
-    """The two models and a logistic calibration of their ratio, fitted on out-of-fold training texts."""
+    """The two models and a logistic calibration of their differences, fitted on out-of-fold training texts."""
 
     def __init__(self, column: pa.Array, labels: np.ndarray):
         data, offsets = text_bytes(column)
         self.rate = float(labels.mean()) if len(labels) else 0.0
-        self.models, self.weights, self.scale = None, None, np.ones(4)
+        self.models, self.weights, self.scale = None, None, np.ones(1 + len(FEW))
         if not 0 < self.rate < 1:
             return
         part = np.arange(len(labels)) % 4
         part[np.argsort(labels, kind="stable")] = part.copy()
-        x = np.zeros((len(labels), 4))
+        tried = [self.out_of_fold(column, labels, part, scale) for scale in SCALES]
+        _, scale, self.scale, self.weights = min(tried, key=lambda t: t[0])
+        self.models = Models(data, offsets, labels, scale)
+
+    def out_of_fold(self, column: pa.Array, labels: np.ndarray, part: np.ndarray, scale: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """The calibrated log-loss of texts under models of the others, with ``scale`` and the calibration."""
+        x = np.zeros((len(labels), 1 + len(FEW)))
         for p in range(4):
             known, rest = column.filter(pa.array(part != p)), column.filter(pa.array(part == p))
-            x[part == p] = Models(*text_bytes(known), labels[part != p]).features(*text_bytes(rest))
-        self.scale = np.maximum(x.std(axis=0), 1e-9)
-        self.weights = self.calibrate(np.c_[np.ones(len(x)), x / self.scale], labels)
-        self.models = Models(data, offsets, labels)
+            x[part == p] = Models(*text_bytes(known), labels[part != p], scale).features(*text_bytes(rest))
+        spread = np.maximum(x.std(axis=0), 1e-9)
+        x = np.c_[np.ones(len(x)), x / spread]
+        weights = self.calibrate(x, labels)
+        loss = float(np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ weights)).sum())
+        return loss, scale, spread, weights
 
     @staticmethod
     def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -165,21 +172,29 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", ident: str = "doc_id") -> Classifier:
-    """A classifier from a bounded sample: of each label the rows of least hash, and the start of their texts.
+    """A classifier from a bounded sample of whole texts: of each label the rows of least id hash.
 
     The ids are drawn from ``labels`` alone and are few (``TOXIC_ROWS + ORDINARY_ROWS``), so they are broadcast
-    to the documents. Labels other than 0 and 1 are left out.
+    to the documents. Of these, texts over ``TEXT_BYTES`` are left out, and those beyond ``SAMPLE_BYTES`` in all.
+    Labels other than 0 and 1 and ids without a document are left out; of rows repeated with one id, all train. If
+    only one label is there, every text scores as often as it is toxic: 0 or 1; without labels, 0.
     """
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(ident).alias("h"))
     slots = F.pmod("h", F.when(F.col("y") == 1, F.lit(TOXIC_ROWS)).otherwise(F.lit(ORDINARY_ROWS)))
     chosen = rows.groupBy("y", slots.alias("slot")).agg(F.min_by("id", "h").alias("id"))
-    texts = docs.select(F.col(ident).alias("id"), F.substring(F.coalesce(text, F.lit("")), 1, EXCERPT).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").orderBy("y", "slot").select("y", "text").toArrow()
-    return Classifier(sample.column("text").combine_chunks(), sample.column("y").to_numpy().astype(float))
+    texts = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("order", F.xxhash64("id", F.lit(3)))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("order", "id", "text"))  # a few thousand rows
+    found = sample.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).orderBy("y", "slot", "id", "text").select("y", "text").toArrow()
+    return Classifier(found.column("text").combine_chunks(), found.column("y").to_numpy().astype(float))
 
 
 def toxicity(docs: DataFrame, model: Classifier, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` of every whole text; null and empty texts are scored by the calibration's constant."""
+    """``doc_id, score, predicted`` of every whole text.
+
+    Null and empty texts, and those without a letter, get the calibration's constant. Repeated rows and null ids
+    have a row each, an empty table gives none, and other columns have no part in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit's sample
 
     def run(batches):
@@ -188,8 +203,8 @@ def toxicity(docs: DataFrame, model: Classifier, *, doc_id: str = "doc_id", text
                 score = shared.value.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
