@@ -15,14 +15,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lean, text_bytes
+from .common import chunks, cut, lean, text_chunks
 
 RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
 FRAME, HOP, MELS, BLOCK = 128, 64, 20, 16
 HIGH, LOW, SEGMENT_MIN = 1.02, 0.98, 2
 UNIT = 64
-STRIP = 1 << 18
+#: Outputs resampled at once, and bytes of text stored or measured at once.
+STRIP, BATCH_BYTES = 1 << 16, 1 << 20
 
 
 def pad(payload: bytes) -> bytes:
@@ -71,8 +74,9 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
     out = np.empty(n, np.float32)
     for p in range(min(up, n)):  # outputs k, k + up, ... share a phase
-        k = np.arange(p, n, up)
-        out[k] = windows[k * down // up] @ bank[(p * down) % up][::-1]
+        for a in range(p, n, up * STRIP):
+            k = np.arange(a, min(n, a + up * STRIP), up)
+            out[k] = windows[k * down // up] @ bank[(p * down) % up][::-1]
     return out
 
 
@@ -159,48 +163,73 @@ def tensor_bytes(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tensors: bool = True) -> DataFrame:
-    """``doc_id, media binary, tensors binary, feature string`` of each document.
+def stored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_bytes long, media binary``: each whole text's bytes, padded, as a WAVE file; a null text is empty.
 
-    ``media`` is the payload as a WAVE file, ``tensors`` an Arrow stream of fixed-shape log-mel blocks
-    with time spans. A null text is an empty payload, padded to 64 zero bytes.
+    Repeated rows and null ids have a row each; an empty table gives none; other columns have no part in it.
     """
 
     def run(batches):
         for batch in lean(batches):
-            data, offsets = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            for i in range(batch.num_rows):
-                media = store(pad(raw[offsets[i] : offsets[i + 1]]))
-                found = features(*load(media))
-                stream = tensor_bytes(tensor_batch(*blocks(found))) if tensors else None
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([media], pa.binary()), pa.array([stream], pa.binary()), pa.array([feature_text(found)])], ["doc_id", "media", "tensors", "feature"])
+            for a, b, data, at in text_chunks(batch.column(1), BATCH_BYTES):
+                raw = data.tobytes()
+                media = [store(pad(raw[i:j])) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
-    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, media binary, tensors binary, feature string")
 
+def measured(media: DataFrame, *, tensors: bool = True) -> DataFrame:
+    """``media``'s columns ``doc_id, n_bytes`` with what follows from its stored bytes.
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """The media columns' sizes and checksums: what was stored is read back before it is measured."""
+    These are ``payload_bytes, payload_sha256, tail_crc32`` of the samples read back, ``media_bytes, media_sha256`` of the
+    file, ``feature``, and an Arrow stream of fixed-shape log-mel blocks with their time spans as ``tensors``, of
+    which only the size, ``tensor_bytes``, is returned if ``tensors`` is false.
+    """
+    last = ("tensors", T.BinaryType(), pa.binary()) if tensors else ("tensor_bytes", T.LongType(), pa.int64())
+    fields = [
+        ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()),
+        ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string()), last,
+    ]
+
+    def measure(media: bytes) -> tuple:
+        samples, rate = load(media)
+        found = features(samples, rate)
+        stream = tensor_bytes(tensor_batch(*blocks(found)))
+        digests = len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()
+        return *digests, feature_text(found), stream if tensors else len(stream)
+
+    def run(batches):
+        for batch in lean(batches):
+            column = batch.column(2).cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+            for a, b in chunks(at, BATCH_BYTES):
+                rows = [measure(m) for m in column.slice(a, b - a).to_pylist()]
+                columns = [pa.array(values, kind) for values, (_, _, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], ["doc_id", "n_bytes", *[f[0] for f in fields]])
+
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["n_bytes"], *[T.StructField(name, kind) for name, kind, _ in fields]]))
+
+
+def media_columns(docs: DataFrame, **columns) -> DataFrame:
+    """``doc_id, media binary, tensors binary, feature string`` of each document, nulls and other cases as in ``stored``."""
+    files = stored(docs, **columns)
+    names = files.columns
 
     def run(batches):
         for batch in lean(batches):
-            data, offsets = text_bytes(batch.column(1))
-            raw = data.tobytes()
-            out: list[list] = [[] for _ in range(8)]
             for i in range(batch.num_rows):
-                media = store(pad(raw[offsets[i] : offsets[i + 1]]))
-                samples, rate = load(media)
-                found = features(samples, rate)
+                media = batch.column(2)[i].as_py()
+                found = features(*load(media))
                 stream = tensor_bytes(tensor_batch(*blocks(found)))
-                for to, value in zip(out, (int(offsets[i + 1] - offsets[i]), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(found), len(stream)), strict=True):
-                    to.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor_bytes"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([stream], pa.binary()), pa.array([feature_text(found)])], [*names, "tensors", "feature"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_bytes long")
+    kind = T.StructType([*files.schema.fields, T.StructField("tensors", T.BinaryType()), T.StructField("feature", T.StringType())])
+    return files.mapInArrow(run, kind).select("doc_id", "media", "tensors", "feature")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return measured(cut(stored(docs), "media"), tensors=False)
