@@ -27,6 +27,8 @@ from .common import U, checkpoint_dir, chunks, cut, fold, lean, mix64, text_chun
 #: Bytes of text counted or scored at once; they are hashed in smaller pieces.
 CHUNK = 5 << 20
 SHARD_BYTES = 1 << 23
+#: Bits of the most shards, enough for 128 TB of text.
+SHARD_BITS = 24
 END, BEGIN = mix64(np.array([11, 12], dtype=U))
 UNI, BI, HIST, CONT = range(4)
 HIST_BITS, NEXT_BITS = 30, 34
@@ -95,7 +97,7 @@ class Keys:
 
 def dealt(kind: int, shard: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]):
     """Rows ``(kind, shard, blob)`` of sorted keys; ``keys`` are sorted within equal shards after a stable sort."""
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
     shard, keys, columns = shard[order], keys[order], [c[order] for c in columns]
     edges = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)] if len(shard) else np.zeros(1, int)
     return [(kind, int(shard[a]), pack(keys[a:b], *[c[a:b] for c in columns])) for a, b in zip(edges, edges[1:], strict=False)]
@@ -150,7 +152,7 @@ def look_up(folder: str, kind: int, shard: np.ndarray, keys: np.ndarray, columns
     """Columns of keys (0 where absent), shard by shard; queries are sorted, so that lookups run in order."""
     out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
     order = np.argsort(keys)
-    order = order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
+    order = order[np.argsort(shard[order].astype(np.uint32), kind="stable")]
     shard, keys = shard[order], keys[order]
     edges = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)] if len(shard) else np.zeros(1, int)
     for a, b in zip(edges, edges[1:], strict=False):
@@ -212,7 +214,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
     """Count all of ``docs``' texts (null: empty) and store the model's arrays in the shared folder."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = min(16, max(4, int(size // SHARD_BYTES).bit_length()))
+    bits = min(SHARD_BITS, max(4, int(size // SHARD_BYTES).bit_length()))
     folder = f"{local_path(checkpoint_dir(spark))}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
 
@@ -225,7 +227,7 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
                 rows = dealt(UNI, keys.word(word), word, [times])
                 shard, key = keys.bigram(before, token)
                 order = np.argsort(key)
-                order = order[np.argsort(shard[order].astype(np.uint16), kind="stable")]
+                order = order[np.argsort(shard[order].astype(np.uint32), kind="stable")]
                 shard, key = shard[order], key[order]
                 first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
                 times = np.diff(np.r_[first, len(key)])
@@ -270,7 +272,10 @@ def fit(docs: DataFrame, *, text: str = "text") -> Model:
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text (null: empty)."""
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every whole text (null: empty, one token, its end).
+
+    Repeated rows and null ids have a row each; an empty table gives none; other columns have no part in it.
+    """
 
     def run(batches):
         for batch in lean(batches):
@@ -281,7 +286,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
