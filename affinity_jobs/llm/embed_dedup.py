@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, lean
 from .graph import components
 
-SKETCH_WORDS = 4
+#: 64-bit words of a sketch: candidates differ in few of its bits.
+SKETCH_WORDS = 8
 
 
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int, int]:
@@ -94,13 +95,16 @@ def near_duplicates(vectors: DataFrame, *, ident: str = "vec_id", embedding: str
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links, and neither have
     vectors of different lengths. Copies of a vector are linked with each other and with all that any links
-    with. A null id is kept alone with a null component.
+    with; vectors are copies if two 64-bit hashes agree. A null id is kept alone with a null component. Rows repeated
+    with one id count as copies; an empty table gives no rows; other columns have no part in it.
     """
     rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(embedding).alias("v"))
     value = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     good = F.col("v").isNotNull() & F.forall("v", value) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    classes = cut(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m")), "vectors")
+    # vectors are known by two hashes: those are what is shuffled by
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit(seed), "v")})
+    same = rows.where("good").groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("v").alias("v"))
+    classes = cut(same, "vectors")
     bits, tables, far = plan(classes.count(), threshold, recall)
     signs = cut(sign_rows(classes, bits, tables, seed), "signs")
     left, right = signs.alias("l"), signs.alias("r")
@@ -112,8 +116,8 @@ def near_duplicates(vectors: DataFrame, *, ident: str = "vec_id", embedding: str
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(size.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("m").alias("others"))
     about = classes.join(degree, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
-    about = about.select(F.col("v").alias("w"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = rows.where("good").join(about, F.col("v") == F.col("w")).select("vec_id", "n_links", "component_id")
+    about = about.select("h", "g", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = rows.where("good").join(about, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
