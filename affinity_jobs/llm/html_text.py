@@ -30,7 +30,7 @@ from .common import chunks, free_names, lean, text_bytes
 #: Bounds of the training sample: pages, and the length up to which a page is taken, whole.
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 200_000
 #: Costs of a tag: least, greatest, and of one never seen in training.
-LEAST, MOST, UNSEEN = 0.02, 6.0, 0.5
+LEAST, MOST, UNSEEN = 0.02, 6.0, 0.3
 #: What an element that is left out costs as a whole, and bytes of markup taken to Python strings at once.
 AWAY, BATCH_BYTES = 1.0, 1 << 20
 #: Prior costs a word: by element name or a whole class; by the first or last word of a longer class of a container; of other elements.
