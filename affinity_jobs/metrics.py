@@ -12,7 +12,7 @@ from .io import cut
 #: Best error before the first epoch.
 START = 1000.0
 #: Ranges of a group's values for ranks; distinct rows of a bucket for the concordance index, and the most buckets.
-RANGES, BUCKET_ROWS, MOST_BUCKETS = 64, 200_000, 256
+RANGES, BUCKET_ROWS, MOST_BUCKETS = 16, 200_000, 256
 
 
 def _correlation(k: str, a: str, b: str) -> Column:
