@@ -5,6 +5,11 @@ signs of its products with random planes, several bits a table; classes that sha
 and differ in few bits of a longer sketch are candidates, and candidates are verified in double precision.
 Bits grow with the log of the number of vectors, so buckets stay small, and tables are added to keep the
 wanted recall at the threshold.
+
+Large groups of close vectors aren't taken pair by pair. The least id of a bucket may lead a ball: the classes within
+half the threshold's angle of it, by exact cosine. Any two of a ball are within the whole angle of each other, so they
+are linked for sure: they are counted by the ball's size and meet through its leader. Only pairs of different balls
+are candidates. Classes that no leader is near are balls of their own.
 """
 
 from __future__ import annotations
@@ -90,6 +95,17 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cosine double")
 
 
+def balls(signs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``id, ball``: classes within half the threshold's angle of a leader, each with one such leader of lesser id."""
+    half = max(math.acos(threshold) / 2 - 1e-6, 0.0)  # the margin is far above rounding
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
+    first = signs.groupBy("key").agg(F.min(F.struct("id", *words)).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"lead.{w}"))) for w in words), F.lit(0))
+    likely = signs.join(first, "key").where((F.col("id") > F.col("lead.id")) & (differ <= int(64 * SKETCH_WORDS * half / math.pi)))
+    one = likely.groupBy("id").agg(F.min("lead.id").alias("a")).select("a", F.col("id").alias("b"))
+    return verified(one, classes, math.cos(half)).select(F.col("b").alias("id"), F.col("a").alias("ball"))
+
+
 def near_duplicates(vectors: DataFrame, *, ident: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, recall: float = 0.999, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector.
 
@@ -107,16 +123,24 @@ def near_duplicates(vectors: DataFrame, *, ident: str = "vec_id", embedding: str
     classes = cut(same, "vectors")
     bits, tables, far = plan(classes.count(), threshold, recall)
     signs = cut(sign_rows(classes, bits, tables, seed), "signs")
-    left, right = signs.alias("l"), signs.alias("r")
+    inside = cut(balls(signs, classes, threshold), "balls")
+    tagged = signs.join(inside, "id", "left").withColumn("ball", F.coalesce("ball", "id"))
+    left, right = tagged.alias("l"), tagged.alias("r")
     differ = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (differ <= far)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.ball") != F.col("r.ball"))
+    pairs = left.join(right, apart & (differ <= far)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    # a leader may itself be in another's ball: its own then is linked with it from outside
+    moved = inside.join(inside.select(F.col("id").alias("ball")), "ball").select(F.col("ball").alias("a"), F.col("id").alias("b"))
+    pairs = pairs.unionByName(moved).distinct()
     links = cut(verified(pairs, classes, threshold).select("a", "b"), "vector-links")
-    found = components(links)
+    found = components(links.unionByName(inside.select(F.col("ball").alias("a"), F.col("id").alias("b"))))
     size = classes.select("id", "m")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(size.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("m").alias("others"))
-    about = classes.join(degree, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
-    about = about.select("h", "g", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    in_ball = classes.join(inside, "id", "left").withColumn("ball", F.coalesce("ball", "id"))
+    mass = in_ball.groupBy("ball").agg(F.sum("m").alias("mass"))
+    about = in_ball.join(mass, "ball").join(degree, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("node"), "left")
+    about = about.select("h", "g", (F.col("mass") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     linked = rows.where("good").join(about, ["h", "g"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -168,6 +168,27 @@ def test_embeddings(spark):
     assert sum(r.n_links for r in found.values()) >= 0.98 * 2 * len(links)
 
 
+def test_balls_of_close_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(rng.standard_normal((6, 64)))
+    # groups of copies from tight, which are one ball, to loose, whose balls are linked in part, and a chain of small steps
+    groups = [c + s * rng.standard_normal((60, 64)) for c, s in zip(centres, (0.005, 0.012, 0.02, 0.03, 0.04, 0.05), strict=True)]
+    path = unit(rng.standard_normal((2, 64)))
+    chain = [np.cos(t) * path[0] + np.sin(t) * path[1] for t in np.arange(0, 1.2, 0.04)]
+    v = rng.permutation(np.concatenate([*groups, chain, groups[1][:5]]))
+    rows = [(int(i), [float(y) for y in x]) for i, x in enumerate(v)]
+    found = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.999999).collect()}
+    near = unit(v) @ unit(v).T >= 0.9
+    for i in range(len(v)):
+        assert found[i].n_links == near[i].sum() - 1
+        reach = {i}
+        while len(more := set(np.flatnonzero(near[sorted(reach)].any(axis=0)))) > len(reach):
+            reach = more
+        assert found[i].component_id == min(reach) and found[i].kept == (i == min(reach))
+    assert len(found) == len(v)
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav><a href="/x">Menu</a></nav><div class="ad">Buy now</div><article><h1>Head</h1><p>One <b>bo</b>ld &amp; two<br>three</p><script>var t="</p>"</script><aside>Note</aside><p>Four five six</p></article><footer>Foot</footer></body></html>'
     assert html_text.extract(page, html_text.learn([page])) == "Head\nOne bold & two three\nFour five six"
