@@ -14,7 +14,7 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are separated by these (fixed by the word definition).
@@ -185,6 +185,41 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
         _written.remove(path)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int], *, text: str, label: str, ident: str, text_bytes: int, sample_bytes: int) -> tuple[pa.Array, np.ndarray]:
+    """Texts and labels of a bounded sample: of each label the ``rows[label]`` ids of least hash, or all if fewer.
+
+    The ids come from ``labels`` alone; as their number is bounded, they are broadcast to the documents. Of rows repeated
+    with one id, the text of least hash counts; texts over ``text_bytes`` are left out, and, in the order of another
+    hash, those beyond ``sample_bytes`` in all. Other labels, null ids and ids without a document are left out.
+    """
+    known = labels.where(F.col(label).isin(*rows)).select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL").distinct()
+    chosen = None
+    for y, n in rows.items():
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    texts = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= text_bytes)
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id", F.lit(3)), "id", "y"))  # the chosen rows
+    found = one.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).orderBy("y", F.xxhash64("id"), "id").select("y", "text").toArrow()
+    return found.column("text").combine_chunks(), found.column("y").to_numpy().astype(float)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, mix: np.ndarray | float = 1.0, penalty: float = 0.1) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps with a small penalty; rows count ``mix`` times."""
+    w, mix = np.zeros(x.shape[1]), np.broadcast_to(mix, len(y))
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (mix * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (mix * (y - p)) - penalty * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, html_text, langid, media, mixing, near_dedup, ngram_lm, suffix_dedup, toxicity
+from . import bpe, embed_dedup, html_text, langid, media, mixing, near_dedup, ngram_lm, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_media": media.op8,
         "op9_mixing": mixing.op9,
         "op10_embed_dedup": embed_dedup.op10,
+        "op13_quality": quality.op13,
     }
 
 

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, LOWER, U, chunks, fold, lean, mix64, prefix_hash, span_hash, text_bytes, text_chunks
+from .common import CHUNK_BYTES, LOWER, U, chunks, fold, labelled_sample, lean, logistic, mix64, prefix_hash, sigmoid, span_hash, text_bytes, text_chunks
 
 #: Bounds of the training sample: rows of each label, bytes of a text (longer ones don't train), and bytes of all.
 TOXIC_ROWS, ORDINARY_ROWS, TEXT_BYTES, SAMPLE_BYTES = 1500, 2500, 1 << 16, 24 << 20
@@ -148,45 +148,25 @@ class Classifier:
             x[part == p] = Models(*text_bytes(known), labels[part != p], scale).features(*text_bytes(rest))
         spread = np.maximum(x.std(axis=0), 1e-9)
         x = np.c_[np.ones(len(x)), x / spread]
-        weights = self.calibrate(x, labels)
+        weights = logistic(x, labels)
         loss = float(np.logaddexp(0, np.where(labels > 0, -1, 1) * (x @ weights)).sum())
         return loss, scale, spread, weights
 
-    @staticmethod
-    def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Logistic regression by Newton steps with a small penalty."""
-        w = np.zeros(x.shape[1])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
-            w += step
-            if np.abs(step).max() < 1e-8:
-                break
-        return w
-
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.models is None:
             return np.full(len(offsets) - 1, self.rate)
         z = np.c_[np.ones(len(offsets) - 1), self.models.features(data, offsets) / self.scale] @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return sigmoid(z)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "toxic", ident: str = "doc_id") -> Classifier:
-    """A classifier from a bounded sample of whole texts: of each label the rows of least id hash.
+    """A classifier from a bounded sample of whole texts, see ``labelled_sample``: ``TOXIC_ROWS`` and ``ORDINARY_ROWS``, or all if fewer.
 
-    The ids are drawn from ``labels`` alone and are few (``TOXIC_ROWS + ORDINARY_ROWS``), so they are broadcast
-    to the documents. Of these, texts over ``TEXT_BYTES`` are left out, and those beyond ``SAMPLE_BYTES`` in all.
-    Labels other than 0 and 1 and ids without a document are left out; of rows repeated with one id, all train. If
-    only one label is there, every text scores as often as it is toxic: 0 or 1; without labels, 0.
+    If only one label is there, every text scores as often as it is toxic: 0 or 1; without labels, 0.
     """
-    rows = labels.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(ident).alias("h"))
-    slots = F.pmod("h", F.when(F.col("y") == 1, F.lit(TOXIC_ROWS)).otherwise(F.lit(ORDINARY_ROWS)))
-    chosen = rows.groupBy("y", slots.alias("slot")).agg(F.min_by("id", "h").alias("id"))
-    texts = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= TEXT_BYTES)
-    sample = texts.join(F.broadcast(chosen), "id").withColumn("order", F.xxhash64("id", F.lit(3)))
-    upto = F.sum(F.octet_length("text")).over(Window.orderBy("order", "id", "text"))  # a few thousand rows
-    found = sample.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).orderBy("y", "slot", "id", "text").select("y", "text").toArrow()
-    return Classifier(found.column("text").combine_chunks(), found.column("y").to_numpy().astype(float))
+    bounds = {1: TOXIC_ROWS, 0: ORDINARY_ROWS}
+    texts, known = labelled_sample(docs, labels, bounds, text=text, label=label, ident=ident, text_bytes=TEXT_BYTES, sample_bytes=SAMPLE_BYTES)
+    return Classifier(texts, known)
 
 
 def toxicity(docs: DataFrame, model: Classifier, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
