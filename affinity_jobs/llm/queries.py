@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, html_text, langid, media, mixing, near_dedup, ngram_lm, quality, suffix_dedup, toxicity
+from . import bpe, embed_dedup, hard_negatives, html_text, langid, media, mixing, near_dedup, ngram_lm, prefix_trie, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_media": media.op8,
         "op9_mixing": mixing.op9,
         "op10_embed_dedup": embed_dedup.op10,
+        "op11_hard_negatives": hard_negatives.op11,
+        "op12_prefix_trie": prefix_trie.op12,
         "op13_quality": quality.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL}
+    return {"op9_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_prefix_trie": prefix_trie.SQL}
