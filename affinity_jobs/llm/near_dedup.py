@@ -115,20 +115,21 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, s1, s2, regs``: set size, two sums that identify the set, and registers."""
+    """``doc_id, code, n, s1, s2, regs``: the text's hash, set size, two sums that identify the set, and registers."""
 
     def run(batches):
         for batch in lean(batches):
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(2)):
                 n, s1, s2, regs = [], [], [], []
                 for s in shingle_sets(data, offsets, size):
                     n.append(len(s))
                     s1.append(s.sum(dtype=U).astype(np.int64))
                     s2.append(mix64(s ^ U(0x5555)).sum(dtype=U).astype(np.int64))
                     regs.append(registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "s1", "s2", "regs"])
+                sums = [pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *sums], ["doc_id", "code", "n", "s1", "s2", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, regs binary")
+    return docs.select("doc_id", "code", "text").mapInArrow(run, "doc_id long, code long, n long, s1 long, s2 long, regs binary")
 
 
 def bands(sets: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def bands(sets: DataFrame) -> DataFrame:
                 key = mix64((mix64(regs + U(1)) * scale).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U)[None, :] * U(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["key", "doc"])
 
-    return sets.select("doc_id", "regs").mapInArrow(run, "key long, doc long")
+    return sets.select("doc", "regs").mapInArrow(run, "key long, doc long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -161,8 +162,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 part = part.filter(pa.array(hit, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"), F.col("text").alias("tb"))
+    left = texts.select(F.col("doc").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -173,7 +174,7 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     once in each block of the others; the others stand in every block. A block confirms pairs on full sets,
     skips those that its links have already joined, and returns fewer links than it has rows.
     """
-    members = members.join(texts.select(F.col("doc_id").alias("doc"), F.octet_length("text").cast("long").alias("bytes")), "doc")
+    members = members.join(texts.select("doc", F.octet_length("text").cast("long").alias("bytes")), "doc")
     members = cut(members, "block-rows")
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
     about = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.sum("bytes").alias("bytes"), F.max(F.struct("c", "label", "bytes")).alias("top"))
@@ -186,7 +187,7 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     rows = members.join(about, "key").withColumn("h", F.xxhash64("doc"))
     own = rows.select("key", "doc", "label", F.pmod("h", F.col("down")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(0).alias("side"))
     other = rows.where("label != main").select("key", "doc", "label", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod("h", F.col("across")).cast("int").alias("j"), F.lit(1).alias("side"))
-    cells = own.unionByName(other).join(texts.select(F.col("doc_id").alias("doc"), "n", "regs", "text"), "doc").select("key", "i", "j", "side", "doc", "label", "n", "regs", "text")
+    cells = own.unionByName(other).join(texts.select("doc", "n", "regs", "text"), "doc").select("key", "i", "j", "side", "doc", "label", "n", "regs", "text")
 
     def run(table: pa.Table) -> pa.Table:
         side, doc, label, n = (table.column(c).to_numpy() for c in ("side", "doc", "label", "n"))
@@ -216,22 +217,23 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
+    """``doc_id, n_shingles, component_id, kept, code`` of every document; ``code`` is xxhash64 of its text.
 
     Documents link whose sets of ``size``-word shingles have a Jaccard index of ``percent`` hundredths or
-    more. Null and empty texts have an empty set and are alone; a null id is kept with a null component;
-    rows repeated with one id have one component.
+    more. Null and empty texts have an empty set and are alone; a null id is kept with a null component. Each row is a
+    document of its own: rows repeated with one id and text share a component, different texts with one id link as
+    theirs do.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("code", F.xxhash64("text"))
     sketch = cut(sketches(rows, size), "sketches")
     some = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "regs")).alias("x")).select("n", "s1", "s2", F.col("x.doc_id").alias("doc_id"), F.col("x.regs").alias("regs"))
-    classes = cut(classes, "sets")
+    classes = some.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "code", "regs")).alias("x")).select("n", "s1", "s2", "x.*")
+    classes = cut(classes.withColumn("doc", F.monotonically_increasing_id()), "sets")  # numbered once, as they are written
     every = bands(classes)
     shared = cut(every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared")
     members = cut(every.join(shared, "key"), "buckets")
-    involved = members.select(F.col("doc").alias("doc_id")).distinct()
-    texts = cut(rows.join(classes.join(involved, "doc_id").select("doc_id", "n", "regs"), "doc_id").dropDuplicates(["doc_id"]), "candidates")
+    involved = members.select("doc").distinct()
+    texts = cut(rows.join(classes.join(involved, "doc").select("doc", "doc_id", "code", "n", "regs"), ["doc_id", "code"]).dropDuplicates(["doc"]).select("doc", "n", "regs", "text"), "candidates")
     links = members.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(STAR_ROUNDS):
         labelled = label_of(members, links) if turn else members.withColumn("label", F.col("doc"))
@@ -246,11 +248,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     mixed = cut(label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key"), "mixed")
     rest = cut(label.join(mixed, "key"), "open-buckets")
     links = cut(links.unionByName(block_links(rest, texts, size, percent)), "doc-links")
-    found = components(links)
-    about = classes.join(found, F.col("doc_id") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "doc_id").alias("component_id"))
-    linked = some.select("doc_id", "n", "s1", "s2").join(about, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sketch.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = components(links).join(classes.select(F.col("doc").alias("node"), "doc_id"), "node")
+    least = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
+    found = found.join(least, "component").select(F.col("node").alias("doc"), "component_id")
+    about = classes.join(found, "doc", "left").select("n", "s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = some.select("doc_id", "code", "n", "s1", "s2").join(about, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "code")
+    alone = sketch.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "code")
+    out = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "code")
 
 
 def label_of(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,4 +265,4 @@ def label_of(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("code")

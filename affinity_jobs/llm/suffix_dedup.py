@@ -339,10 +339,19 @@ def compared(rows: DataFrame, shards: int, length: int) -> DataFrame:
 
 
 def marked(rows: DataFrame, length: int) -> DataFrame:
-    """``rows(doc_id, text, ...)`` with ``spans``, the repeated windows of each."""
-    long = rows.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    spans = repeats(long, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
-    return rows.join(spans, "doc_id", "left")
+    """``rows(doc_id, text, ...)`` with ``spans``, the repeated windows of each.
+
+    Of different texts of ``length`` bytes or more with one id, the one of least hash counts; the others have no spans.
+    """
+    code = F.when(F.octet_length("text") >= length, F.xxhash64("text"))
+    texts = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(code).alias("_code"), F.max(code).alias("_last"))
+    unlike = cut(texts.where("_code < _last").select("doc_id", "_code"), "unlike")  # ids with different texts, mostly none
+    counts = code.isNotNull() & F.col("doc_id").isNotNull()
+    if not unlike.isEmpty():
+        rows = rows.join(unlike, "doc_id", "left")
+        counts = counts & F.coalesce(code == F.col("_code"), F.lit(True))
+    spans = repeats(rows.where(counts).select("doc_id", "text"), length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
+    return rows.join(spans, "doc_id", "left").withColumn("spans", F.when(counts, F.col("spans"))).drop("_code")
 
 
 def covered(size: int, spans, length: int) -> np.ndarray:
@@ -359,8 +368,8 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
 
     Null texts are empty, texts under ``length`` bytes are kept whole. Documents with a null id are kept whole;
-    rows repeated with one id and text count as one document; an empty table gives no rows; other columns have no
-    part in it. Of equal strings the one in the document of least id, or first in the document, stays.
+    rows repeated with one id and text count as one document; of different texts of ``length`` bytes or more with one id,
+    the one of least hash counts, and the others are kept whole. An empty table gives no rows; other columns have no part in it. Of equal strings the one in the document of least id, or first in the document, stays.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
