@@ -33,10 +33,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, 0.8): the one of least id.
 
-    Null and empty texts have no duplicates. Rows repeated with the id that stays all stay.
+    Null and empty texts have no duplicates. Rows repeated with the id and text that stay all stay; of different texts
+    with one id each is judged by itself.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("code").alias("hash")).distinct()
+    stays = (docs["doc_id"] == kept["id"]) & (F.xxhash64(docs["text"]) == kept["hash"])
+    return docs.join(kept, stays, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
