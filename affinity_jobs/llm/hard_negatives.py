@@ -59,7 +59,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     n = column.value_lengths().to_numpy() if len(column) else np.zeros(0, np.int64)
     values = column.flatten().to_numpy()
     if (n == dim).all():
-        return values.reshape(-1, dim)
+        return values.reshape(len(n), dim)
     out = np.zeros((len(n), dim), values.dtype)
     out[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = values
     return out
