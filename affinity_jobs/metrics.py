@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .io import cut
+from .totals import numbered_groups, renamed, running_total, same
 
 #: Best error before the first epoch.
 START = 1000.0
-#: Ranges of a group's values for ranks; distinct rows of a bucket for the concordance index, and the most buckets.
-RANGES, BUCKET_ROWS, MOST_BUCKETS = 16, 200_000, 256
+#: Distinct rows whose pairs one task counts; buckets of y and of f into which more of them are cut.
+TASK_ROWS, SPLITS = 1 << 19, 256
 
 
 def _correlation(k: str, a: str, b: str) -> Column:
@@ -25,43 +26,46 @@ def regression(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> Da
     return found.select(*keys, F.sqrt("mse").alias("rmse"), "mse", _correlation("_k", "_a", "_b").alias("pearson"))
 
 
-def _same(keys: list[str], other: str = "_") -> Column:
-    """Whether group keys agree; null is a group like any other."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
-    return out
-
-
-def _renamed(keys: list[str]) -> list[Column]:
-    return [F.col(k).alias(f"_{k}") for k in keys]
+def _cells(df: DataFrame, keys: list[str], y: str, f: str) -> tuple[DataFrame, DataFrame]:
+    """Equal rows without NaN counted: ``_g, y, f, n``; and the groups ``keys, _g``."""
+    clean = df.where(~F.isnan(y) & ~F.isnan(f)).select(*keys, F.col(y).cast("double").alias("y"), F.col(f).cast("double").alias("f"))
+    rows, groups = numbered_groups(clean, keys)
+    return cut(rows.groupBy("_g", "y", "f").agg(F.count(F.lit(1)).alias("n")), "cells"), groups
 
 
 def average_rank(df: DataFrame, keys: list[str], column: str, out: str) -> DataFrame:
-    """Ranks within groups, ties sharing their average, from counts of equal values.
+    """Ranks within groups, ties sharing their average, from counts of equal values in sorted ranges.
 
-    Values are counted first. Counts are summed up over ``RANGES`` ranges of a group's values, then within each
-    range, so that no window holds a group.
+    A group takes as many ranges as its distinct values need.
     """
-    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(column, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_edges"))
-    edges = edges.select(*_renamed(keys), "_edges")
-    counts = counts.join(edges, _same(keys)).withColumn("_r", F.size(F.filter("_edges", _below(column)))).select(*keys, column, "_n", "_r")
-    ranges = counts.groupBy(*keys, "_r").agg(F.sum("_n").alias("_all"))  # RANGES rows for a group at most
-    before = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_r")) - F.col("_all")
-    ranges = ranges.select(*_renamed(keys), F.col("_r").alias("_q"), before.alias("_before"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy(column))
-    counts = counts.withColumn("_upto", upto).join(ranges, _same(keys) & (F.col("_r") == F.col("_q")))
-    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2
-    ranks = counts.select(*_renamed(keys), F.col(column).alias("_v"), rank.alias(out))
-    return df.join(ranks, _same(keys) & F.col(column).eqNullSafe(F.col("_v"))).drop("_v", *[f"_{k}" for k in keys])
+    counts, groups = numbered_groups(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n")), keys)
+    upto = running_total(counts, ["_g"], column, "n", "_upto").join(groups, "_g")
+    ranks = upto.select(*renamed(keys), F.col(column).alias("_v"), (F.col("_upto") - (F.col("n") - 1) / 2).alias(out))
+    return df.join(ranks, same(keys) & F.col(column).eqNullSafe(F.col("_v"))).drop("_v", *[f"_{k}" for k in keys])
+
+
+def _spearman(cells: DataFrame) -> DataFrame:
+    """``_g, spearman`` of counted cells. Ranks are taken from their mean, which is known, so that no digits are lost."""
+    each = [cells.groupBy("_g", F.lit(i).cast("long").alias("_c"), F.col(c).alias("_v")).agg(F.sum("n").alias("n")) for i, c in enumerate("yf")]
+    upto = running_total(each[0].unionByName(each[1]), ["_g", "_c"], "_v", "n", "_upto")
+    ranks = upto.select("_g", "_c", "_v", (F.col("_upto") - (F.col("n") - 1) / 2).alias("_r"))
+    rows = cells
+    for i, (column, name) in enumerate((("y", "_ry"), ("f", "_rf"))):
+        rows = rows.join(ranks.where(F.col("_c") == i).select("_g", F.col("_v").alias(column), F.col("_r").alias(name)), ["_g", column])
+    rows = rows.join(cells.groupBy("_g").agg(((F.sum("n") + 1) / 2).alias("_mean")), "_g")
+    a, b, n = F.col("_ry") - F.col("_mean"), F.col("_rf") - F.col("_mean"), F.col("n")
+    sums = rows.groupBy("_g").agg(F.sum(n * a * b).alias("_k"), F.sqrt(F.sum(n * a * a)).alias("_a"), F.sqrt(F.sum(n * b * b)).alias("_b"))
+    return sums.select("_g", _correlation("_k", "_a", "_b").alias("spearman"))
+
+
+def _named(found: DataFrame, groups: DataFrame, keys: list[str], column: str) -> DataFrame:
+    return groups.join(found, "_g", "left").select(*keys, column)
 
 
 def spearman(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> DataFrame:
-    """Correlation of average ranks; rows with NaN are left out."""
-    clean = df.where(~F.isnan(y) & ~F.isnan(f))
-    ranked = average_rank(average_rank(clean.select(*keys, y, f), keys, y, "_ry"), keys, f, "_rf")
-    return regression(ranked, keys, "_ry", "_rf").select(*keys, F.col("pearson").alias("spearman"))
+    """Correlation of average ranks; rows with NaN are left out. NaN where a column is constant."""
+    cells, groups = _cells(df, keys, y, f)
+    return _named(_spearman(cells), groups, keys, "spearman")
 
 
 def pairs_in_order(rank: np.ndarray, n: np.ndarray) -> int:
@@ -77,97 +81,102 @@ def pairs_in_order(rank: np.ndarray, n: np.ndarray) -> int:
         early = np.cumsum(np.where(late[order], 0, n[order]))
         first = np.searchsorted(run[order], run[order], side="left")
         before = early - np.where(first > 0, early[first - 1], 0)
-        total += int((before * np.where(late[order], n[order], 0)).sum())
+        total += int((before.astype(object) if early[-1] > 1 << 31 else before).dot(np.where(late[order], n[order], 0)))
         rank, n = rank[order], n[order]
         width *= 2
     return total
 
 
-def concordant(y: np.ndarray, f: np.ndarray, n: np.ndarray | None = None) -> tuple[float, int]:
-    """Credit and number of pairs with y_i > y_j: 1 where f_i > f_j, a half where equal; rows may have weights.
+def both_greater(y: np.ndarray, f: np.ndarray, n: np.ndarray) -> int:
+    """Pairs of rows (weights multiplied) of which one has the greater y and the greater f: rows by y, then falling f, merge-sorted by f."""
+    a, b = (np.unique(v, return_inverse=True)[1] for v in (y, f))
+    order = np.lexsort([-b, a])
+    return pairs_in_order(b[order], n[order])
+
 
-    Equal rows are merged; rows by y, then falling f, are merge-sorted by f, which takes n log n steps.
+def _buckets(rows: DataFrame, column: str, name: str, splits: int) -> DataFrame:
+    """``_g, _p, column, name``: each value's bucket in order, of about a ``splits``-th of the problem's rows.
+
+    A value with that many rows is a bucket of its own, so buckets of several values have twice as many at most.
     """
-    if not len(y):
-        return 0.0, 0
-    (ys, a), (fs, b) = (np.unique(v, return_inverse=True) for v in (y, f))
-    cell, inverse = np.unique(a * len(fs) + b, return_inverse=True)
-    n = np.bincount(inverse, weights=n).astype(np.int64)
-    a, b = cell // len(fs), cell % len(fs)
-    order = np.lexsort([-b, a])
-    above = pairs_in_order(b[order], n[order])
-    each = lambda v: sum(int(x) * int(x) for x in np.bincount(v, weights=n))
-    rows, both = int(n.sum()), int((n.astype(object) ** 2).sum())
-    comparable = (rows * rows - each(a)) // 2
-    equal = (each(b) - both) // 2
-    return above + 0.5 * equal, comparable
+    counts = rows.groupBy("_g", "_p", column).agg(F.count(F.lit(1)).alias("_c"))
+    goal = rows.groupBy("_g", "_p").agg(F.ceil(F.count(F.lit(1)) / splits).alias("_goal"))
+    upto = running_total(counts, ["_g", "_p"], column, "_c", "_upto").join(goal, ["_g", "_p"])
+    step = 2 * F.floor(F.col("_upto") / F.col("_goal"))
+    return upto.select("_g", "_p", column, (step + (F.col("_c") < F.col("_goal")).cast("long")).alias(name))
 
 
-def _below(column: str):
-    return lambda edge: edge < F.col(column)
+def _credits(rows: DataFrame, schema: str, count) -> DataFrame:
+    """``_g, credit``: ``count`` of each problem's columns."""
 
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[key[0], float(count(*(part[c].to_numpy() for c in ("y", "f", "n"))))]], columns=["_g", "credit"])
 
-def _bucketed(df: DataFrame, keys: list[str], buckets: int, y: str, f: str) -> DataFrame:
-    """Rows with buckets of y and f, equal values always together."""
-    out = df
-    for column, name in ((y, "_by"), (f, "_bf")):
-        edges = F.percentile_approx(column, [float(i) / buckets for i in range(1, buckets)], 10 * buckets).alias("_edges")
-        cuts = df.groupBy(*keys).agg(edges).select(*_renamed(keys), "_edges")
-        out = out.join(cuts, _same(keys)).withColumn(name, F.size(F.filter("_edges", _below(column)))).drop("_edges", *[f"_{k}" for k in keys])
-    return out
+    return rows.groupBy("_g", "_p").applyInPandas(run, schema)
 
 
-def concordance_index(df: DataFrame, keys: list[str], y: str = "y", f: str = "f", buckets: int | None = None) -> DataFrame:
-    """``ci`` of each group: null where no two y differ. Rows with NaN are left out; a null key is a group.
+def _both_greater(cells: DataFrame) -> DataFrame:
+    """``_g, credit``: pairs of rows of which one has the greater y and the greater f.
 
-    Equal rows are counted first. Pairs fall in three kinds: different y and f buckets (from the grid of bucket counts),
-    the same y bucket, and the same f bucket with different y buckets. The last two are counted bucket by bucket, so
-    no task holds a group; of the last, rows are first added up by y bucket, so a hot value of f takes one row for
-    each bucket. The largest group's distinct rows decide the number of buckets, unless it is given.
+    A problem of up to ``TASK_ROWS`` cells is one task. A larger one is cut to ``SPLITS`` buckets of y and of f. Pairs of
+    different buckets of both come from the counts of the grid; those within a bucket of y, and those within a bucket
+    of f (with buckets in place of y, equal cells added up), are problems of their own, a hundredth as large. Where
+    y or f is constant there is no pair, so values with very many rows, which are buckets of their own, end there.
     """
-    clean = df.where(~F.isnan(y) & ~F.isnan(f)).select(*keys, F.col(y).cast("double").alias("y"), F.col(f).cast("double").alias("f"))
-    cells = cut(clean.groupBy(*keys, "y", "f").agg(F.count(F.lit(1)).alias("n")), "cells")
-    if buckets is None:
-        most = cells.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = max(1, min(MOST_BUCKETS, -(-most // BUCKET_ROWS)))
-    rows = cut(_bucketed(cells, keys, buckets, "y", "f"), "buckets") if buckets > 1 else cells.withColumns({"_by": F.lit(0), "_bf": F.lit(0)})
-    fields = {x.name: x.dataType.simpleString() for x in rows.schema}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", credit double, pairs long"
-
-    def within(which: str):
-        def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            credit, pairs = concordant(part[which].to_numpy(), part["f"].to_numpy(), part["n"].to_numpy())
-            return pd.DataFrame([[*key[: len(keys)], credit, pairs]], columns=[*keys, "credit", "pairs"])
-
-        return run
-
-    total = rows.groupBy(*keys, "_by").applyInPandas(within("y"), schema)
-    if buckets > 1:
-        added = rows.groupBy(*keys, "_bf", "_by", "f").agg(F.sum("n").alias("n"))
-        total = total.unionByName(added.groupBy(*keys, "_bf").applyInPandas(within("_by"), schema))
-        grid = cut(rows.groupBy(*keys, "_by", "_bf").agg(F.sum("n").alias("n")), "grid")
-        # pairs of different buckets: for each cell, rows of lower y buckets, and of those in lower f buckets
-        one = grid.select(*keys, "_by", "_bf", "n", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_to"))
-        lower = one.where("_to > _bf OR _to < _bf").groupBy(*keys, "_by", "_to").agg(
-            F.sum(F.when(F.col("_bf") < F.col("_to"), F.col("n")).otherwise(0)).alias("_low"), F.sum("n").alias("_all"))
-        filled = grid.select(*keys, "_by", F.col("_bf").alias("_to"), "n").unionByName(lower.select(*keys, "_by", "_to", F.lit(0).cast("long").alias("n")))
-        filled = filled.groupBy(*keys, "_by", "_to").agg(F.sum("n").alias("n"))
-        lower = lower.select(*_renamed(keys), F.col("_by").alias("_b"), F.col("_to").alias("_t"), "_low", "_all")
-        meet = filled.join(lower, _same(keys) & (F.col("_by") == F.col("_b")) & (F.col("_to") == F.col("_t")), "left").select(*keys, "_by", "_to", "n", "_low", "_all")
-        order = Window.partitionBy(*keys, "_to").orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-        far = meet.withColumns({"_below": F.coalesce(F.sum("_low").over(order), F.lit(0)), "_others": F.coalesce(F.sum("_all").over(order), F.lit(0))})
-        far = far.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_below")).cast("double").alias("credit"), F.sum(F.col("n") * F.col("_others")).alias("pairs"))
-        total = total.unionByName(far)
-    total = total.groupBy(*keys).agg(F.sum("credit").alias("credit"), F.sum("pairs").alias("pairs"))
-    return total.select(*keys, F.when(F.col("pairs") > 0, F.col("credit") / F.col("pairs")).alias("ci"))
+    schema, bits = "_g long, credit double", 11
+    problems, found = cells.withColumn("_p", F.lit(1).cast("long")), []
+    for _ in range(60 // bits):
+        about = problems.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("y", "f") for f in (F.min, F.max)])
+        about = cut(about.where("min_y < max_y AND min_f < max_f").select("_g", "_p", (F.col("_rows") > TASK_ROWS).alias("_large")), "problems")
+        sized = problems.join(about, ["_g", "_p"])
+        found.append(_credits(sized.where("NOT _large").drop("_large"), schema, both_greater))
+        if about.where("_large").isEmpty():
+            break
+        rows = cut(sized.where("_large").drop("_large"), "large")
+        for column, name in (("y", "_by"), ("f", "_bf")):
+            rows = rows.join(_buckets(rows, column, name, SPLITS), ["_g", "_p", column])
+        rows = cut(rows, "buckets")
+        grid = rows.groupBy("_g", "_p", F.col("_by").cast("double").alias("y"), F.col("_bf").cast("double").alias("f")).agg(F.sum("n").alias("n"))
+        found.append(_credits(grid, schema, both_greater))  # (2 * SPLITS + 2) ** 2 cells at most
+        inner = rows.select("_g", (F.shiftleft("_p", bits) + F.col("_by")).alias("_p"), "y", "f", "n")
+        across = rows.groupBy("_g", (F.shiftleft("_p", bits) + (1 << bits - 1) + F.col("_bf")).alias("_p"), F.col("_by").cast("double").alias("y"), "f").agg(F.sum("n").alias("n"))
+        problems = cut(inner.unionByName(across), "problems")
+    else:
+        raise ValueError("too many distinct values: raise TASK_ROWS or SPLITS")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("_g").agg(F.sum("credit").alias("credit"))
+
+
+def _concordance(cells: DataFrame) -> DataFrame:
+    """``_g, ci`` of counted cells: pairs that can be compared and pairs of equal f follow from counts, the rest from ``_both_greater``."""
+    square = lambda c: F.sum(F.col(c).cast("decimal(18,0)") * F.col(c).cast("decimal(18,0)"))
+    all_pairs = cells.groupBy("_g").agg(F.sum("n").alias("_n"), square("n").alias("_cells"))
+    equal = [cells.groupBy("_g", c).agg(F.sum("n").alias("n")).groupBy("_g").agg(square("n").alias(f"_equal_{c}")) for c in ("y", "f")]
+    rows = all_pairs.join(equal[0], "_g").join(equal[1], "_g").join(_both_greater(cells), "_g", "left")
+    whole = F.col("_n").cast("decimal(18,0)") * F.col("_n").cast("decimal(18,0)")
+    comparable, tied = ((whole - F.col("_equal_y")) / 2).cast("double"), ((F.col("_equal_f") - F.col("_cells")) / 2).cast("double")
+    return rows.select("_g", F.when(comparable > 0, (F.coalesce("credit", F.lit(0.0)) + 0.5 * tied) / comparable).alias("ci"))
+
+
+def concordance_index(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> DataFrame:
+    """``ci`` of each group: of pairs of different y, the share in which f differs the same way, equal f counting a half.
+
+    Null where no two y differ. Rows with NaN are left out; a null key is a group. Equal rows are counted first; the pairs
+    are counted by a grid that is refined where it holds many distinct rows, so no task holds a large group.
+    """
+    cells, groups = _cells(df, keys, y, f)
+    return _named(_concordance(cells), groups, keys, "ci")
 
 
 def evaluate(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> DataFrame:
     """``rmse, mse, pearson, spearman, ci`` of each group; a null key is a group like any other."""
     out = regression(df, keys, y, f)
-    for more in (spearman(df, keys, y, f), concordance_index(df, keys, y, f)):
-        name = more.columns[-1]
-        out = out.join(more.select(*_renamed(keys), name), _same(keys), "left").drop(*[f"_{k}" for k in keys])
+    cells, groups = _cells(df, keys, y, f)
+    for found, name in ((_spearman(cells), "spearman"), (_concordance(cells), "ci")):
+        more = _named(found, groups, keys, name)
+        out = out.join(more.select(*renamed(keys), name), same(keys), "left").drop(*[f"_{k}" for k in keys])
     return out
 
 
