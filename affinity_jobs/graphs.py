@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encode import once, one_of_k
+from .vectors import combine
 
 # The slots of the atom vector.
 SYMBOLS = ["C", "N", "O", "S", "F", "Si", "P", "Cl", "Br", "Mg", "Na", "Ca", "Fe", "As", "Al", "I", "B", "V", "K", "Tl", "Yb", "Sb", "Sn", "Ag", "Pd", "Co", "Se", "Ti", "Zn", "H", "Li", "Ge", "Cu", "Au", "Ni", "Cd", "In", "Mn", "Zr", "Cr", "Pt", "Hg", "Pb", "Unknown"]
@@ -100,24 +101,16 @@ def attach_graphs(pairs: DataFrame, graphs: DataFrame, column: str = "compound_i
 
 def pool(df: DataFrame, keys: list[str], vector: str, how: str = "sum") -> DataFrame:
     """Vectors of each group combined by place: sum, max, mean, or max followed by mean."""
-    rows = df.select(*keys, F.posexplode(vector).alias("_at", "_x"))
-    x = F.col("_x").cast("double")
-    kinds = {"sum": [F.sum(x)], "max": [F.max(x)], "mean": [F.avg(x)], "max_mean": [F.max(x), F.avg(x)]}[how]
-    cells = rows.groupBy(*keys, "_at").agg(*[k.alias(f"_x{i}") for i, k in enumerate(kinds)])
-    lists = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", *[f"_x{i}" for i in range(len(kinds))]))).alias("_v"))
-    return lists.select(*keys, F.concat(*[F.col(f"_v._x{i}") for i in range(len(kinds))]).alias(vector))
+    return combine(df, keys, vector, how)
 
 
 def _propagate(nodes: DataFrame, arcs: DataFrame, weight: Column | None, own: Column) -> DataFrame:
-    """Sum over arcs of the source's values times ``weight``, plus the node's own times ``own``, by place."""
-    cells = nodes.select("mol_id", "atom_idx", "_deg", F.posexplode("features").alias("_at", "_x"))
-    source = cells.select("mol_id", F.col("atom_idx").alias("src"), F.col("_deg").alias("_ds"), "_at", "_x")
+    """Sum over arcs of the source's vector times ``weight``, plus the node's own times ``own``: a row with a vector for each arc and node."""
+    source = nodes.select("mol_id", F.col("atom_idx").alias("src"), F.col("_deg").alias("_ds"), "features")
     end = nodes.select("mol_id", F.col("atom_idx").alias("dst"), F.col("_deg").alias("_dd"))
     sent = arcs.where("src != dst").join(end, ["mol_id", "dst"]).join(source, ["mol_id", "src"])
-    sent = sent.select("mol_id", F.col("dst").alias("atom_idx"), "_at", (F.col("_x") * (weight if weight is not None else F.lit(1.0))).alias("_x"))
-    total = sent.unionByName(cells.select("mol_id", "atom_idx", "_at", (F.col("_x") * own).alias("_x"))).groupBy("mol_id", "atom_idx", "_at").agg(F.sum("_x").alias("_x"))
-    lists = total.groupBy("mol_id", "atom_idx").agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_v"))
-    return lists.select("mol_id", "atom_idx", F.transform("_v", lambda e: e["_x"]).alias("features"))
+    sent = sent.select("mol_id", F.col("dst").alias("atom_idx"), (weight if weight is not None else F.lit(1.0)).alias("_w"), "features")
+    return combine(sent.unionByName(nodes.select("mol_id", "atom_idx", own.alias("_w"), "features")), ["mol_id", "atom_idx"], "features", weight=F.col("_w"))
 
 
 def _with_degree(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
