@@ -4,70 +4,89 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import subgraphs
 from .io import cut
+from .vectors import group_codes
 
 EPSILON, MAX_SUBGRAPH, MAX_COMBINATION, MAX_TOTAL = 0.25, 8, 2, 8
 #: The largest molecule whose connected sets of all sizes may be asked for.
 UNLIMITED = 24
+#: The largest molecule that is dealt whole.
+WHOLE = 16
 
 
 def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) -> DataFrame:
-    """``mol_id, path, atoms, size``: every connected set of up to ``max_size`` atoms, once.
+    """``mol_id, path, atoms, size, mask``: every connected set of up to ``max_size`` atoms, once.
 
-    A set grows by one neighbour at a time. ``dist`` holds each atom's distance from the first; a neighbour joins
-    only if it is greater than the first atom and, by distance then number, comes after the last one. Each set
-    has one such order (its ``path``), so nothing is made twice and no step shuffles. A size below 1 gives single
-    atoms; None goes on until no molecule has a larger set, which is an error above ``UNLIMITED`` atoms: the number
-    of sets doubles with each atom.
+    ``path`` has the atoms in the order in which the set grew: by distance from the least one, then by number. ``mask``
+    is the set as a bitmap over the molecule's atoms by number, a long for each 64 of them. Sets grow in numpy from each
+    atom of a molecule, many at a time; molecules and their first atoms are dealt to tasks, so that a large one takes
+    several. A size below 1 gives single atoms; None goes on until no molecule has a larger set, which is an error above
+    ``UNLIMITED`` atoms: the number of sets doubles with each atom.
     """
-    level = adj.select("mol_id", "adj", F.explode(F.map_keys("adj")).alias("atom"))
-    level = level.select("mol_id", "adj", F.array("atom").alias("path"), F.array(F.lit(0)).alias("dist"))
     if max_size is None:
-        max_size = adj.agg(F.max(F.size("adj"))).first()[0] or 1
-        if max_size > UNLIMITED:
-            raise ValueError(f"a molecule of {max_size} atoms has too many connected sets: give a max_size")
-    own = F.struct("path", "dist")
-    for size in range(1, max(max_size, 1)):  # sets of this size give themselves and what they grow to, so the plan has one source
-        near = F.array_except(F.array_distinct(F.flatten(F.transform("path", lambda a: F.element_at("adj", a)))), "path")
-        grown = F.transform(F.filter(F.transform(near, _reached), _comes_last), lambda n: F.struct(F.concat("path", F.array(n["c"])).alias("path"), F.concat("dist", F.array(n["d"])).alias("dist")))
-        sets = F.when(F.size("path") == size, F.concat(F.array(own), grown)).otherwise(F.array(own))
-        level = level.select("mol_id", "adj", F.explode_outer(sets).alias("s")).select("mol_id", "adj", "s.path", "s.dist")
-    return level.select("mol_id", "path", F.array_sort("path").alias("atoms"), F.size("path").alias("size"))
-
-
-def _reached(c: Column) -> Column:
-    """A neighbour with its distance from a set's first atom."""
-    touch = F.filter(F.arrays_zip("path", "dist"), lambda e: F.array_contains(F.element_at("adj", e["path"]), c))
-    return F.struct(c.alias("c"), (F.array_min(F.transform(touch, lambda e: e["dist"])) + 1).alias("d"))
-
-
-def _comes_last(n: Column) -> Column:
-    last, far = F.element_at("path", -1), F.element_at("dist", -1)
-    return (n["c"] > F.col("path")[0]) & ((n["d"] > far) | ((n["d"] == far) & (n["c"] > last)))
+        most = adj.agg(F.max(F.size("adj"))).first()[0] or 1
+        if most > UNLIMITED:
+            raise ValueError(f"a molecule of {most} atoms has too many connected sets: give a max_size")
+    limit = max_size if max_size is None else max(max_size, 1)
+    # small molecules start from all atoms in one row, those of more than WHOLE atoms from one atom a row
+    start = F.when(F.size("adj") > WHOLE, F.sequence(F.lit(0), F.size("adj") - 1)).otherwise(F.array(F.lit(-1)))
+    dealt = adj.select("mol_id", "adj", F.explode(start).alias("start")).repartition("mol_id", "start")
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                one = batch.column(2).to_numpy()
+                for rows in (np.flatnonzero(one < 0), np.flatnonzero(one >= 0)):
+                    if not len(rows):
+                        continue
+                    part = batch.take(pa.array(rows))
+                    mols = subgraphs.Molecules(part.column(1))
+                    first = subgraphs.starts(mols, None if one[rows[0]] < 0 else one[rows].astype(np.int64))
+                    for sets in subgraphs.connected(mols, first, limit):
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(sets.mol)), *subgraphs.columns(mols, sets)], ["mol_id", "path", "atoms", "size", "mask"])
+
+    schema = T.StructType([adj.schema["mol_id"], *T._parse_datatype_string("path array<int>, atoms array<int>, size int, mask array<bigint>").fields])
+    return dealt.mapInArrow(run, schema)
+
+
+def _apart(a: str, b: str) -> Column:
+    """Whether two bitmaps of one molecule share no atom."""
+    return ~F.exists(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), lambda w: w != 0)
 
 
 def combine(subgraphs: DataFrame, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:
-    """``mol_id, paths, components, atoms, num_components, size``: sets of disjoint subgraphs in path order.
+    """``mol_id, paths, components, atoms, num_components, size, mask``: sets of disjoint subgraphs in path order.
 
-    Disjoint sizes add up, so partners are joined by the sizes that still fit.
+    Disjoint sizes add up, so partners are joined by the sizes that still fit, and told apart by their bitmaps; atom lists
+    are made of the paths once pairs are found.
     """
     fits = subgraphs if max_total is None else subgraphs.where(F.col("size") <= max_total)
-    level = fits.select("mol_id", F.array("path").alias("paths"), F.array("atoms").alias("components"), "atoms", F.lit(1).alias("num_components"), "size")
-    levels = [level]
-    part = fits.select(F.col("mol_id").alias("_m"), F.col("path").alias("_p"), F.col("atoms").alias("_a"), F.col("size").alias("_s"))
+    levels = [fits.select("mol_id", F.array("path").alias("paths"), F.lit(1).alias("num_components"), "size", "mask")]
+    part = fits.select(F.col("mol_id").alias("_m"), F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mask").alias("_mask"))
     for k in range(2, max_combination + 1):
         left = levels[-1]
         if max_total is None:
             meet = left.join(part, F.col("mol_id") == F.col("_m"))
         else:
             left = left.where(F.col("size") < max_total).withColumn("_room", F.explode(F.sequence(F.lit(1), F.lit(max_total) - F.col("size"))))
-            meet = left.join(part, (F.col("mol_id") == F.col("_m")) & (F.col("_room") == F.col("_s")))
-        meet = meet.where((F.element_at("paths", -1) < F.col("_p")) & ~F.arrays_overlap("atoms", "_a"))
-        levels.append(meet.select("mol_id", F.concat("paths", F.array("_p")).alias("paths"), F.concat("components", F.array("_a")).alias("components"), F.array_sort(F.array_union("atoms", "_a")).alias("atoms"), F.lit(k).alias("num_components"), (F.col("size") + F.col("_s")).alias("size")))
-    return reduce(DataFrame.unionByName, levels)
+            meet = left.join(part.where(F.col("_s") < max_total), (F.col("mol_id") == F.col("_m")) & (F.col("_room") == F.col("_s")))
+        meet = meet.where(_apart("mask", "_mask") & (F.element_at("paths", -1) < F.col("_p")))
+        union = F.zip_with("mask", "_mask", lambda x, y: x.bitwiseOR(y))
+        levels.append(meet.select("mol_id", F.concat("paths", F.array("_p")).alias("paths"), F.lit(k).alias("num_components"), (F.col("size") + F.col("_s")).alias("size"), union.alias("mask")))
+    return reduce(DataFrame.unionByName, levels).select("mol_id", "paths", *_lists("paths"), "num_components", "size", "mask")
+
+
+def _lists(paths: str) -> list[Column]:
+    """``components`` and ``atoms`` of paths."""
+    return [F.transform(paths, lambda c: F.array_sort(c)).alias("components"), F.array_sort(F.flatten(paths)).alias("atoms")]
 
 
 def order_key() -> Column:
@@ -76,8 +95,32 @@ def order_key() -> Column:
 
 def collapse(combos: DataFrame) -> DataFrame:
     """One row for each atom set, the first made: a score depends on the atoms alone."""
-    rest = F.struct("components", "paths", "num_components", "size")
-    return combos.groupBy("mol_id", "atoms").agg(F.min_by(rest, order_key()).alias("_r")).select("mol_id", "atoms", "_r.*")
+    rest = F.struct("paths", "num_components", "size")
+    first = combos.groupBy("mol_id", "mask").agg(F.min_by(rest, order_key()).alias("_r")).select("mol_id", "mask", "_r.*")
+    return first.select("mol_id", F.array_sort(F.flatten("paths")).alias("atoms"), F.transform("paths", lambda c: F.array_sort(c)).alias("components"), "paths", "num_components", "size", "mask")
+
+
+def candidates(adj: DataFrame, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:
+    """``collapse`` of ``combine`` of ``enumerate_connected``: one row for each atom set of up to ``max_combination`` parts.
+
+    Molecules of up to ``WHOLE`` atoms, which have few sets, are finished in the task that grows them, without a shuffle
+    of sets; pairs of larger ones are joined.
+    """
+    if max_combination != 2 or max_total is None or not 1 <= max_subgraph <= subgraphs.KEYED or max_total > subgraphs.KEYED:
+        return collapse(combine(enumerate_connected(adj, max_subgraph), max_combination, max_total))
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                mols = subgraphs.Molecules(batch.column(1))
+                mol, columns = subgraphs.Pairs(list(subgraphs.connected(mols, subgraphs.starts(mols), max_subgraph)), max_total).columns(mols)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mol)), *columns], names)
+
+    large = collapse(combine(enumerate_connected(adj.where(F.size("adj") > WHOLE), max_subgraph), max_combination, max_total))
+    names = large.columns
+    small = adj.where((F.size("adj") <= WHOLE) & (F.size("adj") > 0)).select("mol_id", "adj")
+    return small.mapInArrow(run, large.schema).unionByName(large)
 
 
 def attach_target_fields(candidates: DataFrame, samples: DataFrame, fields: list[str], optional: tuple[str, ...] = ("y",)) -> DataFrame:
@@ -118,18 +161,46 @@ def dedup_by_atoms(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return best.select(key, "atoms", "_r.*").select(*df.columns)
 
 
+def bitmap(atoms: Column) -> Column:
+    """Atoms by number as bits, a long for each 64 numbers."""
+    words = F.sequence(F.lit(0), (F.coalesce(F.array_max(atoms), F.lit(0)) / 64).cast("int"))
+    one = lambda w: F.aggregate(F.filter(atoms, lambda a: F.floor(a / 64) == w), F.lit(0).cast("long"), lambda s, a: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (a % 64).cast("int"))))
+    return F.transform(words, one)
+
+
 def minimal(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Rows none of whose strictly smaller sets is among the rows.
+    """Rows none of whose strictly smaller sets is among the rows; a null key is a sample.
 
-    A smaller set's least atom is one of a dominated set's atoms, so the two meet by an equi-join on it. The rows are
-    written first, as they are used three times and may come from a model.
+    A sample's rows pass by size. A set with a smaller one inside has a minimal one inside, so it is compared with the
+    minimal ones so far, all of a size at once, by bitmaps; only these are held.
     """
-    df = cut(df, "sets")
-    small = df.select(F.col(key).alias("_k"), F.col("atoms").alias("_a"), F.size("atoms").alias("_s"), F.array_min("atoms").alias("_least"))
-    each = df.select(key, "atoms", F.explode("atoms").alias("_atom"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("_atom") == F.col("_least")) & (F.col("_s") < F.size("atoms")) & (F.size(F.array_except("_a", "atoms")) == 0)
-    dominated = each.join(small, inside, "left_semi").select(key, "atoms").distinct()
-    return df.join(dominated, [key, "atoms"], "left_anti")
+    own = df if "mask" in df.columns else df.withColumn("mask", bitmap(F.col("atoms")))
+    rows = own.withColumn("_size", F.size("atoms")).repartition(key).sortWithinPartitions(key, "_size")
+    places = [rows.columns.index(c) for c in (key, "_size", "mask")]
+
+    def run(batches):
+        sample, kept, fresh, now = None, np.zeros((0, 1), np.uint64), [], -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, size, masks = (batch.column(i) for i in places)
+            size, masks = size.to_numpy(), subgraphs.words_of(masks)
+            new = group_codes([ids])[1]
+            edge = np.flatnonzero(np.r_[True, (new[1:] != new[:-1]) | (size[1:] != size[:-1])])
+            stays = np.ones(len(size), bool)
+            for a, b in zip(edge, [*edge[1:], len(size)], strict=True):
+                name = ids[a].as_py()
+                if name != sample or now < 0:
+                    sample, kept, fresh = name, masks[:0], []
+                elif size[a] != now and fresh:
+                    kept, fresh = subgraphs.stacked([kept, *fresh]), []
+                now = size[a]
+                stays[a:b] = ~subgraphs.has_inside(masks[a:b], kept)
+                fresh.append(masks[a:b][stays[a:b]])
+            yield batch.filter(pa.array(stays))
+
+    found = rows.mapInArrow(run, rows.schema)
+    return found.select(*df.columns)
 
 
 def ranked(df: DataFrame, k: int | None = None, key: str = "sample_id") -> DataFrame:
@@ -148,13 +219,23 @@ def output_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", lambda c: F.array_sort(c)))})
 
 
+def full_predictions(samples: DataFrame, adj: DataFrame, score) -> DataFrame:
+    """``sample_id, full_prediction``: ``score`` of each whole sample, that is of all its molecule's atoms."""
+    whole = samples.join(adj, "mol_id").withColumn("atoms", F.sort_array(F.map_keys("adj"))).drop("adj")
+    return score(whole).select("sample_id", F.col("prediction").alias("full_prediction"))
+
+
 def explain(samples: DataFrame, adj: DataFrame, score, *, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL, k: int | None = None) -> DataFrame:
-    """Minimal sufficient explanations of ``samples(sample_id, mol_id, full_prediction)``.
+    """Minimal sufficient explanations of ``samples(sample_id, mol_id)``.
 
     Combinations are built once for each molecule. ``score`` takes candidates (sample_id, mol_id, atoms and what
-    else they carry) and returns them with ``prediction``.
+    else they carry) and returns them with ``prediction``. Samples without a ``full_prediction`` are scored whole first.
     """
-    molecules = adj.join(samples.select("mol_id").distinct(), "mol_id", "left_semi")
-    combos = collapse(combine(enumerate_connected(molecules, max_subgraph), max_combination, max_total))
+    molecules = cut(adj.join(samples.select("mol_id").distinct(), "mol_id", "left_semi"), "molecules")
+    if "full_prediction" not in samples.columns:
+        full = cut(full_predictions(samples, molecules, score), "full")
+        samples = samples.join(full, "sample_id")
+    # one row for each atom set: the one that `dedup_by_atoms` would keep, as sets of the same atoms score alike
+    combos = candidates(molecules, max_subgraph, max_combination, max_total)
     scored = score(samples.join(combos, "mol_id"))
-    return ranked(minimal(dedup_by_atoms(sufficient(scored, epsilon))), k)
+    return ranked(minimal(sufficient(scored, epsilon)), k).drop("mask")

@@ -34,11 +34,11 @@ def degree(atoms: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def adjacency(atoms: DataFrame, arcs: DataFrame) -> DataFrame:
     """``mol_id, adj``: each atom's sorted neighbours, empty for atoms without bonds."""
-    lists = arcs.groupBy("mol_id", F.col("src").alias("atom_idx")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
-    rows = atoms.select("mol_id", "atom_idx").distinct().join(lists, ["mol_id", "atom_idx"], "left")
-    empty = F.array().cast("array<int>")
-    entry = F.struct(F.col("atom_idx").cast("int").alias("k"), F.coalesce(F.col("near").cast("array<int>"), empty).alias("v"))
-    return rows.groupBy("mol_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("adj"))
+    ends = atoms.select("mol_id", "atom_idx", F.lit(None).alias("dst")).unionByName(arcs.select("mol_id", F.col("src").alias("atom_idx"), "dst", F.lit(True).alias("_arc")), allowMissingColumns=True)
+    # an end that isn't among the atoms makes none
+    lists = ends.groupBy("mol_id", "atom_idx").agg(F.sort_array(F.collect_set("dst")).cast("array<int>").alias("near"), F.bool_or(F.col("_arc").isNull()).alias("_atom")).where("_atom")
+    entry = F.struct(F.col("atom_idx").cast("int").alias("k"), F.col("near").alias("v"))
+    return lists.groupBy("mol_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("adj"))
 
 
 def components(adj: DataFrame) -> DataFrame:
