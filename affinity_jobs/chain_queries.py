@@ -140,24 +140,41 @@ def validation_choice(spark, d):
 
 
 def explained(spark, d, k: int | None = None) -> DataFrame:
-    """Explanations of orders by lines whose quantity is near the order's, each order line scored by a user's model."""
+    """Explanations of orders by lines whose quantity is near the order's, both as a user's model has it from masked samples."""
     atoms, bonds = molecules(spark, d)
     adj = graphs.adjacency(atoms, graphs.arcs(bonds))
     lists = F.sort_array(F.collect_list(F.struct("atom_idx", "weight")))
-    samples = atoms.groupBy("mol_id").agg(lists.alias("w"), F.sum("weight").alias("total"))
-    samples = samples.select(F.col("mol_id").alias("sample_id"), "mol_id", F.lit(1.0).alias("full_prediction"), F.col("w.atom_idx").alias("ids"), F.col("w.weight").alias("weights"), "total")
+    full = atoms.groupBy("mol_id").agg(lists.alias("w"), F.sum("weight").alias("total"))
+    features = F.transform("w", lambda x: F.array(x["weight"], F.lit(1.0)))
+    full = full.select(F.col("mol_id").alias("sample_id"), features.alias("features"), F.col("w.atom_idx").alias("ids"), "total")
 
-    def make_predict():
-        def predict(part: pd.DataFrame):
-            rows = zip(part["atoms"], part["ids"], part["weights"], part["total"], strict=True)
-            return [sum(w for i, w in zip(ids, weights, strict=True) if i in set(atoms)) / total for atoms, ids, weights, total in rows]
+    def score(candidates: DataFrame) -> DataFrame:
+        return udfs.score_masked(candidates, full, lambda: lambda batch: [x["features"][:, 0].sum() / x["total"] for x in batch], ids="ids")
 
-        return predict
+    return explain.explain(atoms.select(F.col("mol_id").alias("sample_id"), "mol_id").distinct(), adj, score, k=k)
 
-    def score(candidates: DataFrame) -> DataFrame:
-        return udfs.score(candidates, make_predict).drop("ids", "weights", "total")
 
-    return explain.explain(samples, adj, score, k=k)
+def full_scores(spark, d):
+    """A user's model over whole orders, and over the odd lines of each, from one copy of an order's features."""
+    atoms, bonds = molecules(spark, d)
+    lists = F.sort_array(F.collect_list(F.struct("atom_idx", "weight")))
+    full = atoms.groupBy(F.col("mol_id").alias("sample_id")).agg(lists.alias("w"))
+    full = full.select("sample_id", F.transform("w", lambda x: F.array(x["weight"], x["atom_idx"].cast("double"))).alias("features"), F.col("w.atom_idx").alias("ids"))
+    adj = graphs.adjacency(atoms, graphs.arcs(bonds))
+    score = lambda rows: udfs.score_masked(rows, full, lambda: lambda batch: [(x["features"][:, 0] * x["features"][:, 1]).sum() + x["mask"].sum() / 100 for x in batch], ids="ids")
+    whole = explain.full_predictions(adj.select(F.col("mol_id").alias("sample_id"), "mol_id"), adj, score)
+    odd = full.select("sample_id", F.filter("ids", lambda i: i % 2 > 0).alias("atoms"))
+    return whole.join(score(odd), "sample_id").select(F.col("sample_id").alias("mol_id"), F.round("full_prediction", 4).alias("whole"), F.round("prediction", 4).alias("odd"))
+
+
+def embedding_passing(spark, d):
+    """Embeddings as atoms of molecules of eight in a row: neighbour sums of whole 64-wide vectors, then each molecule's mean."""
+    nodes = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("mol_id"), (F.col("vec_id") % 8).cast("int").alias("atom_idx"), "embedding")
+    nodes = nodes.select("mol_id", "atom_idx", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    bonds = nodes.where("atom_idx > 0").select("mol_id", (F.col("atom_idx") - 1).alias("a"), F.col("atom_idx").alias("b"))
+    sums = graphs.neighbor_sum(nodes, graphs.arcs(bonds), 0.5)
+    out = graphs.pool(sums, ["mol_id"], "features", "max_mean")
+    return out.select("mol_id", F.posexplode("features").alias("at", "x")).select("mol_id", "at", F.round("x", 5).alias("x"))
 
 
 def top_explanations(spark, d):
@@ -318,6 +335,20 @@ f AS (
 SELECT own.doc_id, coalesce(own.quality, f.quality) AS quality,
   CASE WHEN own.quality IS NULL AND f.text IS NOT NULL THEN f.toxic ELSE own.toxic END AS toxic
 FROM own LEFT JOIN f ON own.text = f.text""",
+    "full_scores": """
+WITH a AS (SELECT l_orderkey AS m, l_linenumber AS i, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
+SELECT m AS mol_id, round(sum(w * i) + count(*) / 100, 4) AS whole,
+  round(coalesce(sum(w * i) FILTER (i % 2 = 1), 0) + count(*) FILTER (i % 2 = 1) / 100, 4) AS odd
+FROM a GROUP BY m""",
+    "embedding_passing": """
+WITH c AS (
+  SELECT vec_id // 8 AS m, vec_id % 8 AS i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+s AS (
+  SELECT x.m, x.i, x.k, 1.5::DOUBLE * x.v + coalesce(p.v, 0) + coalesce(n.v, 0) AS v
+  FROM c x LEFT JOIN c p ON p.m = x.m AND p.k = x.k AND p.i = x.i - 1 LEFT JOIN c n ON n.m = x.m AND n.k = x.k AND n.i = x.i + 1),
+w AS (SELECT max(k) + 1 AS w FROM c)
+SELECT m AS mol_id, CAST(k AS INTEGER) AS at, round(max(v), 5) AS x FROM s GROUP BY 1, 2
+UNION ALL SELECT m, CAST(k + any_value(w) AS INTEGER), round(avg(v), 5) FROM s, w GROUP BY m, k""",
     "target_vectors": """
 WITH c AS (
   SELECT c_custkey, c_acctbal, [coalesce(c_mktsegment, ''), CAST(c_nationkey AS VARCHAR), CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey % 3 AS VARCHAR) ELSE '' END,

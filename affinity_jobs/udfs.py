@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BATCH = 256
+#: Atoms whose candidates (by their least atom) meet one copy of their sample.
+ATOM_BLOCK = 16
 
 
 def expand_distinct(df: DataFrame, key: str, parse: Callable[[str], list[tuple]], schema: str) -> DataFrame:
@@ -33,3 +38,58 @@ def score(df: DataFrame, make_predict: Callable[[], Callable], out: str = "predi
                 yield part.assign(**{out: predict(part)})
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+
+
+class Sample:
+    """A full sample: its fields, its feature rows, and which row an atom has."""
+
+    def __init__(self, fields: dict, features: str, ids: str | None):
+        self.fields, self.features = fields, np.array(fields[features], dtype=float)
+        self.row = {a: i for i, a in enumerate(fields[ids] if ids else range(len(self.features)))}
+
+    def masked(self, name: str, atoms: list[int]) -> dict:
+        """The fields, with features outside the atoms as zeros and the ``mask`` (1 for atoms inside)."""
+        mask = np.zeros(len(self.features))
+        mask[[self.row[a] for a in atoms if a in self.row]] = 1.0
+        return self.fields | {name: self.features * mask.reshape(-1, *[1] * (self.features.ndim - 1)), "mask": mask}
+
+
+def score_masked(candidates: DataFrame, samples: DataFrame, make_predict: Callable[[], Callable[[list[dict]], list[float]]], *, key: str = "sample_id", atoms: str = "atoms", features: str = "features", ids: str | None = None, out: str = "prediction", batch_size: int = BATCH) -> DataFrame:
+    """``candidates`` with a model's prediction for their samples masked to their atoms.
+
+    ``samples`` has a row for each ``key``: ``features``, a row for each atom (by number from 0, or by the list ``ids``), and
+    what else the model wants. Candidates carry atom lists only; a sample's row stands before its candidates in the sorted
+    stream, once for each ``ATOM_BLOCK`` atoms, and features are masked inside the batch. Batches of ``batch_size`` run
+    across samples; the model is made once in each task. Candidates without a sample are left out, as are those with a
+    null key.
+    """
+    number = F.array_max(ids) if ids else F.size(features) - 1
+    copies = F.sequence(F.lit(0), F.greatest(F.floor(number / ATOM_BLOCK), F.lit(0)).cast("int"))
+    fields = samples.select(F.col(key).alias("_k"), F.explode(copies).alias("_b"), F.lit(0).alias("_t"), F.struct(*samples.columns).alias("_s"))
+    block = F.greatest(F.floor(F.coalesce(F.array_min(atoms), F.lit(0)) / ATOM_BLOCK), F.lit(0)).cast("int")
+    rows = candidates.select(F.col(key).alias("_k"), block.alias("_b"), F.lit(1).alias("_t"), F.struct(*candidates.columns).alias("_c"))
+    both = fields.unionByName(rows, allowMissingColumns=True).where("_k IS NOT NULL")
+    stream = both.repartition("_k", "_b").sortWithinPartitions("_k", "_b", "_t").select("_k", "_b", "_t", "_s", "_c")
+    names = candidates.columns
+
+    def run(batches):
+        predict, sample, at = make_predict(), None, None
+        for batch in batches:
+            place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            full, given = batch.column(3), batch.column(4).field(names.index(atoms))
+            rows, masked, found = [], [], []
+            for i, kind in enumerate(batch.column(2).to_pylist()):
+                if kind == 0:
+                    sample, at = Sample(full[i].as_py(), features, ids), place[i]
+                elif at == place[i]:
+                    rows.append(i)
+                    masked.append(sample.masked(features, given[i].as_py() or []))
+                    if len(masked) == batch_size:
+                        found += [float(x) for x in predict(masked)]
+                        masked = []
+            if masked:
+                found += [float(x) for x in predict(masked)]
+            kept = batch.column(4).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(found, pa.float64())], [*names, out])
+
+    return stream.mapInArrow(run, T.StructType([*candidates.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from affinity_jobs import explain, graphs, subgraphs
+from affinity_jobs import explain, graphs, subgraphs, udfs
 
 
 def adjacency(spark, mols):
@@ -66,3 +66,30 @@ def test_minimal_sets_equal_brute_force(spark, with_mask):
     found = explain.minimal(df if with_mask else df.drop("mask"))
     assert {(r.sample_id, frozenset(r.atoms)) for r in found.collect()} == {(k, s) for k, s in data if not any(j == k and o < s for j, o in data)}
     assert explain.minimal(df.limit(0)).collect() == []
+
+
+def test_masked_samples_are_scored_across_samples(spark):
+    samples = spark.createDataFrame([(k, [[float(k + i), 1.0] for i in range(n)], k * 10) for k, n in ((0, 3), (1, 40), (2, 1), (9, 5))], "sample_id int, features array<array<double>>, extra int")
+    rng = random.Random(2)
+    data = [(k, sorted(rng.sample(range(n), rng.randint(0, n))), str(j)) for k, n in ((0, 3), (1, 40), (2, 1)) for j in range(30)] + [(7, [0], "no sample"), (None, [0], "no key"), (0, None, "none")]
+    rows = spark.createDataFrame(data, "sample_id int, atoms array<int>, name string").repartition(3)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def make_predict():
+        def predict(batch):
+            assert len(batch) <= 7
+            sizes.add(1)
+            return [x["features"][:, 0].sum() + x["extra"] + x["mask"].sum() / 1000 for x in batch]
+
+        return predict
+
+    found = {(r.sample_id, r.name): r.prediction for r in udfs.score_masked(rows, samples, make_predict, batch_size=7).collect()}
+    want = {(k, name): sum(k + a for a in atoms or []) + 10 * k + len(atoms or []) / 1000 for k, atoms, name in data if k in (0, 1, 2)}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(v) for k, v in want.items())
+    assert sizes.value < len(data)
+    shuffled = udfs.score_masked(rows, samples, make_predict)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in shuffled  # features stand in one row a sample, not in each candidate's
+    by_id = samples.selectExpr("sample_id", "slice(features, 1, 2) AS features", "extra", "array(30, 50) AS names")
+    some = spark.createDataFrame([(1, [30]), (1, [50, 30]), (1, [4])], "sample_id int, atoms array<int>")
+    values = {tuple(r.atoms): r.prediction for r in udfs.score_masked(some, by_id, lambda: lambda b: [x["features"][:, 0].sum() for x in b], ids="names").collect()}
+    assert values == {(30,): 1.0, (50, 30): 3.0, (4,): 0.0}
