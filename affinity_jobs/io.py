@@ -36,9 +36,17 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("row_idx long, values array<double>").parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job that wrote ``path`` ended: its last act is to leave the marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write(df: DataFrame, path: str, *, fmt: str = "parquet", force: bool = False, partition_by: tuple[str, ...] = (), **options) -> None:
-    """Write ``df``; an output that exists is left as it is unless ``force``."""
-    writer = df.write.mode("overwrite" if force else "ignore").options(**options).format(fmt)
+    """Write ``df``; an output that is whole is left as it is unless ``force``. One without its end's marker, as a lost driver leaves it, is written again."""
+    if not force and finished(df.sparkSession, path):
+        return
+    writer = df.write.mode("overwrite").options(**options).format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 

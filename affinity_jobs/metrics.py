@@ -12,6 +12,8 @@ from .totals import numbered_groups, renamed, running_total, same
 
 #: Best error before the first epoch.
 START = 1000.0
+#: Epochs of a block of running minima.
+EPOCHS = 4096
 #: Distinct rows whose pairs one task counts; buckets of y and of f into which more of them are cut.
 TASK_ROWS, SPLITS = 1 << 19, 256
 
@@ -181,14 +183,32 @@ def evaluate(df: DataFrame, keys: list[str], y: str = "y", f: str = "f") -> Data
 
 
 def epoch_progress(df: DataFrame, keys: list[str], epoch: str = "epoch", metric: str = "mse") -> DataFrame:
-    """``best, improved, best_epoch`` at each epoch: improved if strictly below the best so far, which starts at 1000."""
-    order = Window.partitionBy(*keys).orderBy(epoch)
+    """``best, improved, best_epoch`` at each epoch: improved if strictly below the best so far, which starts at 1000.
+
+    The best so far is taken in two levels: over blocks of ``EPOCHS`` epochs, then within each, so that a window holds a
+    block's rows or a row for each block.
+    """
     value = F.when(~F.isnan(metric), F.col(metric))
-    before = F.least(F.coalesce(F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(START)), F.lit(START))
-    out = df.withColumn("_before", before).withColumn("improved", F.coalesce(value < F.col("_before"), F.lit(False)))
-    out = out.withColumn("best", F.when(F.col("improved"), F.col(metric)).otherwise(F.col("_before")))
-    last = F.last(F.when(F.col("improved"), F.col(epoch)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("best_epoch", F.coalesce(last, F.lit(-1))).drop("_before")
+    rows = df.withColumn("_block", F.floor(F.col(epoch) / EPOCHS))
+    low = rows.groupBy(*keys, "_block").agg(F.min(value).alias("_low"))
+    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    low = low.select(*renamed(keys), F.col("_block").alias("_b"), F.least(F.coalesce(F.min("_low").over(ahead), F.lit(START)), F.lit(START)).alias("_start"))
+    rows = rows.join(low, same(keys) & F.col("_block").eqNullSafe(F.col("_b"))).drop("_b", *[f"_{k}" for k in keys])
+    order = Window.partitionBy(*keys, "_block").orderBy(epoch)
+    before = F.least(F.coalesce(F.min(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_start")), F.col("_start"))
+    rows = rows.withColumn("_before", before).withColumn("improved", F.coalesce(value < F.col("_before"), F.lit(False)))
+    rows = rows.withColumn("best", F.when(F.col("improved"), F.col(metric)).otherwise(F.col("_before")))
+    last = rows.where("improved").groupBy(*keys, "_block").agg(F.max(epoch).alias("_last"))
+    # a block without improvement has no row here: the last improvement before a block is that of the last row before it
+    until = Window.partitionBy(*keys).orderBy("_block")
+    last = last.select(*renamed(keys), F.col("_block").alias("_b"), F.col("_last"), F.coalesce(F.lead("_block").over(until), F.lit((1 << 62))).alias("_next"))
+    blocks = rows.select(*keys, "_block").distinct()
+    earlier = blocks.join(last, same(keys) & (F.col("_block") > F.col("_b")) & (F.col("_block") <= F.col("_next")))
+    earlier = earlier.select(*[blocks[k].alias(f"_{k}") for k in keys], blocks["_block"].alias("_b"), F.col("_last").alias("_held"))
+    inside = F.last(F.when(F.col("improved"), F.col(epoch)), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_inside", inside).join(earlier, same(keys) & (F.col("_block") == F.col("_b")), "left")
+    out = out.withColumn("best_epoch", F.coalesce("_inside", "_held", F.lit(-1)))
+    return out.select(*df.columns, "improved", "best", "best_epoch")
 
 
 def select_by_validation(df: DataFrame, keys: list[str], validation: str = "val", test: str = "test") -> DataFrame:

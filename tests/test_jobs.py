@@ -184,3 +184,19 @@ def test_splits_and_udfs(spark):
     rows = spark.createDataFrame([("CC",), ("CC",), ("O",)], "smiles string")
     assert udfs.expand_distinct(rows, "smiles", lambda s: [(i, c) for i, c in enumerate(s)], "smiles string, atom_idx int, symbol string").count() == 3
     assert sorted(r.prediction for r in udfs.score(df, lambda: lambda part: part["k"].to_numpy() * 2.0, batch_size=10).collect())[-1] == 2000.0
+
+
+def test_torn_outputs_are_written_again(spark, tmp_path):
+    path = tmp_path / "out"
+    rows = spark.range(20).withColumnRenamed("id", "k")
+    io.write(rows.repartition(4), str(path))
+    io.write(rows.limit(1), str(path))
+    assert spark.read.parquet(str(path)).count() == 20  # whole: left as it is
+    (path / "_SUCCESS").unlink()
+    next(path.glob("part-*")).unlink()  # torn: half an output, without its marker
+    io.write(rows, str(path))
+    assert sorted(r.k for r in spark.read.parquet(str(path)).collect()) == list(range(20)) and io.finished(spark, str(path))
+    (tmp_path / "empty").mkdir()
+    io.write(rows.limit(2), str(tmp_path / "empty"))
+    io.write(rows.limit(1), str(path), force=True)
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 2 and spark.read.parquet(str(path)).count() == 1
