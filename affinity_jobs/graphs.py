@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encode import once, one_of_k
 from .vectors import combine
@@ -41,13 +44,53 @@ def adjacency(atoms: DataFrame, arcs: DataFrame) -> DataFrame:
     return lists.groupBy("mol_id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("adj"))
 
 
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of nodes 0..n-1 that each reaches over links ``a, b``.
+
+    Roots take the least label across their links, then labels jump to their labels' labels; rounds grow with the log
+    of a path's length and end when nothing changes.
+    """
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(adj: DataFrame) -> DataFrame:
-    """``mol_id, atom_idx, component``: the least atom that each atom of a molecule reaches."""
-    start = F.map_from_entries(F.transform(F.map_keys("adj"), lambda a: F.struct(a, a)))
-    # a molecule's labels settle within as many rounds as it has atoms
-    rows = adj.withColumn("label", start)
-    step = F.aggregate(F.map_keys("adj"), F.col("label"), lambda lab, _: F.map_from_entries(F.transform(F.map_entries("adj"), lambda e: F.struct(e["key"], F.array_min(F.array_append(F.transform(e["value"], lambda n: F.element_at(lab, n)), F.element_at(lab, e["key"])))))))
-    return rows.select("mol_id", F.explode(step).alias("atom_idx", "component"))
+    """``mol_id, atom_idx, component``: the least atom that each atom of a molecule reaches, by pointer jumping over a batch's molecules at once.
+
+    Neighbours that are no atoms of the molecule link nothing.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1024):
+                batch = whole.slice(begin, 1024)
+                maps = batch.column(1)
+                sizes = np.diff(maps.offsets.to_numpy())
+                first, many = int(maps.offsets[0].as_py()), int(sizes.sum())
+                ids, near = maps.keys.to_numpy()[first : first + many].astype(np.int64), maps.items.slice(first, many)
+                mol = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort([ids, mol])  # so that the least place is the least atom
+                place = np.empty(many, np.int64)
+                place[order] = np.arange(many)
+                degree = near.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                owner, ends = np.repeat(np.arange(many), degree), near.flatten().to_numpy().astype(np.int64)
+                low = int(min(ids.min(initial=0), ends.min(initial=0)))
+                span = int(max(ids.max(initial=0), ends.max(initial=0))) - low + 1
+                known, wanted = mol[order] * span + ids[order] - low, mol[owner] * span + ends - low
+                at = np.minimum(np.searchsorted(known, wanted), max(many - 1, 0))
+                real = known[at] == wanted if many else np.zeros(0, bool)
+                label = least_reached(many, place[owner[real]], at[real])
+                names = ids[order]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mol[order])), pa.array(names.astype(np.int32)), pa.array(names[label].astype(np.int32))], ["mol_id", "atom_idx", "component"])
+
+    return adj.select("mol_id", "adj").mapInArrow(run, T.StructType([adj.schema["mol_id"], T.StructField("atom_idx", T.IntegerType()), T.StructField("component", T.IntegerType())]))
 
 
 def molecule_summary(atoms: DataFrame, arcs: DataFrame, masses: DataFrame) -> DataFrame:

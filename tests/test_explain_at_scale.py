@@ -93,3 +93,16 @@ def test_masked_samples_are_scored_across_samples(spark):
     some = spark.createDataFrame([(1, [30]), (1, [50, 30]), (1, [4])], "sample_id int, atoms array<int>")
     values = {tuple(r.atoms): r.prediction for r in udfs.score_masked(some, by_id, lambda: lambda b: [x["features"][:, 0].sum() for x in b], ids="names").collect()}
     assert values == {(30,): 1.0, (50, 30): 3.0, (4,): 0.0}
+
+
+def test_components_of_long_paths_and_many_bonds(spark):
+    rng = random.Random(8)
+    numbers = rng.sample(range(10_000), 5000)
+    mols = {"path": (numbers, list(zip(numbers, numbers[1:], strict=False))), "apart": ([4, 9, 2, 30], [(9, 2)]), "one": ([5], []), "loop": ([1, 2], [(1, 1)])}
+    found = {(r.mol_id, r.atom_idx): r.component for r in graphs.components(adjacency(spark, mols)).collect()}
+    assert {v for (m, _), v in found.items() if m == "path"} == {min(numbers)} and len(found) == 5007
+    assert {k[1]: v for k, v in found.items() if k[0] == "apart"} == {4: 4, 9: 2, 2: 2, 30: 30} and (found["loop", 1], found["loop", 2]) == (1, 2)
+    assert graphs.components(adjacency(spark, mols).limit(0)).collect() == []
+    bonds = np.random.default_rng(0).integers(0, 1_500_000, (2, 1_000_000))
+    label = graphs.least_reached(1_500_000, *bonds)
+    assert (label[bonds[0]] == label[bonds[1]]).all() and (label <= np.arange(len(label))).all() and (label[label] == label).all()
