@@ -61,6 +61,7 @@ NEGATIONS = {"has", "hide", "no", "not", "with", "without"}
 REST = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    rf"|<svg(?=[\s/>])(?>{REST})(?<=/)>"  # closed by itself: nothing is inside
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){REST}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>{REST})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",

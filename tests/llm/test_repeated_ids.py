@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from affinity_jobs.llm import bpe, mixing, near_dedup, suffix_dedup
+from affinity_jobs.llm import bpe, html_text, mixing, near_dedup, suffix_dedup
 
 rng = random.Random(3)
 A, B, X = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abx")
@@ -72,3 +72,10 @@ def test_stages_keep_their_rows(spark, rows):
         assert found, name
     assert bpe.digests(rows, bpe.default_path()).count() == len(ROWS)
     assert corpus_pipeline.repeated_strings(spark, rows, "").count() == len(ROWS)
+
+
+def test_an_empty_drawing_hides_nothing():
+    found = lambda html: [m.group(0) for m in html_text.TOKEN.finditer(html)]
+    assert found('<p>one</p><svg class="i"/><p>two</p>') == ["<p>", "</p>", '<svg class="i"/>', "<p>", "</p>"]
+    assert found("<svg a='>' b=\"x/>\"><path/></svg><p>") == ["<svg a='>' b=\"x/>\"><path/></svg>", "<p>"]
+    assert found("<svg " + 'a="b" ' * 2000 + "><i></svg>")[-1].endswith("</svg>")
