@@ -200,3 +200,10 @@ def test_torn_outputs_are_written_again(spark, tmp_path):
     io.write(rows.limit(2), str(tmp_path / "empty"))
     io.write(rows.limit(1), str(path), force=True)
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 2 and spark.read.parquet(str(path)).count() == 1
+
+
+def test_values_outside_a_list_are_an_error(spark):
+    df = spark.createDataFrame([(11,)], "degree int")
+    with pytest.raises(Exception, match="not allowed: 11"):
+        df.select(encode.one_of_k(F.col("degree"), graphs.COUNTS)).collect()
+    assert df.select(encode.one_of_k(F.col("degree"), graphs.COUNTS, "last").alias("v")).first().v == [0.0] * 10 + [1.0]
