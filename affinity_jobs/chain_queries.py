@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import encode, explain, graphs, io, metrics, pairs, targets, udfs
+from . import encode, explain, graphs, io, metrics, pairs, samples, targets, udfs
 from .queries import COMBOS, MOLECULES, SETS, molecules, table
 
 
@@ -187,6 +187,84 @@ def top_explanations(spark, d):
     return text.select("mol_id", "rank", sizes.alias("size"), F.round("difference", 6).alias("difference"))
 
 
+def explanation_table(spark, d):
+    """All explanations of orders as a table of 17 columns, written and read as CSV; sets are named by their line numbers."""
+    path = io.shared_folder(spark, "explanations")
+    atoms, _ = molecules(spark, d)
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", "symbol"))), lambda x: x["symbol"]), "")
+    texts = atoms.groupBy(F.col("mol_id").alias("sample_id")).agg(letters.alias("full_smiles"))
+    dots = lambda sets: F.transform(sets, lambda s: F.array_join(F.transform(s, lambda a: a.cast("string")), "."))
+    io.write_explanations(explain.explanation_table(explained(spark, d), texts, dataset="orders", model_name="share", fragments=dots), path)
+    kinds = {"sample_index": "long"} | dict.fromkeys(["num_components", "size", "max_subgraph_size", "max_combination_size", "max_total_atoms"], "int")
+    kinds |= dict.fromkeys(["full_prediction", "fragment_prediction", "difference", "epsilon"], "double")
+    out = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in explain.TABLE)).csv(path, **io.CSV)
+    parts = F.from_json("components", "array<array<int>>")
+    return out.withColumns({
+        **{c: F.round(c, 6) for c in ("full_prediction", "fragment_prediction", "difference")},
+        "components": F.to_json(F.array_sort(F.flatten(parts))), "component_smiles": F.size(F.from_json("component_smiles", "array<string>")),
+    })
+
+
+def supplier_features(spark, d) -> DataFrame:
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    letter = F.substring(F.lit("ACDEFGHIK"), (F.col("s_suppkey") % 9 + 1).cast("int"), F.lit(1))
+    name, blank = F.regexp_replace(F.upper("n_name"), "[^A-Z]", ""), F.lit("")
+    return rows.select(
+        F.col("s_suppkey").alias("target_id"), F.concat(F.regexp_replace(F.upper("s_name"), "[^A-IK-Z]", ""), letter).alias("target_sequence"),
+        (F.col("s_suppkey") % 2).cast("string").alias("has_structure"), F.floor("s_acctbal").cast("string").alias("pocket_hydrophobicity"),
+        blank.alias("pocket_charge"), blank.alias("activation_loop_state"), F.col("n_name").alias("kinase_group"), F.col("s_nationkey").cast("string").alias("kinase_family"),
+        blank.alias("kinase_subfamily"), blank.alias("dfg_state"), blank.alias("ac_helix_state"),
+        F.concat(name, letter).alias("klifs_85_residue_sequence"), letter.alias("gatekeeper_residue"), F.substring(name, 2, 3).alias("hinge_residues"))
+
+
+def order_vectors(spark, d) -> DataFrame:
+    """Orders as molecules with the eight slots of their vector; order columns stand in for descriptors."""
+    atoms, bonds = molecules(spark, d)
+    rows = atoms.withColumn("num_hs", F.lit(1))
+    masses = rows.select("symbol").distinct().withColumn("mass", F.ascii("symbol").cast("double"))
+    key = F.col("o_orderkey")
+    given = table(spark, d, "orders").select(
+        key.alias("mol_id"), ((key % 7) / 2).alias("logp"), F.col("o_totalprice").alias("tpsa"), (F.col("o_custkey") % 5).alias("rotatable"),
+        F.when(key % 3 > 0, key % 3).alias("hbd"), F.length("o_orderpriority").alias("hba"))
+    return graphs.molecule_vector(graphs.molecule_summary(rows, graphs.arcs(bonds), masses), given)
+
+
+def molecule_vectors(spark, d):
+    """The eight slots of orders as molecules; a number that is missing is null here."""
+    slots = [F.round(F.nanvl(F.col("mol_features")[i], F.lit(None)), 3).alias(c) for i, c in enumerate(graphs.MOLECULE)]
+    return order_vectors(spark, d).select("mol_id", *slots)
+
+
+def model_samples(spark, d):
+    """Orders as molecules and suppliers as targets, stored once each, and joined to whole samples when read."""
+    atoms, bonds = molecules(spark, d)
+    nodes = atoms.select("mol_id", "atom_idx", F.array(F.col("weight").cast("double"), F.col("atom_idx").cast("double")).alias("features"))
+    features = supplier_features(spark, d)
+    both = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("y"))
+    rows = both.select(
+        (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("sample_id"), F.concat(F.lit("set"), F.col("l_suppkey") % 2).alias("dataset"),
+        F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split"), F.col("l_orderkey").alias("mol_id"), F.col("l_suppkey").alias("target_id"), "y")
+    path = io.shared_folder(spark, "samples")
+    samples.write(rows, samples.molecule_table(nodes, graphs.arcs(bonds), order_vectors(spark, d)), samples.target_table(features, encode.vocabularies(features)), path)
+    codes = lambda c: F.array_join(F.transform(F.filter(c, lambda x: x != 0), lambda x: x.cast("string")), ",")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    edges = F.zip_with(F.col("edge_index")[0], F.col("edge_index")[1], lambda a, b: (a * 31 + b).cast("double"))
+    used = F.filter(F.transform("protein_feat", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    return samples.read(spark, path).select(
+        "sample_id", "dataset", "split", "mol_id", "target_id", "y", "c_size", total(F.transform("features", lambda v: v[0] * v[1])).alias("x"), total(edges).alias("edges"),
+        F.round(F.col("mol_features")[2], 3).alias("tpsa"), F.col("mol_features")[7].alias("rings"), codes("target").alias("target"),
+        F.array_join(F.transform(used, lambda i: i.cast("string")), ",").alias("slots"), F.col("protein_feat")[1].cast("double").alias("second"),
+        codes("klifs_pocket").alias("pocket"), codes("gatekeeper").alias("gatekeeper"), codes("hinge").alias("hinge"))
+
+
+def matrix_csv(spark, d):
+    """Embeddings stored as CSV lines of a matrix, read back and melted."""
+    path = io.shared_folder(spark, "matrix")
+    values = F.transform("embedding", lambda x: F.when(x >= 0, x.cast("double")))
+    io.write_matrix(table(spark, d, "embeddings").select(F.col("vec_id").alias("row_idx"), values.alias("values")), path)
+    return pairs.melt_matrix(io.read_matrix(spark, path, "csv")).select("row_idx", "col_idx", "value")
+
+
 def explanation_atoms(spark, d):
     """How many of an order's explanations an order line is in, with the order's price (optional fields that it lacks are left out)."""
     atoms, _ = molecules(spark, d)
@@ -416,6 +494,50 @@ SELECT model, epoch, mse FROM e JOIN chosen USING (model, epoch) WHERE split = '
 WITH RECURSIVE {SUFFICIENT},
 firsts AS (SELECT m, n, diff, CAST(row_number() OVER (PARTITION BY m ORDER BY n, round(diff, 9)) AS INTEGER) AS k FROM least_sets)
 SELECT m AS mol_id, k AS rank, n AS size, round(diff, 6) AS difference FROM firsts WHERE k <= 3""",
+    "explanation_table": f"""
+WITH RECURSIVE {SUFFICIENT},
+texts AS (SELECT m, string_agg(s, '' ORDER BY i) AS t FROM atoms GROUP BY m),
+named AS (SELECT *, list_filter(range(1, 60), lambda i: (mask >> i) & 1 = 1) AS a FROM least_sets)
+SELECT m AS sample_index, t AS full_smiles, array_to_string(a, '.') AS fragment_smiles, '[' || array_to_string(a, ',') || ']' AS atom_indices,
+  parts AS num_components, '[' || array_to_string(a, ',') || ']' AS components, n AS size, 1.0::DOUBLE AS full_prediction,
+  round(p, 6) AS fragment_prediction, round(diff, 6) AS difference, 0.25::DOUBLE AS epsilon, 8 AS max_subgraph_size, 'orders' AS dataset,
+  'share' AS model_name, 2 AS max_combination_size, 8 AS max_total_atoms, parts AS component_smiles
+FROM named JOIN texts USING (m)""",
+    "molecule_vectors": f"""
+WITH {MOLECULES},
+c AS (SELECT m, count(*) AS n, round(sum(ascii(s) + 1.008::DOUBLE), 3) AS weight, count(*) FILTER (s NOT IN ('C', 'H')) AS hetero FROM atoms GROUP BY m),
+b AS (SELECT m, count(*) AS n FROM bonds GROUP BY m)
+SELECT c.m AS mol_id, weight, round((c.m % 7) / 2.0::DOUBLE, 3) AS logp, round(o_totalprice, 3) AS tpsa, (o_custkey % 5)::DOUBLE AS rotatable,
+  CASE WHEN c.m % 3 > 0 THEN (c.m % 3)::DOUBLE END AS hbd, length(o_orderpriority)::DOUBLE AS hba, hetero::DOUBLE AS heteroatoms,
+  (coalesce(b.n, 0) - c.n + 1)::DOUBLE AS rings
+FROM c JOIN orders ON o_orderkey = c.m LEFT JOIN b ON c.m = b.m""",
+    "model_samples": f"""
+WITH {MOLECULES},
+x AS (SELECT m, CAST(count(*) AS INTEGER) AS n, sum(w * i) AS x FROM atoms GROUP BY m),
+e AS (
+  SELECT arcs.m, CAST(sum(31 * (p.k - 1) + q.k - 1) AS DOUBLE) AS edges, count(*) // 2 AS n
+  FROM arcs JOIN placed p ON arcs.m = p.m AND arcs.a = p.i JOIN placed q ON arcs.m = q.m AND arcs.b = q.i GROUP BY 1),
+f AS (
+  SELECT s_suppkey, floor(s_acctbal)::DOUBLE AS second, substring('ACDEFGHIK', CAST(s_suppkey % 9 + 1 AS INTEGER), 1) AS letter,
+    regexp_replace(upper(s_name), '[^A-IK-Z]', '', 'g') AS s, regexp_replace(upper(n_name), '[^A-Z]', '', 'g') AS p,
+    dense_rank() OVER (ORDER BY n_name) + 3 AS a, dense_rank() OVER (ORDER BY CAST(s_nationkey AS VARCHAR)) + 3 AS b
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+t AS (
+  SELECT *, max(a) OVER () - 3 AS na, max(b) OVER () - 3 AS nb,
+    list_transform([s || letter, p || letter, letter, substring(p, 2, 3)],
+      lambda v: array_to_string(list_transform(string_split(v, ''), lambda c: instr('ABCDEFGHIKLMNOPQRSTUVWXYZ', c)), ',')) AS v
+  FROM f),
+r AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey * 100000 + l_suppkey AS sample_id, 'set' || l_suppkey % 2 AS dataset, CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+  l_orderkey AS mol_id, l_suppkey AS target_id, y, x.n AS c_size, x.x, coalesce(edges, 0) AS edges, round(o_totalprice, 3) AS tpsa,
+  (coalesce(e.n, 0) - x.n + 1)::DOUBLE AS rings, v[1] AS target,
+  array_to_string(list_filter([CASE WHEN l_suppkey % 2 = 1 THEN 0 END, CASE WHEN second <> 0 THEN 1 END, a, na + b, na + nb + 4, na + nb + 5, na + nb + 6],
+    lambda k: k IS NOT NULL), ',') AS slots,
+  second, v[2] AS pocket, v[3] AS gatekeeper, v[4] AS hinge
+FROM r JOIN x ON x.m = l_orderkey LEFT JOIN e ON e.m = l_orderkey JOIN orders ON o_orderkey = l_orderkey JOIN t ON s_suppkey = l_suppkey""",
+    "matrix_csv": """
+WITH c AS (SELECT vec_id AS row_idx, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS col_idx FROM embeddings)
+SELECT row_idx, col_idx, CAST(v AS DOUBLE) AS value FROM c WHERE v >= 0""",
     "explanation_atoms": f"""
 WITH RECURSIVE {SUFFICIENT},
 prices AS (SELECT l_orderkey AS m, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS price FROM lineitem GROUP BY 1)

@@ -15,6 +15,8 @@ from .io import cut
 from .vectors import group_codes
 
 EPSILON, MAX_SUBGRAPH, MAX_COMBINATION, MAX_TOTAL = 0.25, 8, 2, 8
+# The columns of a table of explanations.
+TABLE = ["sample_index", "full_smiles", "fragment_smiles", "atom_indices", "num_components", "components", "size", "full_prediction", "fragment_prediction", "difference", "epsilon", "max_subgraph_size", "dataset", "model_name", "max_combination_size", "max_total_atoms", "component_smiles"]
 #: The largest molecule whose connected sets of all sizes may be asked for.
 UNLIMITED = 24
 #: The largest molecule that is dealt whole.
@@ -219,6 +221,27 @@ def output_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", lambda c: F.array_sort(c)))})
 
 
+def explanation_table(df: DataFrame, samples: DataFrame, *, dataset: str, model_name: str, fragments=None, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:
+    """The columns ``TABLE`` of explanations, ordered by sample, size, difference and first made; ``samples(sample_id, full_smiles)``.
+
+    ``fragments`` takes the column of a row's atom sets (the whole set, then its components) and gives a list of as many
+    texts, by an expression or a user's batch function; without it, the texts of fragments are null. Explanations of a
+    sample that ``samples`` lacks have a null ``full_smiles``; of repeated rows the least counts.
+    """
+    texts = samples.groupBy("sample_id").agg(F.min("full_smiles").alias("full_smiles"))
+    parts = F.transform("components", lambda c: F.array_sort(c))
+    sets = F.concat(F.array(F.array_sort("atoms")), parts)
+    named = F.lit(None).cast("array<string>") if fragments is None else fragments(F.col("_sets"))
+    rows = df.join(texts, "sample_id", "left").withColumn("_sets", sets).withColumn("_names", named).orderBy("sample_id", "size", "difference", "num_components", "paths")
+    own = {
+        "sample_index": F.col("sample_id"), "fragment_smiles": F.get("_names", F.lit(0)), "atom_indices": F.to_json(F.array_sort("atoms")),
+        "components": F.to_json(parts), "fragment_prediction": F.col("prediction"), "epsilon": F.lit(epsilon).cast("double"), "max_subgraph_size": F.lit(max_subgraph),
+        "dataset": F.lit(dataset), "model_name": F.lit(model_name), "max_combination_size": F.lit(max_combination),
+        "max_total_atoms": F.lit(max_total).cast("int"), "component_smiles": F.to_json(F.slice("_names", 2, 1 << 30)),
+    }
+    return rows.select(*[own.get(c, F.col(c)).alias(c) for c in TABLE])
+
+
 def full_predictions(samples: DataFrame, adj: DataFrame, score) -> DataFrame:
     """``sample_id, full_prediction``: ``score`` of each whole sample, that is of all its molecule's atoms."""
     whole = samples.join(adj, "mol_id").withColumn("atoms", F.sort_array(F.map_keys("adj"))).drop("adj")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .encode import once, one_of_k
+from .encode import attach_targets, once, one_of_k
 from .vectors import combine
 
 # The slots of the atom vector.
@@ -20,6 +20,7 @@ CHARGES = ["-2", "-1", "0", "1", "2", "Other"]
 HYBRIDS = ["SP", "SP2", "SP3", "SP3D", "SP3D2", "Other"]
 HALOGENS = ["F", "Cl", "Br", "I"]
 FLAGS = {"donor": ["Donor"], "acceptor": ["Acceptor"], "hydrophobe": ["Hydrophobe", "LumpedHydrophobe"], "aromatic": ["Aromatic"], "positive": ["PosIonizable"], "negative": ["NegIonizable"]}
+MOLECULE = ["weight", "logp", "tpsa", "rotatable", "hbd", "hba", "heteroatoms", "rings"]
 HYDROGEN_MASS = 1.008
 
 
@@ -105,6 +106,19 @@ def molecule_summary(atoms: DataFrame, arcs: DataFrame, masses: DataFrame) -> Da
     return out.select("mol_id", "n_atoms", "weight", "heteroatoms", (F.col("_bonds") - F.col("n_atoms") + F.col("_parts")).alias("rings"))
 
 
+def molecule_vector(summary: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """``mol_id, mol_features``: the eight slots of a molecule, of ``molecule_summary`` and ``descriptors(mol_id, logp, tpsa, rotatable, hbd, hba)``.
+
+    A molecule without a row of descriptors is an error when rows are read; a number that is null is NaN. Of repeated rows
+    of descriptors the least counts, nulls first.
+    """
+    given = ["logp", "tpsa", "rotatable", "hbd", "hba"]
+    once_each = descriptors.groupBy("mol_id").agg(F.sort_array(F.collect_set(F.struct(*given)))[0].alias("d")).select("mol_id", "d.*")
+    rows = attach_targets(summary, once_each, key="mol_id")
+    slots = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in MOLECULE]
+    return rows.select("mol_id", F.array(*slots).alias("mol_features"))
+
+
 def pharmacophore_flags(atoms: DataFrame, hits: DataFrame) -> DataFrame:
     """``atoms`` with six flags; families outside the list are ignored."""
     found = hits.groupBy("mol_id", "atom_idx").agg(*[F.bool_or(F.col("family").isin(names)).alias(flag) for flag, names in FLAGS.items()])

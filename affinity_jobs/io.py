@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a dictionary that one window numbers.
 ENTRIES = 100_000
-#: Blanks at the ends of a text belong to it.
-CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Blanks at the ends of a text belong to it; quotes within it are doubled, so that backslashes stand for themselves.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 # The columns of pair and feature tables.
 PAIRS = "compound_iso_smiles string, target_id string, target_sequence string, affinity double"
@@ -118,7 +118,7 @@ def write_pairs(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PAIRS).csv(path, header=True)
+    return spark.read.schema(PAIRS).csv(path, **CSV)
 
 
 def write_features(df: DataFrame, path: str, force: bool = False) -> None:
@@ -127,7 +127,7 @@ def write_features(df: DataFrame, path: str, force: bool = False) -> None:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """The 18 feature columns as text, missing values as blanks."""
-    return spark.read.schema(", ".join(f"{c} string" for c in FEATURES)).csv(path, header=True).na.fill("")
+    return spark.read.schema(", ".join(f"{c} string" for c in FEATURES)).csv(path, **CSV).na.fill("")
 
 
 def write_samples(df: DataFrame, path: str, force: bool = False) -> None:

@@ -77,3 +77,9 @@ def test_a_matrix_as_csv(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1,x\n")
     with pytest.raises(Exception, match="CAST"):
         io.read_matrix(spark, str(tmp_path / "b.csv"), "csv").collect()
+
+
+def test_pairs_keep_quotes_and_backslashes(spark, tmp_path):
+    rows = [("C/C=C\\", 'a"b,c', "x\\", 1.5), ('"', "\\\"", " y ", None)]
+    io.write_pairs(spark.createDataFrame(rows, io.PAIRS), str(tmp_path / "p"))
+    assert sorted(map(tuple, io.read_pairs(spark, str(tmp_path / "p")).collect())) == sorted(rows)
