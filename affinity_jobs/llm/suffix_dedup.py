@@ -27,7 +27,9 @@ GRAMS = (24, 64, 92, 100)
 #: Longer documents are read in pieces that overlap by a window.
 PIECE = 1 << 22
 HOT = 64
-SHARD_SEGMENTS = 2000
+SHARD_SEGMENTS = 8000
+#: So few suffixes are put into their buckets one by one.
+FEW = 24
 #: Never a byte of UTF-8 text: it ends each segment of a shard.
 STOP = 0xFF
 
@@ -73,21 +75,24 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    t = t.astype(np.int64)
     letters = int(t.max()) + 1
-    step = np.sign(t[1:] - t[:-1])
-    where = np.where(step != 0, np.arange(n - 1), n - 1)
+    # narrow numbers: few letters sort by radix, and places take half the room
+    t = t.astype(np.uint8 if letters <= 1 << 8 else np.uint16 if letters <= 1 << 16 else np.int32)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    step = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
+    where = np.where(step != 0, np.arange(n - 1, dtype=kind), kind(n - 1))
     where = np.minimum.accumulate(where[::-1])[::-1]  # the next place where neighbours differ
     small = np.r_[np.r_[step, -1][where] > 0, False]
     left = np.flatnonzero(small & ~np.r_[True, small[:-1]])
     size = np.bincount(t, minlength=letters)
     head = np.cumsum(size) - size
+    large = ~small
     large_at, small_at = np.flatnonzero(~small[:-1]), np.flatnonzero(small[:-1])
-    upward = bucket_runs(t[large_at + 1], t[large_at], letters, True)
-    downward = bucket_runs(t[small_at + 1], t[small_at], letters, False)
+    upward = bucket_runs(t[large_at + 1].astype(np.int64), t[large_at].astype(np.int64), letters, True)
+    downward = bucket_runs(t[small_at + 1].astype(np.int64), t[small_at].astype(np.int64), letters, False)
 
     def induce(order: np.ndarray) -> np.ndarray:
-        out, slot = np.full(n, -1, np.int64), np.repeat(np.arange(letters), size)
+        out = np.full(n, -1, kind)
         lms = order[np.argsort(t[order], kind="stable")]
         count = np.bincount(t[lms], minlength=letters)
         rank = np.arange(len(lms)) - np.repeat(np.cumsum(count) - count, count)
@@ -96,42 +101,42 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         out[fill[t[n - 1]]] = n - 1  # induced by the end of the string
         fill[t[n - 1]] += 1
 
-        def put(source: np.ndarray, large: bool) -> None:
-            """Append the left neighbours of the right type to their buckets, in order."""
+        def put(source: np.ndarray, wanted: np.ndarray, way: int) -> None:
+            """Append the left neighbours of the wanted type to their buckets, in order."""
             p = source[source > 0] - 1
-            p = p[small[p] != large]
-            if len(p) <= 1:
-                if len(p):
-                    c = t[p[0]]
-                    out[fill[c]] = p[0]
-                    fill[c] += 1 if large else -1
+            p = p[wanted[p]]
+            if len(p) <= FEW:
+                for i, c in zip(p.tolist(), t[p].tolist(), strict=True):
+                    at = fill[c]
+                    out[at] = i
+                    fill[c] = at + way
                 return
             c = t[p]
-            by = np.argsort(c, kind="stable")
+            by = c.argsort(kind="stable")
             p, c = p[by], c[by]
-            edges = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]))
+            edges = np.concatenate(([0], (c[1:] != c[:-1]).nonzero()[0] + 1, [len(c)]))
             start, many = edges[:-1], edges[1:] - edges[:-1]
-            rank = np.arange(len(c)) - np.repeat(start, many)
-            out[fill[c] + rank if large else fill[c] - rank] = p
-            fill[c[start]] += many if large else -many
+            first = c[start]
+            rank = np.arange(len(c)) - start.repeat(many)
+            out[fill[first].repeat(many) + way * rank] = p
+            fill[first] += way * many
 
         for a, b, loop in upward:
             done, end = head[a], head[b - 1] + size[b - 1]
             while loop and done < fill[a]:
                 upto = fill[a]
-                put(out[done:upto], True)
+                put(out[done:upto], large, 1)
                 done = upto
-            put(out[done:end], True)
-        ends = fill.copy()  # of the L parts
-        out[np.arange(n) >= ends[slot]] = -1
+            put(out[done:end], large, 1)
+        out[np.arange(n) >= fill.repeat(size)] = -1  # behind the L parts
         fill = head + size - 1
         for a, b, loop in downward:
             done, end = head[b - 1] + size[b - 1] - 1, head[a]
             while loop and done > fill[a]:
                 upto = fill[a]
-                put(out[upto + 1 : done + 1][::-1], False)
+                put(out[upto + 1 : done + 1][::-1], small, -1)
                 done = upto
-            put(out[end : done + 1][::-1], False)
+            put(out[end : done + 1][::-1], small, -1)
         return out
 
     if not len(left):
@@ -142,7 +147,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     order = order[is_left[order]]
     stop = np.r_[left[1:] + 1, n]
     code = span_hash(prefix_hash(t, mix64(np.arange(letters, dtype=U) + U(1))), left, stop)
-    place = np.searchsorted(left, order)
+    place = np.empty(n, kind)
+    place[left] = np.arange(len(left), dtype=kind)
+    place = place[order]
     fresh = np.r_[True, code[place][1:] != code[place][:-1]]
     if not fresh.all():
         name = np.empty(len(left), np.int64)
