@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import subgraphs
-from .io import cut
+from .io import cut, large
 from .vectors import group_codes
 
 EPSILON, MAX_SUBGRAPH, MAX_COMBINATION, MAX_TOTAL = 0.25, 8, 2, 8
@@ -76,10 +76,10 @@ def combine(subgraphs: DataFrame, max_combination: int = MAX_COMBINATION, max_to
     for k in range(2, max_combination + 1):
         left = levels[-1]
         if max_total is None:
-            meet = left.join(part, F.col("mol_id") == F.col("_m"))
+            meet = left.join(large(part), F.col("mol_id") == F.col("_m"))
         else:
             left = left.where(F.col("size") < max_total).withColumn("_room", F.explode(F.sequence(F.lit(1), F.lit(max_total) - F.col("size"))))
-            meet = left.join(part.where(F.col("_s") < max_total), (F.col("mol_id") == F.col("_m")) & (F.col("_room") == F.col("_s")))
+            meet = left.join(large(part.where(F.col("_s") < max_total)), (F.col("mol_id") == F.col("_m")) & (F.col("_room") == F.col("_s")))
         meet = meet.where(_apart("mask", "_mask") & (F.element_at("paths", -1) < F.col("_p")))
         union = F.zip_with("mask", "_mask", lambda x, y: x.bitwiseOR(y))
         levels.append(meet.select("mol_id", F.concat("paths", F.array("_p")).alias("paths"), F.lit(k).alias("num_components"), (F.col("size") + F.col("_s")).alias("size"), union.alias("mask")))
@@ -128,7 +128,7 @@ def candidates(adj: DataFrame, max_subgraph: int = MAX_SUBGRAPH, max_combination
 def attach_target_fields(candidates: DataFrame, samples: DataFrame, fields: list[str], optional: tuple[str, ...] = ("y",)) -> DataFrame:
     """Candidates with ``fields`` of their full sample; an optional field that samples lack is left out."""
     have = [f for f in fields if f in samples.columns or f not in optional]
-    return candidates.join(samples.select("sample_id", *have), "sample_id")
+    return candidates.join(large(samples.select("sample_id", *have)), "sample_id")
 
 
 def masked_features(features: Column, atoms: Column) -> Column:
@@ -146,7 +146,7 @@ def masked_sample(candidates: DataFrame, samples: DataFrame, key: str = "sample_
     ``samples`` has ``features`` (a row for each atom, by number from 0), ``mol_features`` and ``n_atoms``. Arcs and the
     number of atoms stay; the molecule's own vector becomes zeros, as it would tell of the whole molecule.
     """
-    rows = candidates.select(key, "atoms").join(samples, key)
+    rows = candidates.select(key, "atoms").join(large(samples), key)
     masked = {"features": masked_features(F.col("features"), F.col("atoms")), "mask": node_mask(F.col("n_atoms"), F.col("atoms"))}
     return rows.withColumns(masked | {"mol_features": F.transform("mol_features", lambda x: x * 0)})
 
@@ -213,7 +213,7 @@ def ranked(df: DataFrame, k: int | None = None, key: str = "sample_id") -> DataF
 
 def describe_atoms(df: DataFrame, atoms: DataFrame, key: str = "sample_id") -> DataFrame:
     """A row for each atom of each set: number, symbol, aromatic, in ring."""
-    return df.select(key, "mol_id", F.col("atoms").alias("set"), F.explode("atoms").alias("atom_idx")).join(atoms.select("mol_id", "atom_idx", "symbol", "is_aromatic", "in_ring"), ["mol_id", "atom_idx"])
+    return df.select(key, "mol_id", F.col("atoms").alias("set"), F.explode("atoms").alias("atom_idx")).join(large(atoms.select("mol_id", "atom_idx", "symbol", "is_aromatic", "in_ring")), ["mol_id", "atom_idx"])
 
 
 def output_columns(df: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def explanation_table(df: DataFrame, samples: DataFrame, *, dataset: str, model_
     parts = F.transform("components", lambda c: F.array_sort(c))
     sets = F.concat(F.array(F.array_sort("atoms")), parts)
     named = F.lit(None).cast("array<string>") if fragments is None else fragments(F.col("_sets"))
-    rows = df.join(texts, "sample_id", "left").withColumn("_sets", sets).withColumn("_names", named).orderBy("sample_id", "size", "difference", "num_components", "paths")
+    rows = df.join(large(texts), "sample_id", "left").withColumn("_sets", sets).withColumn("_names", named).orderBy("sample_id", "size", "difference", "num_components", "paths")
     own = {
         "sample_index": F.col("sample_id"), "fragment_smiles": F.get("_names", F.lit(0)), "atom_indices": F.to_json(F.array_sort("atoms")),
         "components": F.to_json(parts), "fragment_prediction": F.col("prediction"), "epsilon": F.lit(epsilon).cast("double"), "max_subgraph_size": F.lit(max_subgraph),
@@ -244,7 +244,7 @@ def explanation_table(df: DataFrame, samples: DataFrame, *, dataset: str, model_
 
 def full_predictions(samples: DataFrame, adj: DataFrame, score) -> DataFrame:
     """``sample_id, full_prediction``: ``score`` of each whole sample, that is of all its molecule's atoms."""
-    whole = samples.join(adj, "mol_id").withColumn("atoms", F.sort_array(F.map_keys("adj"))).drop("adj")
+    whole = samples.join(large(adj), "mol_id").withColumn("atoms", F.sort_array(F.map_keys("adj"))).drop("adj")
     return score(whole).select("sample_id", F.col("prediction").alias("full_prediction"))
 
 
@@ -254,11 +254,11 @@ def explain(samples: DataFrame, adj: DataFrame, score, *, epsilon: float = EPSIL
     Combinations are built once for each molecule. ``score`` takes candidates (sample_id, mol_id, atoms and what
     else they carry) and returns them with ``prediction``. Samples without a ``full_prediction`` are scored whole first.
     """
-    molecules = cut(adj.join(samples.select("mol_id").distinct(), "mol_id", "left_semi"), "molecules")
+    molecules = cut(adj.join(large(samples.select("mol_id").distinct()), "mol_id", "left_semi"), "molecules")
     if "full_prediction" not in samples.columns:
         full = cut(full_predictions(samples, molecules, score), "full")
-        samples = samples.join(full, "sample_id")
+        samples = samples.join(large(full), "sample_id")
     # one row for each atom set: the one that `dedup_by_atoms` would keep, as sets of the same atoms score alike
     combos = candidates(molecules, max_subgraph, max_combination, max_total)
-    scored = score(samples.join(combos, "mol_id"))
+    scored = score(samples.join(large(combos), "mol_id"))
     return ranked(minimal(sufficient(scored, epsilon)), k).drop("mask")

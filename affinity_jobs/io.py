@@ -151,6 +151,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted, not broadcast.
+
+    Spark takes a table for as large as its compressed files, and what a batch function makes of it for no larger; a side
+    that grows with the data would be gathered in the driver by mistake.
+    """
+    return df.hint("merge")
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what is used more than once is computed once."""
     path = shared_folder(df.sparkSession, name)
