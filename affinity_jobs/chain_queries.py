@@ -78,11 +78,10 @@ def target_sequences(spark, d):
     """Strict codes of part names without the letter that has none, and the three code vectors of their types as pockets."""
     part = table(spark, d, "part")
     letters = F.regexp_replace(F.upper("p_name"), "[^A-IK-Z]", "")
-    rows = part.select(F.col("p_partkey").alias("target_id"), letters.alias("s"), F.upper("p_type").alias("klifs_85_residue_sequence"),
+    rows = part.select(F.col("p_partkey"), letters.alias("s"), F.upper("p_type").alias("klifs_85_residue_sequence"),
                        F.substring(F.upper("p_type"), 1, 1).alias("gatekeeper_residue"), F.substring(F.upper("p_type"), 2, 3).alias("hinge_residues"))
-    strict = rows.select("target_id", F.array_join(encode.sequence(F.col("s"), encode.SEQUENCE), ",").alias("codes"))
-    three = encode.target_codes(rows).select("target_id", *[F.array_join(c, ",").alias(c) for c in ("pocket", "gatekeeper", "hinge")])
-    return strict.join(three, "target_id").select(F.col("target_id").alias("p_partkey"), "codes", "pocket", "gatekeeper", "hinge")
+    found = rows.select("p_partkey", encode.sequence(F.col("s"), encode.SEQUENCE).alias("codes"), *encode.code_columns())
+    return found.select("p_partkey", *[F.array_join(c, ",").alias(c) for c in ("codes", "pocket", "gatekeeper", "hinge")])
 
 
 def atom_vectors(spark, d):
@@ -269,10 +268,10 @@ def explanation_atoms(spark, d):
     """How many of an order's explanations an order line is in, with the order's price (optional fields that it lacks are left out)."""
     atoms, _ = molecules(spark, d)
     prices = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.sum(F.floor("l_extendedprice")).cast("long").alias("price"))
-    found = explain.attach_target_fields(explained(spark, d), prices, ["price", "y"])
+    found = io.cut(explain.attach_target_fields(explained(spark, d), prices, ["price", "y"]), "found")
     rows = atoms.select("mol_id", "atom_idx", "symbol", (F.col("weight") > 25).alias("is_aromatic"), F.lit(True).alias("in_ring"))
     out = explain.describe_atoms(found, rows).groupBy("mol_id", "atom_idx", "symbol", "is_aromatic").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(found.select("mol_id", "price").distinct(), "mol_id")
+    return out.join(io.large(found.select("mol_id", "price").distinct()), "mol_id")
 
 
 def masked_samples(spark, d):

@@ -64,15 +64,27 @@ def one_of_k(value: Column, allowed: list, unknown: str = "error") -> Column:
 
 def target_vector(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``target_id, protein_feat``: four numbers, then five one-hots."""
+    return with_vector(df, vocabulary).select("target_id", "protein_feat")
+
+
+def with_vector(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``df`` with ``protein_feat``."""
     words = vocabulary.select(*[F.col(c).alias(f"_v_{c}") for c in CATEGORIES])
     rows = df.join(F.broadcast(words))  # one row, whose width `vocabularies` checks
     numbers = F.array(*[numeric_or_zero(F.col(c)).cast("float") for c in NUMERIC])
-    return rows.select("target_id", F.concat(numbers, *[one_hot(F.coalesce(F.col(c), F.lit("")), F.col(f"_v_{c}")) for c in CATEGORIES]).alias("protein_feat"))
+    vector = F.concat(numbers, *[one_hot(F.coalesce(F.col(c), F.lit("")), F.col(f"_v_{c}")) for c in CATEGORIES])
+    return rows.withColumn("protein_feat", vector).drop(*words.columns)
 
 
 def target_codes(df: DataFrame) -> DataFrame:
     """``target_id`` with the code vectors of pocket, gatekeeper and hinge."""
-    return df.select("target_id", sequence(F.col("klifs_85_residue_sequence"), POCKET, False).alias("pocket"), sequence(F.col("gatekeeper_residue"), GATE, False).alias("gatekeeper"), sequence(F.col("hinge_residues"), HINGE, False).alias("hinge"))
+    return df.select("target_id", *code_columns())
+
+
+def code_columns() -> list[Column]:
+    """The code vectors of pocket, gatekeeper and hinge, of a row's own columns."""
+    given = {"pocket": ("klifs_85_residue_sequence", POCKET), "gatekeeper": ("gatekeeper_residue", GATE), "hinge": ("hinge_residues", HINGE)}
+    return [sequence(F.col(c), n, False).alias(name) for name, (c, n) in given.items()]
 
 
 def attach_targets(pairs: DataFrame, features: DataFrame, strict: bool = True, key: str = "target_id") -> DataFrame:

@@ -37,9 +37,9 @@ def molecule_table(atoms: DataFrame, arcs: DataFrame, vectors: DataFrame) -> Dat
 
 def target_table(features: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``TARGETS``: the strict codes of the sequence, the vector, and the codes of pocket, gatekeeper and hinge."""
-    codes = encode.target_codes(features).withColumnRenamed("pocket", "klifs_pocket")
-    strict = features.select("target_id", encode.sequence(F.col("target_sequence"), encode.SEQUENCE).alias("target"))
-    return strict.join(encode.target_vector(features, vocabulary), "target_id").join(codes, "target_id").select(*TARGETS)
+    strict = encode.sequence(F.col("target_sequence"), encode.SEQUENCE).alias("target")
+    rows = encode.with_vector(features, vocabulary).select("target_id", strict, "protein_feat", *encode.code_columns())
+    return rows.withColumnRenamed("pocket", "klifs_pocket").select(*TARGETS)
 
 
 def _name(path: str) -> str:

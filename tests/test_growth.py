@@ -5,7 +5,7 @@ import io as texts
 
 from pyspark.sql import functions as F
 
-from affinity_jobs import explain, graphs
+from affinity_jobs import chain_queries, encode, explain, graphs
 
 
 def plan(df) -> str:
@@ -31,3 +31,13 @@ def test_no_join_of_explanations_is_broadcast(spark):
     assert "Broadcast" not in plan(explain.attach_target_fields(found, samples, ["total"]))
     assert "Broadcast" not in plan(explain.describe_atoms(found, atoms.withColumns({"is_aromatic": F.lit(True), "in_ring": F.lit(True)})))
     assert "Broadcast" not in plan(explain.combine(explain.enumerate_connected(adj)))
+
+
+def test_codes_of_targets_take_no_join(spark, tmp_path):
+    rows = [(1, "red bolt", "LARGE"), (2, "jar", "SMALL")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = chain_queries.target_sequences(spark, str(tmp_path))
+    assert "Join" not in plan(found)
+    assert [r["codes"].split(",")[:4] for r in found.orderBy("p_partkey").collect()] == [["17", "5", "4", "2"], ["1", "17", "0", "0"]]
+    twice = spark.createDataFrame([(1, "A", "K", "A"), (1, "C", "K", "A")], "target_id long, klifs_85_residue_sequence string, gatekeeper_residue string, hinge_residues string")
+    assert encode.target_codes(twice).count() == 2
