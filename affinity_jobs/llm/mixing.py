@@ -143,27 +143,43 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     return rows.select(*names, part.alias("part"), *(["row"] if carry else [])), demand
 
 
+def _took(run: Column) -> Column:
+    """The words that pass ``run`` (from 0) takes of a document."""
+    return F.when(run < F.col("passes"), F.col("size")).otherwise(F.col("part"))
+
+
+def _runs() -> Column:
+    """The passes that take words of a document, from 0: none of one without words."""
+    many = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0)
+    return F.when(many > 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array().cast("array<long>"))
+
+
 def _position(run: Column, demand: dict[int, int], schedules: dict[int, list[tuple[float, float]]]) -> Column:
     """Where the middle of what pass ``run`` (from 0) takes of a document stands on the token clock."""
-    took = F.when(run < F.col("passes"), F.col("size")).otherwise(F.col("part"))
-    share = F.least(F.lit(1.0), (run * F.col("source_size") + F.col("first") + took / 2) / F.greatest(F.col("due"), F.lit(1)))
+    share = F.least(F.lit(1.0), (run * F.col("source_size") + F.col("first") + _took(run) / 2) / F.greatest(F.col("due"), F.lit(1)))
     return token_clock(due_time(share, F.col("weight"), schedules), demand, schedules)
 
 
 def mix(docs: DataFrame, *, schedules=None, **options) -> DataFrame:
-    """One row per document: ``doc_id, size, source, source_size, target, taken, position``.
+    """One row per document: ``doc_id, size, source, source_size, target, taken, position``, range-sorted by position.
+
+    Every pass over a document is put on the clock: ``taken`` adds up what they take, ``position`` is the first one's.
+    Documents of which nothing is taken come last; ties stand by a hash of the id, then by id, size and source.
 
     A source takes whole passes over its documents and one part pass up to its target, in the order
     of ``md5(doc_id)`` (of the text where the id is null), rows of one id by a hash of all they hold. The document on the edge gives the words that are still due; with ``whole=True`` it
-    is taken or left whole, by which is nearer. ``position`` is that of a document's first pass, null where
-    nothing is taken of it. Null texts have size 0 and are never taken; null sources form one source; null ids
+    is taken or left whole, by which is nearer. ``position`` is null where nothing is taken. Null texts have size 0 and are never taken; null sources form one source; null ids
     are documents of their own; repeated rows count once each; an empty table gives no rows. Other columns have
     no part in it.
     """
     rows, demand = plan(docs, **options)
-    taken = F.col("passes") * F.col("size") + F.col("part")
-    position = F.when(taken > 0, _position(F.lit(0), demand, schedules or SCHEDULES))
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), position.alias("position"))
+    runs = F.transform(_runs(), lambda run: F.struct(_position(run, demand, schedules or SCHEDULES).alias("at"), _took(run).alias("took")))
+    rows = rows.select("doc_id", "size", "source", "source_size", "target", runs.alias("runs"))
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + x["took"])
+    rows = rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), F.array_min("runs.at").alias("position"))
+    rows = cut(rows, "mix")  # the range sort reads them twice
+    order = [F.col("position").asc_nulls_last(), F.xxhash64("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "size", "source")
 
 
 def curriculum(docs: DataFrame, *, whole: bool = True, schedules=None, position: str | None = None, **options) -> DataFrame:
@@ -173,8 +189,7 @@ def curriculum(docs: DataFrame, *, whole: bool = True, schedules=None, position:
     taken; an empty table gives no rows. ``position`` names a column to add for the position, which must be free.
     """
     rows, demand = plan(docs, whole=whole, carry=True, **options)
-    runs = F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)
-    rows = rows.where((F.col("size") > 0) & (runs > 0)).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)))
+    rows = rows.withColumn("run", F.explode(_runs()))
     rows = rows.select("doc_id", "row", _position(F.col("run"), demand, schedules or SCHEDULES).alias("at"))
     rows = rows.repartitionByRange("at", F.xxhash64("doc_id")).sortWithinPartitions("at", "doc_id")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *([F.col("at").alias(position)] if position else []))

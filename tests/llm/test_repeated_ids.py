@@ -79,3 +79,17 @@ def test_an_empty_drawing_hides_nothing():
     assert found('<p>one</p><svg class="i"/><p>two</p>') == ["<p>", "</p>", '<svg class="i"/>', "<p>", "</p>"]
     assert found("<svg a='>' b=\"x/>\"><path/></svg><p>") == ["<svg a='>' b=\"x/>\"><path/></svg>", "<p>"]
     assert found("<svg " + 'a="b" ' * 2000 + "><i></svg>")[-1].endswith("</svg>")
+
+
+def test_the_mix_comes_in_the_order_of_the_clock(spark):
+    docs = [(i, " ".join(["w"] * (i % 7)), "abc"[i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    places = [r.position for r in rows if r.position is not None]
+    assert places == sorted(places) and len(places) > 80 and all(r.position is None for r in rows[len(places) :])
+    first, taken = {}, {}
+    for r in mixing.curriculum(docs, whole=False, position="clock").collect():
+        first[r.doc_id] = min(r.clock, first.get(r.doc_id, 2))
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+    assert {r.doc_id: r.position for r in rows if r.taken} == first
+    assert all((r.taken > r.size * (taken[r.doc_id] - 1)) and r.taken <= r.size * taken[r.doc_id] for r in rows if r.taken)
