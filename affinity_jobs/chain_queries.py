@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode, explain, graphs, io, metrics, pairs, samples, targets, udfs
-from .queries import COMBOS, MOLECULES, SETS, molecules, table
+from .queries import COMBOS, MOLECULES, SETS, line_tasks, molecules, table
 
 
 def kinase_features(spark, d) -> DataFrame:
@@ -87,7 +87,7 @@ def target_sequences(spark, d):
 def atom_vectors(spark, d):
     """Atom vectors of orders as molecules, divided by their sums: the slots in use and their share."""
     atoms, bonds = molecules(spark, d)
-    arcs = graphs.arcs(bonds)
+    arcs, tasks = graphs.arcs(bonds), line_tasks(spark, d)
     flag, at = F.col("symbol"), F.col("atom_idx")
     rows = atoms.select(
         "mol_id", "atom_idx", F.when(flag == "A", "C").when(flag == "R", "Cl").otherwise("Xx").alias("symbol"), (at * 3 % 13).alias("num_hs"),
@@ -95,7 +95,7 @@ def atom_vectors(spark, d):
         (at % 2 == 0).alias("is_aromatic"), (F.col("weight") > 25).alias("in_ring"))
     family = F.element_at(F.array(*map(F.lit, ["Donor", "LumpedHydrophobe", "ZnBinder", "Hydrophobe", "NegIonizable"])), (at % 5 + 1).cast("int"))
     hits = rows.select("mol_id", "atom_idx", family.alias("family"))
-    vectors = graphs.atom_vector(graphs.pharmacophore_flags(rows.join(graphs.degree(rows, arcs), ["mol_id", "atom_idx"]), hits))
+    vectors = graphs.atom_vector(graphs.pharmacophore_flags(graphs.attached(rows, graphs.degree(rows, arcs, tasks), ["mol_id", "atom_idx"], tasks=tasks), hits, tasks))
     share = graphs.l1_normalize(F.transform("features", lambda x: x.cast("double")))
     used = vectors.select("mol_id", "atom_idx", F.filter(F.transform(share, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] > 0).alias("v"))
     return used.select("mol_id", "atom_idx", F.array_join(F.transform("v", lambda e: e["i"].cast("string")), ",").alias("slots"), F.round(F.col("v")[0]["x"], 6).alias("share"))
@@ -312,7 +312,7 @@ def masked_passing(spark, d):
     """Neighbour sums of two features, even lines masked before and after."""
     atoms, bonds = molecules(spark, d)
     nodes = atoms.select("mol_id", "atom_idx", F.array("weight", F.lit(1.0)).alias("features"), (F.col("atom_idx") % 2).alias("keep"))
-    out = graphs.neighbor_sum(nodes, graphs.arcs(bonds), 0.5, "keep")
+    out = graphs.neighbor_sum(nodes, graphs.arcs(bonds), 0.5, "keep", line_tasks(spark, d))
     return out.select("mol_id", "atom_idx", F.round(F.col("features")[0], 6).alias("weight"), F.col("features")[1].alias("ones"))
 
 

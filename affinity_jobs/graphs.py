@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import attach_targets, once, one_of_k
+from .io import dealt, large
 from .vectors import combine
 
 # The slots of the atom vector.
@@ -30,10 +31,15 @@ def arcs(bonds: DataFrame) -> DataFrame:
     return there.unionByName(bonds.select("mol_id", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
 
 
-def degree(atoms: DataFrame, arcs: DataFrame) -> DataFrame:
+def attached(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """``rows`` joined with ``other``, both sorted in ``tasks`` tasks (see ``io.dealt``)."""
+    return dealt(rows, tasks, *keys).join(large(dealt(other, tasks, *keys)), keys, how)
+
+
+def degree(atoms: DataFrame, arcs: DataFrame, tasks: int | None = None) -> DataFrame:
     """``mol_id, atom_idx, degree``; 0 without bonds."""
     counts = arcs.groupBy("mol_id", F.col("src").alias("atom_idx")).agg(F.count(F.lit(1)).alias("degree"))
-    return atoms.select("mol_id", "atom_idx").join(counts, ["mol_id", "atom_idx"], "left").na.fill(0, ["degree"])
+    return attached(atoms.select("mol_id", "atom_idx"), counts, ["mol_id", "atom_idx"], "left", tasks).na.fill(0, ["degree"])
 
 
 def adjacency(atoms: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -119,10 +125,10 @@ def molecule_vector(summary: DataFrame, descriptors: DataFrame) -> DataFrame:
     return rows.select("mol_id", F.array(*slots).alias("mol_features"))
 
 
-def pharmacophore_flags(atoms: DataFrame, hits: DataFrame) -> DataFrame:
+def pharmacophore_flags(atoms: DataFrame, hits: DataFrame, tasks: int | None = None) -> DataFrame:
     """``atoms`` with six flags; families outside the list are ignored."""
     found = hits.groupBy("mol_id", "atom_idx").agg(*[F.bool_or(F.col("family").isin(names)).alias(flag) for flag, names in FLAGS.items()])
-    return atoms.join(found, ["mol_id", "atom_idx"], "left").na.fill(False, list(FLAGS))
+    return attached(atoms, found, ["mol_id", "atom_idx"], "left", tasks).na.fill(False, list(FLAGS))
 
 
 def atom_vector(df: DataFrame) -> DataFrame:
@@ -161,29 +167,29 @@ def pool(df: DataFrame, keys: list[str], vector: str, how: str = "sum") -> DataF
     return combine(df, keys, vector, how)
 
 
-def _propagate(nodes: DataFrame, arcs: DataFrame, weight: Column | None, own: Column) -> DataFrame:
+def _propagate(nodes: DataFrame, arcs: DataFrame, weight: Column | None, own: Column, tasks: int | None = None) -> DataFrame:
     """Sum over arcs of the source's vector times ``weight``, plus the node's own times ``own``: a row with a vector for each arc and node."""
     source = nodes.select("mol_id", F.col("atom_idx").alias("src"), F.col("_deg").alias("_ds"), "features")
     end = nodes.select("mol_id", F.col("atom_idx").alias("dst"), F.col("_deg").alias("_dd"))
-    sent = arcs.where("src != dst").join(end, ["mol_id", "dst"]).join(source, ["mol_id", "src"])
+    sent = attached(attached(arcs.where("src != dst"), end, ["mol_id", "dst"], tasks=tasks), source, ["mol_id", "src"], tasks=tasks)
     sent = sent.select("mol_id", F.col("dst").alias("atom_idx"), (weight if weight is not None else F.lit(1.0)).alias("_w"), "features")
-    return combine(sent.unionByName(nodes.select("mol_id", "atom_idx", own.alias("_w"), "features")), ["mol_id", "atom_idx"], "features", weight=F.col("_w"))
+    return combine(sent.unionByName(nodes.select("mol_id", "atom_idx", own.alias("_w"), "features")), ["mol_id", "atom_idx"], "features", weight=F.col("_w"), tasks=tasks)
 
 
-def _with_degree(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+def _with_degree(nodes: DataFrame, arcs: DataFrame, tasks: int | None = None) -> DataFrame:
     counts = arcs.where("src != dst").groupBy("mol_id", F.col("src").alias("atom_idx")).agg(F.count(F.lit(1)).alias("_n"))
-    return nodes.join(counts, ["mol_id", "atom_idx"], "left").withColumn("_deg", F.coalesce("_n", F.lit(0)) + 1).drop("_n")
+    return attached(nodes, counts, ["mol_id", "atom_idx"], "left", tasks).withColumn("_deg", F.coalesce("_n", F.lit(0)) + 1).drop("_n")
 
 
-def neighbor_sum(nodes: DataFrame, arcs: DataFrame, eps: float = 0.0, mask: str | None = None) -> DataFrame:
+def neighbor_sum(nodes: DataFrame, arcs: DataFrame, eps: float = 0.0, mask: str | None = None, tasks: int | None = None) -> DataFrame:
     """``mol_id, atom_idx, features``: ``(1 + eps) * x`` plus the neighbours' sum; masked nodes are 0 before and after."""
     rows = nodes if mask is None else nodes.withColumn("features", F.transform("features", lambda x: x * F.col(mask)))
-    out = _propagate(_with_degree(rows, arcs), arcs, None, F.lit(1.0 + eps))
+    out = _propagate(_with_degree(rows, arcs, tasks), arcs, None, F.lit(1.0 + eps), tasks)
     if mask is None:
         return out
-    return out.join(nodes.select("mol_id", "atom_idx", mask), ["mol_id", "atom_idx"]).withColumn("features", F.transform("features", lambda x: x * F.col(mask))).drop(mask)
+    return attached(out, nodes.select("mol_id", "atom_idx", mask), ["mol_id", "atom_idx"], tasks=tasks).withColumn("features", F.transform("features", lambda x: x * F.col(mask))).drop(mask)
 
 
-def gcn_propagate(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+def gcn_propagate(nodes: DataFrame, arcs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Neighbours' sum with self loops, each term over the root of the product of both degrees."""
-    return _propagate(_with_degree(nodes, arcs), arcs, 1 / F.sqrt(F.col("_ds") * F.col("_dd")), 1 / F.col("_deg"))
+    return _propagate(_with_degree(nodes, arcs, tasks), arcs, 1 / F.sqrt(F.col("_ds") * F.col("_dd")), 1 / F.col("_deg"), tasks)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table that a task of `dealt` takes.
+TASK_ROWS = 250_000
 #: Entries of a dictionary that one window numbers.
 ENTRIES = 100_000
 #: Blanks at the ends of a text belong to it; quotes within it are doubled, so that backslashes stand for themselves.
@@ -160,6 +162,16 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def tasks(df: DataFrame) -> int:
+    """In how many tasks ``df``'s rows are dealt: as many as keep a task's rows, and so its memory, the same at any size. Counts the rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def dealt(df: DataFrame, number: int | None, *keys: str) -> DataFrame:
+    """``df`` by its keys in ``number`` tasks; without one it is left to Spark, whose tasks take more rows of a larger table."""
+    return df if number is None else df.repartition(number, *keys)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what is used more than once is computed once."""
     path = shared_folder(df.sparkSession, name)

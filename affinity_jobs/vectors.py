@@ -59,13 +59,13 @@ def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin, rows)
 
 
-def combine(df: DataFrame, keys: list[str], vector: str, how: str = "sum", weight: Column | None = None) -> DataFrame:
+def combine(df: DataFrame, keys: list[str], vector: str, how: str = "sum", weight: Column | None = None, tasks: int | None = None) -> DataFrame:
     """``keys, vector``: each group's vectors combined by place: "sum", "max", "mean", or "max_mean", one after the other.
 
     Vectors count ``weight`` times in sums. Vectors may differ in length; a result is as long as its group's longest, and a
     place counts the values that are there (null where none is). Groups without any place have no row; a null key is a
     group. Rows are combined within each batch, before partial results are shuffled, one row a group and batch; a group's
-    partial results pass through a task in a stream.
+    partial results pass through a task in a stream. ``tasks`` is the number of these tasks, else Spark's choice.
     """
     rows = df.select(*keys, (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"), F.col(vector).alias("_v")).where(F.size("_v") > 0)
     k, fields = len(keys), [df.schema[c] for c in keys]
@@ -115,7 +115,7 @@ def combine(df: DataFrame, keys: list[str], vector: str, how: str = "sum", weigh
             yield held
 
     parts = rows.mapInArrow(partly, middle)
-    dealt = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)
+    dealt = parts.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)
     found = dealt.mapInArrow(wholly, middle)
     some = lambda c: F.transform(F.arrays_zip(c, "_n"), lambda e: F.when(e["_n"] > 0, e[c]))
     mean = F.transform(F.arrays_zip("_sum", "_n"), lambda e: F.when(e["_n"] > 0, e["_sum"] / e["_n"]))

@@ -5,7 +5,7 @@ import io as texts
 
 from pyspark.sql import functions as F
 
-from affinity_jobs import chain_queries, encode, explain, graphs
+from affinity_jobs import chain_queries, encode, explain, graphs, io, queries
 
 
 def plan(df) -> str:
@@ -41,3 +41,17 @@ def test_codes_of_targets_take_no_join(spark, tmp_path):
     assert [r["codes"].split(",")[:4] for r in found.orderBy("p_partkey").collect()] == [["17", "5", "4", "2"], ["1", "17", "0", "0"]]
     twice = spark.createDataFrame([(1, "A", "K", "A"), (1, "C", "K", "A")], "target_id long, klifs_85_residue_sequence string, gatekeeper_residue string, hinge_residues string")
     assert encode.target_codes(twice).count() == 2
+
+
+def test_the_tasks_of_molecules_follow_their_rows(spark, monkeypatch):
+    lines = spark.range(1000)
+    assert io.tasks(lines) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(io, "TASK_ROWS", 50)
+    assert io.tasks(lines) == 20
+    assert "hashpartitioning(l_orderkey#" in (found := plan(queries.arcs_degree(spark, "/root/testdata/sf0.001")))
+    assert "REPARTITION_BY_NUM" in found
+    atoms, arcs = pair_of_orders(spark)
+    nodes = atoms.select("mol_id", "atom_idx", F.array("weight").alias("features"))
+    for step in (graphs.neighbor_sum, graphs.gcn_propagate):
+        tidy = lambda df: sorted((r.mol_id, r.atom_idx, round(r.features[0], 9)) for r in df.collect())
+        assert tidy(step(nodes, arcs, tasks=7)) == tidy(step(nodes, arcs)) and "Broadcast" not in plan(step(nodes, arcs, tasks=7))
