@@ -21,6 +21,8 @@ TABLE = ["sample_index", "full_smiles", "fragment_smiles", "atom_indices", "num_
 UNLIMITED = 24
 #: The largest molecule that is dealt whole.
 WHOLE = 16
+#: Sets, at most, of the molecules that are counted together.
+COUNTED = 1 << 18
 
 
 def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) -> DataFrame:
@@ -125,6 +127,36 @@ def candidates(adj: DataFrame, max_subgraph: int = MAX_SUBGRAPH, max_combination
     return small.mapInArrow(run, large.schema).unionByName(large)
 
 
+def count_combinations(adj: DataFrame, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:
+    """``mol_id, size, num_components, n, n_sets``: the rows of ``combine`` of ``enumerate_connected`` by molecule, size and parts, and their different atom sets.
+
+    Molecules of up to ``WHOLE`` atoms are counted in the task that grows their sets, many at a time; combinations of
+    larger ones are made and counted.
+    """
+    adj = cut(adj, "molecules")
+    pairs = max_combination == 2 and max_total is not None and max_total >= 1
+    rest = adj.where(F.size("adj") > WHOLE) if pairs else adj
+    made = combine(enumerate_connected(rest, max_subgraph), max_combination, max_total)
+    made = made.groupBy("mol_id", "size", "num_components").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mask").alias("n_sets"))
+    if not pairs:
+        return made
+    limit = max(max_subgraph, 1)
+
+    def run(batches):
+        for whole in batches:
+            room = np.cumsum(1 << np.diff(whole.column(1).offsets.to_numpy()).astype(np.int64)) // COUNTED
+            for begin, end in zip(*(np.searchsorted(room, np.unique(room), side=side) for side in ("left", "right")), strict=True):
+                batch = whole.slice(begin, end - begin)
+                mols = subgraphs.Molecules(batch.column(1))
+                mol, *found = subgraphs.counts(batch.num_rows, subgraphs.connected(mols, subgraphs.starts(mols), limit), max_total)
+                kinds = (np.int32, np.int32, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mol)), *(pa.array(x.astype(k)) for x, k in zip(found, kinds, strict=True))], names.names)
+
+    names = T.StructType([adj.schema["mol_id"], *T._parse_datatype_string("size int, num_components int, n bigint, n_sets bigint").fields])
+    small = adj.where((F.size("adj") <= WHOLE) & (F.size("adj") > 0)).select("mol_id", "adj")
+    return small.mapInArrow(run, names).unionByName(made)
+
+
 def attach_target_fields(candidates: DataFrame, samples: DataFrame, fields: list[str], optional: tuple[str, ...] = ("y",)) -> DataFrame:
     """Candidates with ``fields`` of their full sample; an optional field that samples lack is left out."""
     have = [f for f in fields if f in samples.columns or f not in optional]

@@ -27,8 +27,8 @@ HYDROGEN_MASS = 1.008
 
 def arcs(bonds: DataFrame) -> DataFrame:
     """``mol_id, src, dst``: both directions of each bond, once."""
-    there = bonds.select("mol_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-    return there.unionByName(bonds.select("mol_id", F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return bonds.select("mol_id", F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e")).select("mol_id", "e.*").distinct()  # bonds are made once
 
 
 def attached(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", tasks: int | None = None) -> DataFrame:
@@ -68,6 +68,24 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def parts(count: int, offsets: np.ndarray, atoms: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Molecules, numbers and components of the atoms of ``count`` molecules: ``atoms`` by ``offsets``, links from places in it to atoms by number.
+
+    Ends that are no atoms of the molecule link nothing.
+    """
+    mol = np.repeat(np.arange(count), np.diff(offsets))
+    many = len(atoms)
+    order = np.lexsort([atoms, mol])  # so that the least place is the least atom
+    place = np.empty(many, np.int64)
+    place[order] = np.arange(many)
+    low = int(min(atoms.min(initial=0), ends.min(initial=0)))
+    span = int(max(atoms.max(initial=0), ends.max(initial=0))) - low + 1
+    known, wanted = mol[order] * span + atoms[order] - low, mol[owner] * span + ends - low
+    at = np.minimum(np.searchsorted(known, wanted), max(many - 1, 0))
+    real = known[at] == wanted if many else np.zeros(0, bool)
+    return mol[order], atoms[order], least_reached(many, place[owner[real]], at[real])
+
+
 def components(adj: DataFrame) -> DataFrame:
     """``mol_id, atom_idx, component``: the least atom that each atom of a molecule reaches, by pointer jumping over a batch's molecules at once.
 
@@ -79,37 +97,67 @@ def components(adj: DataFrame) -> DataFrame:
             for begin in range(0, whole.num_rows, 1024):
                 batch = whole.slice(begin, 1024)
                 maps = batch.column(1)
-                sizes = np.diff(maps.offsets.to_numpy())
-                first, many = int(maps.offsets[0].as_py()), int(sizes.sum())
+                offsets = maps.offsets.to_numpy()
+                first, many = int(offsets[0]), int(offsets[-1] - offsets[0])
                 ids, near = maps.keys.to_numpy()[first : first + many].astype(np.int64), maps.items.slice(first, many)
-                mol = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort([ids, mol])  # so that the least place is the least atom
-                place = np.empty(many, np.int64)
-                place[order] = np.arange(many)
                 degree = near.value_lengths().fill_null(0).to_numpy().astype(np.int64)
                 owner, ends = np.repeat(np.arange(many), degree), near.flatten().to_numpy().astype(np.int64)
-                low = int(min(ids.min(initial=0), ends.min(initial=0)))
-                span = int(max(ids.max(initial=0), ends.max(initial=0))) - low + 1
-                known, wanted = mol[order] * span + ids[order] - low, mol[owner] * span + ends - low
-                at = np.minimum(np.searchsorted(known, wanted), max(many - 1, 0))
-                real = known[at] == wanted if many else np.zeros(0, bool)
-                label = least_reached(many, place[owner[real]], at[real])
-                names = ids[order]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mol[order])), pa.array(names.astype(np.int32)), pa.array(names[label].astype(np.int32))], ["mol_id", "atom_idx", "component"])
+                mol, names, label = parts(batch.num_rows, offsets, ids, owner, ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mol)), pa.array(names.astype(np.int32)), pa.array(names[label].astype(np.int32))], ["mol_id", "atom_idx", "component"])
 
     return adj.select("mol_id", "adj").mapInArrow(run, T.StructType([adj.schema["mol_id"], T.StructField("atom_idx", T.IntegerType()), T.StructField("component", T.IntegerType())]))
 
 
 def molecule_summary(atoms: DataFrame, arcs: DataFrame, masses: DataFrame) -> DataFrame:
-    """``mol_id, n_atoms, weight, heteroatoms, rings`` from atoms, arcs and ``masses(symbol, mass)``.
+    """``mol_id, n_atoms, weight, heteroatoms, rings`` from atoms, arcs and ``masses(symbol, mass)``, a row for each element.
 
-    Rings are bonds - atoms + components.
+    Rings are bonds - atoms + components. Atoms and arcs of a molecule meet once, in one group.
     """
-    parts = components(adjacency(atoms, arcs)).groupBy("mol_id").agg(F.count_distinct("component").alias("_parts"))
-    counts = atoms.join(masses, "symbol", "left").groupBy("mol_id").agg(F.count(F.lit(1)).alias("n_atoms"), F.sum(F.col("mass") + HYDROGEN_MASS * F.col("num_hs")).alias("weight"), F.count_if(~F.col("symbol").isin("C", "H")).alias("heteroatoms"))
-    bonds = arcs.where("src <= dst").groupBy("mol_id").agg(F.count(F.lit(1)).alias("_bonds"))
-    out = counts.join(bonds, "mol_id", "left").join(parts, "mol_id").na.fill(0, ["_bonds"])
-    return out.select("mol_id", "n_atoms", "weight", "heteroatoms", (F.col("_bonds") - F.col("n_atoms") + F.col("_parts")).alias("rings"))
+    rows = atoms.join(F.broadcast(masses), "symbol", "left")  # elements are few: atoms aren't dealt by symbol
+    own = rows.select("mol_id", F.col("atom_idx").cast("long").alias("_a"), (F.col("mass") + HYDROGEN_MASS * F.col("num_hs")).alias("_w"), (~F.col("symbol").isin("C", "H")).alias("_h"), F.lit(1).alias("_n"))
+    links = arcs.select("mol_id", F.struct(F.col("src").cast("long").alias("s"), F.col("dst").cast("long").alias("d")).alias("_e"), (F.col("src") <= F.col("dst")).alias("_b"))
+    counts = own.unionByName(links, allowMissingColumns=True).where("mol_id IS NOT NULL").groupBy("mol_id").agg(
+        F.count("_n").alias("n_atoms"), F.sum("_w").alias("weight"), F.count_if("_h").alias("heteroatoms"), F.count_if("_b").alias("_bonds"), F.collect_set("_a").alias("_ids"), F.collect_list("_e").alias("_links"))
+    return _with_rings(counts.where("n_atoms > 0").select("mol_id", "n_atoms", "weight", "heteroatoms", "_bonds", "_ids", F.col("_links.s").alias("_src"), F.col("_links.d").alias("_dst")))
+
+
+def whole_summary(molecules: DataFrame) -> DataFrame:
+    """``molecule_summary`` of molecules in a row each: ``mol_id``, ``a`` (structs with ``atom_idx``, ``symbol``, ``num_hs``, ``mass``), and ``adj`` as of ``adjacency``."""
+    mass = lambda x: x["mass"] + HYDROGEN_MASS * x["num_hs"]
+    weight = F.when(F.exists("a", lambda x: mass(x).isNotNull()), F.aggregate("a", F.lit(0.0), lambda s, x: s + F.coalesce(mass(x), F.lit(0.0))))
+    other = F.size(F.filter("a", lambda x: ~x["symbol"].isin("C", "H"))).cast("long")
+    ends = F.map_entries("adj")
+    bonds = F.aggregate(ends, F.lit(0).cast("long"), lambda s, e: s + F.size(F.filter(e["value"], lambda d: d >= e["key"])))
+    link = lambda of: F.flatten(F.transform(ends, lambda e: of(e["key"], e["value"]))).cast("array<bigint>")
+    rows = molecules.where((F.size("a") > 0) & F.col("mol_id").isNotNull()).select(
+        "mol_id", F.size("a").cast("long").alias("n_atoms"), weight.alias("weight"), other.alias("heteroatoms"), bonds.alias("_bonds"), F.map_keys("adj").cast("array<bigint>").alias("_ids"),
+        link(lambda k, v: F.array_repeat(k, F.size(v))).alias("_src"), F.flatten(F.map_values("adj")).cast("array<bigint>").alias("_dst"))
+    return _with_rings(rows)
+
+
+def _with_rings(lists: DataFrame) -> DataFrame:
+    """Bonds, atoms and links of each molecule as ``rings``, many molecules at once."""
+
+    def run(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 4096):
+                batch = whole.slice(begin, 4096)
+                atoms, src, dst = (c.flatten().to_numpy().astype(np.int64) for c in batch.columns[5:])
+                offsets = np.r_[0, np.cumsum(batch.column(5).value_lengths().to_numpy())]
+                mol = np.repeat(np.arange(batch.num_rows), batch.column(6).value_lengths().to_numpy())
+                low = int(min(atoms.min(initial=0), src.min(initial=0)))
+                span = int(max(atoms.max(initial=0), src.max(initial=0))) - low + 1
+                key = np.repeat(np.arange(batch.num_rows), np.diff(offsets)) * span + atoms - low
+                order = np.argsort(key)
+                wanted = mol * span + src - low
+                at = np.minimum(np.searchsorted(key, wanted, sorter=order), max(len(key) - 1, 0))
+                real = key[order[at]] == wanted if len(key) else np.zeros(0, bool)
+                found, _, label = parts(batch.num_rows, offsets, atoms, order[at[real]], dst[real])
+                count = np.bincount(found[label == np.arange(len(label))], minlength=batch.num_rows)
+                rings = batch.column(4).to_numpy() - batch.column(1).to_numpy() + count
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(rings)], ["mol_id", "n_atoms", "weight", "heteroatoms", "rings"])
+
+    return lists.mapInArrow(run, T.StructType([*lists.schema.fields[:4], T.StructField("rings", T.LongType())]))
 
 
 def molecule_vector(summary: DataFrame, descriptors: DataFrame) -> DataFrame:
@@ -119,8 +167,8 @@ def molecule_vector(summary: DataFrame, descriptors: DataFrame) -> DataFrame:
     of descriptors the least counts, nulls first.
     """
     given = ["logp", "tpsa", "rotatable", "hbd", "hba"]
-    once_each = descriptors.groupBy("mol_id").agg(F.sort_array(F.collect_set(F.struct(*given)))[0].alias("d")).select("mol_id", "d.*")
-    rows = attach_targets(summary, once_each, key="mol_id")
+    once_each = descriptors.groupBy("mol_id").agg(F.min(F.struct(*given)).alias("d")).select("mol_id", "d.*")
+    rows = attach_targets(summary, large(once_each), key="mol_id")
     slots = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in MOLECULE]
     return rows.select("mol_id", F.array(*slots).alias("mol_features"))
 

@@ -197,6 +197,40 @@ class Pairs:
         return mol, [whole, *nested, pa.array(np.repeat([1, 2], [single, pair]).astype(np.int32)), pa.array(size.astype(np.int32)), masks]
 
 
+def counts(count: int, parts: Iterator[Sets], most: int) -> tuple[np.ndarray, ...]:
+    """Molecule, size, number of parts, combinations and different atom sets of ``count`` molecules of up to 40 atoms: single sets and disjoint pairs of up to ``most`` atoms."""
+    found = [(p.mol, np.full(len(p), p.path.shape[1]), p.mask[:, 0].astype(np.int64)) for p in parts]
+    mol, size, mask = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ([], [], [])))
+    fit = size <= most
+    order = np.lexsort([size[fit], mol[fit]])
+    mol, size, mask = mol[fit][order], size[fit][order], mask[fit][order]
+    n, span = len(mol), most + 1
+    code = mol * span + size
+    tally = lambda codes: np.bincount(codes, minlength=count * span)
+    room = np.minimum(most - size, size)  # the partner is no larger
+    begin = np.searchsorted(code, mol * span)
+    end = np.where(room > 0, np.searchsorted(code, mol * span + room, side="right"), begin)
+    end = np.where(room == size, np.minimum(end, np.arange(n)), end)  # of one size, the one that stands before
+    many = np.maximum(end - begin, 0)
+    upto = np.cumsum(many)
+    one, two, distinct, a = tally(code), tally(code[:0]), tally(code[:0]), 0
+    held = np.zeros(0, np.int64)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, side="right")))
+        left = np.repeat(np.arange(a, b), many[a:b])
+        right = np.arange(len(left)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b]) + begin[left]
+        apart = (mask[left] & mask[right]) == 0
+        left, right = left[apart], right[apart]
+        two += tally(code[left] + size[right])
+        held = np.unique(np.concatenate([held, mol[left] << 40 | mask[left] | mask[right]]))
+        done = np.searchsorted(held, mol[b] << 40) if b < n else len(held)  # molecules that no later set belongs to
+        distinct += tally((held[:done] >> 40) * span + np.bitwise_count(held[:done] & ((1 << 40) - 1)))
+        held, a = held[done:], b
+    single, pair = np.flatnonzero(one), np.flatnonzero(two)
+    place = np.r_[single, pair]
+    return place // span, place % span, np.repeat([1, 2], [len(single), len(pair)]), np.r_[one[single], two[pair]], np.r_[one[single], distinct[pair]]
+
+
 def words_of(masks: pa.ListArray) -> np.ndarray:
     """Bitmaps as rows of as many words as the longest has."""
     n = masks.value_lengths().to_numpy().astype(np.int64)
