@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode, explain, graphs, io, metrics, pairs, samples, targets, udfs
-from .queries import COMBOS, MOLECULES, SETS, line_tasks, molecules, table
+from .queries import COMBOS, MOLECULES, SETS, line_tasks, molecules, table, whole_molecules
 
 
 def kinase_features(spark, d) -> DataFrame:
@@ -218,14 +218,11 @@ def supplier_features(spark, d) -> DataFrame:
 
 def order_vectors(spark, d) -> DataFrame:
     """Orders as molecules with the eight slots of their vector; order columns stand in for descriptors."""
-    atoms, bonds = molecules(spark, d)
-    rows = atoms.withColumn("num_hs", F.lit(1))
-    masses = rows.select("symbol").distinct().withColumn("mass", F.ascii("symbol").cast("double"))
     key = F.col("o_orderkey")
     given = table(spark, d, "orders").select(
         key.alias("mol_id"), ((key % 7) / 2).alias("logp"), F.col("o_totalprice").alias("tpsa"), (F.col("o_custkey") % 5).alias("rotatable"),
         F.when(key % 3 > 0, key % 3).alias("hbd"), F.length("o_orderpriority").alias("hba"))
-    return graphs.molecule_vector(graphs.molecule_summary(rows, graphs.arcs(bonds), masses), given)
+    return graphs.molecule_vector(graphs.whole_summary(whole_molecules(spark, d)), given)
 
 
 def molecule_vectors(spark, d):
@@ -236,24 +233,27 @@ def molecule_vectors(spark, d):
 
 def model_samples(spark, d):
     """Orders as molecules and suppliers as targets, stored once each, and joined to whole samples when read."""
-    atoms, bonds = molecules(spark, d)
-    nodes = atoms.select("mol_id", "atom_idx", F.array(F.col("weight").cast("double"), F.col("atom_idx").cast("double")).alias("features"))
+    nodes = F.transform("a", lambda x: F.struct(x["atom_idx"].alias("atom_idx"), F.array(x["weight"].cast("double"), x["atom_idx"].cast("double")).alias("features")))
+    whole = whole_molecules(spark, d).select("mol_id", nodes.alias("a"), "adj")
     features = supplier_features(spark, d)
     both = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("y"))
     rows = both.select(
         (F.col("l_orderkey") * 100000 + F.col("l_suppkey")).alias("sample_id"), F.concat(F.lit("set"), F.col("l_suppkey") % 2).alias("dataset"),
         F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split"), F.col("l_orderkey").alias("mol_id"), F.col("l_suppkey").alias("target_id"), "y")
     path = io.shared_folder(spark, "samples")
-    samples.write(rows, samples.molecule_table(nodes, graphs.arcs(bonds), order_vectors(spark, d)), samples.target_table(features, encode.vocabularies(features)), path)
+    stored = samples.whole_molecule_table(whole, order_vectors(spark, d)), samples.target_table(features, encode.vocabularies(features))
+    samples.write(rows, *stored, path, buckets=max(samples.BUCKETS, line_tasks(spark, d)))
     codes = lambda c: F.array_join(F.transform(F.filter(c, lambda x: x != 0), lambda x: x.cast("string")), ",")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     edges = F.zip_with(F.col("edge_index")[0], F.col("edge_index")[1], lambda a, b: (a * 31 + b).cast("double"))
     used = F.filter(F.transform("protein_feat", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    return samples.read(spark, path).select(
-        "sample_id", "dataset", "split", "mol_id", "target_id", "y", "c_size", total(F.transform("features", lambda v: v[0] * v[1])).alias("x"), total(edges).alias("edges"),
-        F.round(F.col("mol_features")[2], 3).alias("tpsa"), F.col("mol_features")[7].alias("rings"), codes("target").alias("target"),
-        F.array_join(F.transform(used, lambda i: i.cast("string")), ",").alias("slots"), F.col("protein_feat")[1].cast("double").alias("second"),
-        codes("klifs_pocket").alias("pocket"), codes("gatekeeper").alias("gatekeeper"), codes("hinge").alias("hinge"))
+    of_molecules = {
+        "c_size": F.col("c_size"), "x": total(F.transform("features", lambda v: v[0] * v[1])), "edges": total(edges),
+        "tpsa": F.round(F.col("mol_features")[2], 3), "rings": F.col("mol_features")[7]}
+    of_targets = {
+        "target": codes("target"), "slots": F.array_join(F.transform(used, lambda i: i.cast("string")), ","), "second": F.col("protein_feat")[1].cast("double"),
+        "pocket": codes("klifs_pocket"), "gatekeeper": codes("gatekeeper"), "hinge": codes("hinge")}
+    return samples.read(spark, path, molecules=of_molecules, targets=of_targets)
 
 
 def matrix_csv(spark, d):

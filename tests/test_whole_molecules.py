@@ -1,4 +1,4 @@
-"""Molecules in a row each: summaries, counted combinations and scores, against the jobs over atoms and arcs."""
+"""Molecules in a row each: summaries, samples, counted combinations and scores, against the jobs over atoms and arcs."""
 
 import itertools
 import random
@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affinity_jobs import explain, graphs, queries, subgraphs
+from affinity_jobs import explain, graphs, queries, samples, subgraphs
 from test_growth import plan
 
 
@@ -50,6 +50,22 @@ def test_combinations_are_counted_where_sets_grow(spark, tables, monkeypatch):
         assert tidy(explain.count_combinations(adj, *sizes)) == tidy(want)
 
 
+def test_columns_of_parts_are_made_before_their_pairs(spark, tables, tmp_path):
+    atoms, arcs, _ = tables
+    nodes = atoms.select("mol_id", "atom_idx", F.array(F.col("atom_idx") * 1.0).alias("features"))
+    vectors = atoms.select("mol_id").distinct().withColumn("mol_features", F.array(F.lit(1.0)))
+    table = samples.whole_molecule_table(whole(nodes, arcs, "features"), vectors)
+    assert tidy(table) == tidy(samples.molecule_table(nodes, arcs, vectors)) and "Broadcast" not in plan(table)
+    targets = spark.createDataFrame([("T", [1, 0, 2], [1.0], [1], [1], [1])], "target_id string, target array<int>, protein_feat array<float>, klifs_pocket array<int>, gatekeeper array<int>, hinge array<int>")
+    pairs = spark.createDataFrame([(i, "d", "s", i % 13, "T", 1.0) for i in range(30)], "sample_id long, dataset string, split string, mol_id long, target_id string, y double")
+    samples.write(pairs, table, targets, f"file://{tmp_path}/s", buckets=2)
+    used = F.size(F.filter("target", lambda x: x != 0)).alias("used")
+    found = samples.read(spark, f"file://{tmp_path}/s", molecules={"n": F.size("features")}, targets={"used": used})
+    assert found.columns == [*samples.PAIRS, "n", "used"] and "Broadcast" not in plan(found)
+    assert tidy(found) == tidy(samples.read(spark, f"file://{tmp_path}/s").select(*samples.PAIRS, F.size("features"), used))
+    assert plan(found).index("SortMergeJoin") < plan(found).index("AS used")  # a plan's root stands first
+
+
 def test_lines_of_whole_molecules_meet_once(spark):
     found = plan(queries.whole_molecules(spark, "/root/testdata/sf0.001"))
     assert found.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in found
