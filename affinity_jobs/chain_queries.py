@@ -155,15 +155,13 @@ def explained(spark, d, k: int | None = None) -> DataFrame:
 
 def full_scores(spark, d):
     """A user's model over whole orders, and over the odd lines of each, from one copy of an order's features."""
-    atoms, bonds = molecules(spark, d)
-    lists = F.sort_array(F.collect_list(F.struct("atom_idx", "weight")))
-    full = atoms.groupBy(F.col("mol_id").alias("sample_id")).agg(lists.alias("w"))
-    full = full.select("sample_id", F.transform("w", lambda x: F.array(x["weight"], x["atom_idx"].cast("double"))).alias("features"), F.col("w.atom_idx").alias("ids"))
-    adj = graphs.adjacency(atoms, graphs.arcs(bonds))
+    molecules = io.cut(whole_molecules(spark, d).select("mol_id", "a", "adj"), "molecules")
+    full = molecules.select(F.col("mol_id").alias("sample_id"), F.transform("a", lambda x: F.array(x["weight"], x["atom_idx"].cast("double"))).alias("features"), F.col("a.atom_idx").alias("ids"))
+    adj = molecules.select("mol_id", "adj")
     score = lambda rows: udfs.score_masked(rows, full, lambda: lambda batch: [(x["features"][:, 0] * x["features"][:, 1]).sum() + x["mask"].sum() / 100 for x in batch], ids="ids")
     whole = explain.full_predictions(adj.select(F.col("mol_id").alias("sample_id"), "mol_id"), adj, score)
     odd = full.select("sample_id", F.filter("ids", lambda i: i % 2 > 0).alias("atoms"))
-    return whole.join(score(odd), "sample_id").select(F.col("sample_id").alias("mol_id"), F.round("full_prediction", 4).alias("whole"), F.round("prediction", 4).alias("odd"))
+    return whole.join(io.large(score(odd)), "sample_id").select(F.col("sample_id").alias("mol_id"), F.round("full_prediction", 4).alias("whole"), F.round("prediction", 4).alias("odd"))
 
 
 def embedding_passing(spark, d):

@@ -43,9 +43,9 @@ def score(df: DataFrame, make_predict: Callable[[], Callable], out: str = "predi
 class Sample:
     """A full sample: its fields, its feature rows, and which row an atom has."""
 
-    def __init__(self, fields: dict, features: str, ids: str | None):
-        self.fields, self.features = fields, np.array(fields[features], dtype=float)
-        self.row = {a: i for i, a in enumerate(fields[ids] if ids else range(len(self.features)))}
+    def __init__(self, fields: dict, features: np.ndarray, ids: list | None):
+        self.fields, self.features = fields, features
+        self.row = {a: i for i, a in enumerate(range(len(features)) if ids is None else ids)}
 
     def masked(self, name: str, atoms: list[int]) -> dict:
         """The fields, with features outside the atoms as zeros and the ``mask`` (1 for atoms inside)."""
@@ -54,6 +54,24 @@ class Sample:
         return self.fields | {name: self.features * mask.reshape(-1, *[1] * (self.features.ndim - 1)), "mask": mask}
 
 
+def feature_rows(column: pa.ListArray) -> list[np.ndarray]:
+    """Each sample's features as doubles: slices of one array where they are vectors of one length without nulls."""
+    rows = column.flatten()
+    if column.null_count or not pa.types.is_list(rows.type) or not pa.types.is_floating(rows.type.value_type) or rows.null_count or rows.flatten().null_count:
+        return [np.array(x, dtype=float) for x in column.to_pylist()]
+    wide, ends = rows.value_lengths().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    if not len(wide) or (wide != wide[0]).any() or (np.diff(ends, prepend=0) == 0).any():
+        return [np.array(x, dtype=float) for x in column.to_pylist()]
+    return np.split(rows.flatten().to_numpy().astype(float).reshape(-1, wide[0]), ends[:-1])
+
+
+def full_samples(full: pa.StructArray, features: str, ids: str | None) -> list[Sample]:
+    names = full.type.names
+    fields = {name: full.field(name).to_pylist() for name in names if name != features}
+    each = [dict(zip(fields, values, strict=True)) for values in zip(*fields.values(), strict=True)] if fields else [{}] * len(full)
+    return [Sample(own, rows, own[ids] if ids else None) for own, rows in zip(each, feature_rows(full.field(features)), strict=True)]
+
+
 def score_masked(candidates: DataFrame, samples: DataFrame, make_predict: Callable[[], Callable[[list[dict]], list[float]]], *, key: str = "sample_id", atoms: str = "atoms", features: str = "features", ids: str | None = None, out: str = "prediction", batch_size: int = BATCH) -> DataFrame:
     """``candidates`` with a model's prediction for their samples masked to their atoms.
 
@@ -76,14 +94,16 @@ def score_masked(candidates: DataFrame, samples: DataFrame, make_predict: Callab
         predict, sample, at = make_predict(), None, None
         for batch in batches:
             place = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            full, given = batch.column(3), batch.column(4).field(names.index(atoms))
+            kinds = batch.column(2).to_numpy()
+            full = iter(full_samples(batch.column(3).take(pa.array(np.flatnonzero(kinds == 0))), features, ids))
+            given = batch.column(4).field(names.index(atoms)).to_pylist()
             rows, masked, found = [], [], []
-            for i, kind in enumerate(batch.column(2).to_pylist()):
+            for i, kind in enumerate(kinds):
                 if kind == 0:
-                    sample, at = Sample(full[i].as_py(), features, ids), place[i]
+                    sample, at = next(full), place[i]
                 elif at == place[i]:
                     rows.append(i)
-                    masked.append(sample.masked(features, given[i].as_py() or []))
+                    masked.append(sample.masked(features, given[i] or []))
                     if len(masked) == batch_size:
                         found += [float(x) for x in predict(masked)]
                         masked = []

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from affinity_jobs import explain, graphs, queries, samples, subgraphs
+from affinity_jobs import chain_queries, explain, graphs, queries, samples, subgraphs, udfs
 from test_growth import plan
 
 
@@ -66,8 +68,21 @@ def test_columns_of_parts_are_made_before_their_pairs(spark, tables, tmp_path):
     assert plan(found).index("SortMergeJoin") < plan(found).index("AS used")  # a plan's root stands first
 
 
+def test_features_of_a_batch_become_one_array():
+    kind = pa.list_(pa.list_(pa.float64()))
+    even = udfs.feature_rows(pa.array([[[1.0, 2.0]], [[3.0, 4.0], [5.0, 6.0]]], kind).slice(1))
+    assert len(even) == 1 and even[0].tolist() == [[3.0, 4.0], [5.0, 6.0]]
+    odd = udfs.feature_rows(pa.array([[[1.0]], [[2.0, None]], []], kind))
+    assert [x.shape for x in odd] == [(1, 1), (1, 2), (0,)] and np.isnan(odd[1][0, 1])
+    assert [x.tolist() for x in udfs.feature_rows(pa.array([[1, 2], [3]]))] == [[1.0, 2.0], [3.0]]
+
+
 def test_lines_of_whole_molecules_meet_once(spark):
     found = plan(queries.whole_molecules(spark, "/root/testdata/sf0.001"))
     assert found.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in found
     want = dict(map(tuple, queries.molecule_adjacency(spark, "/root/testdata/sf0.001").collect()))
     assert {r.mol_id: r.adj for r in queries.whole_molecules(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_scores_of_whole_samples_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(chain_queries.full_scores(spark, "/root/testdata/sf0.001"))
