@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import subgraphs
+from . import subgraphs, udfs
 from .io import cut, large
 from .vectors import group_codes
 
@@ -23,6 +23,11 @@ UNLIMITED = 24
 WHOLE = 16
 #: Sets, at most, of the molecules that are counted together.
 COUNTED = 1 << 18
+#: An explanation of a sample in a row.
+FOUND = "atoms array<int>, components array<array<int>>, paths array<array<int>>, num_components int, size int, full_prediction double, prediction double, difference double, rank int"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+#: Masked samples, and values of their features, that a model takes at once.
+STACKED, CELLS = 1 << 14, 1 << 20
 
 
 def enumerate_connected(adj: DataFrame, max_size: int | None = MAX_SUBGRAPH) -> DataFrame:
@@ -253,18 +258,22 @@ def output_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", lambda c: F.array_sort(c)))})
 
 
-def explanation_table(df: DataFrame, samples: DataFrame, *, dataset: str, model_name: str, fragments=None, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL) -> DataFrame:
+def explanation_table(df: DataFrame, samples: DataFrame | None, *, dataset: str, model_name: str, fragments=None, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL, ranged: bool = False) -> DataFrame:
     """The columns ``TABLE`` of explanations, ordered by sample, size, difference and first made; ``samples(sample_id, full_smiles)``.
 
     ``fragments`` takes the column of a row's atom sets (the whole set, then its components) and gives a list of as many
     texts, by an expression or a user's batch function; without it, the texts of fragments are null. Explanations of a
-    sample that ``samples`` lacks have a null ``full_smiles``; of repeated rows the least counts.
+    sample that ``samples`` lacks have a null ``full_smiles``; of repeated rows the least counts. Without ``samples``, ``df`` has the
+    texts. Rows ``ranged`` by sample, a range for each task, are only sorted within tasks.
     """
-    texts = samples.groupBy("sample_id").agg(F.min("full_smiles").alias("full_smiles"))
     parts = F.transform("components", lambda c: F.array_sort(c))
     sets = F.concat(F.array(F.array_sort("atoms")), parts)
     named = F.lit(None).cast("array<string>") if fragments is None else fragments(F.col("_sets"))
-    rows = df.join(large(texts), "sample_id", "left").withColumn("_sets", sets).withColumn("_names", named).orderBy("sample_id", "size", "difference", "num_components", "paths")
+    if samples is not None:
+        df = df.join(large(samples.groupBy("sample_id").agg(F.min("full_smiles").alias("full_smiles"))), "sample_id", "left")
+    order = ["sample_id", "size", "difference", "num_components", "paths"]
+    rows = df.withColumn("_sets", sets).withColumn("_names", named)
+    rows = rows.sortWithinPartitions(*order) if ranged else rows.orderBy(*order)
     own = {
         "sample_index": F.col("sample_id"), "fragment_smiles": F.get("_names", F.lit(0)), "atom_indices": F.to_json(F.array_sort("atoms")),
         "components": F.to_json(parts), "fragment_prediction": F.col("prediction"), "epsilon": F.lit(epsilon).cast("double"), "max_subgraph_size": F.lit(max_subgraph),
@@ -294,3 +303,91 @@ def explain(samples: DataFrame, adj: DataFrame, score, *, epsilon: float = EPSIL
     combos = candidates(molecules, max_subgraph, max_combination, max_total)
     scored = score(samples.join(large(combos), "mol_id"))
     return ranked(minimal(sufficient(scored, epsilon)), k).drop("mask")
+
+
+def explain_whole(samples: DataFrame, make_predict, fields: list[str], *, keep: tuple[str, ...] = ("sample_id", "mol_id"), epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL, k: int | None = None, most: int | None = None) -> DataFrame:
+    """The columns ``keep`` of each sample and ``found``, its minimal sufficient explanations by rank: a list of ``FOUND``.
+
+    ``samples`` has a row for each sample: ``sample_id``, ``mol_id``, ``adj``, ``features`` (a row for each of ``adj``'s atoms, by
+    number), the model's ``fields``, and ``full_prediction``, unless the model is to make it. The model is made once in each
+    task and takes samples of as many atoms at once, as a dict: ``features`` (samples, atoms, ...) with zeros outside the set,
+    ``mask`` (samples, atoms) and ``fields``, an array each; it returns their predictions.
+
+    A sample of up to ``WHOLE`` atoms is finished where it stands: its sets, which molecules of one shape share, their scores
+    and the choice among them take one batch function and no shuffle. Larger ones go through ``explain``; ``most``, if no molecule
+    has more atoms, tells that there are none. Samples without atoms are left out, as are those with a null key.
+    """
+    given = ["full_prediction"] if "full_prediction" in samples.columns else []
+    rows = samples.where(F.col("sample_id").isNotNull() & F.col("mol_id").isNotNull())
+    rows = rows.select(*dict.fromkeys([*keep, "sample_id", "mol_id", "adj", "features", *fields, *given]))
+    keyed = max_combination == 2 and max_total is not None and 1 <= max_subgraph <= subgraphs.KEYED and max_total <= subgraphs.KEYED
+    all_small = keyed and most is not None and most <= WHOLE
+    rows = rows if all_small else cut(rows, "samples")
+
+    def run(batches):
+        predict, shapes = make_predict(), subgraphs.Shapes(max_subgraph, max_total)
+        for batch in batches:
+            batch = batch.filter(pa.array(np.diff(batch.column("adj").offsets.to_numpy()) > 0))
+            if not batch.num_rows:
+                continue
+            mols = subgraphs.Molecules(batch.column("adj"))
+            features = udfs.feature_rows(batch.column("features"))
+            if [x.shape[0] if x.ndim else 0 for x in features] != mols.sizes.tolist():
+                raise ValueError("features need a row for each atom of adj")
+            values = {c: udfs.values(batch.column(c)) for c in [*fields, *given]}
+            found = []
+            for shape, at in shapes.each(mols, batch.column("adj")):
+                step = max(1, STACKED // max(len(shape.mask), 1 << shape.atoms))
+                found += [_least(shape, at[a : a + step], features, values, predict, epsilon, given) for a in range(0, len(at), step)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _found(mols, batch.num_rows, found, k)], [*keep, "found"])
+
+    schema = T.StructType([*[samples.schema[c] for c in keep], T.StructField("found", T.ArrayType(T._parse_datatype_string(FOUND)))])
+    if all_small:
+        return rows.mapInArrow(run, schema)
+    many = rows.where(F.size("adj") > (WHOLE if keyed else 0))
+    own = many.select("sample_id", "features", *[c for c in fields if c != "sample_id"], F.array_sort(F.map_keys("adj")).alias("_ids"))
+    score = lambda sets: udfs.score_masked(sets, own, udfs.of_samples(make_predict, fields), ids="_ids")
+    made = explain(many.select("sample_id", "mol_id", *given), many.select("mol_id", "adj").dropDuplicates(["mol_id"]), score, epsilon=epsilon, max_subgraph=max_subgraph, max_combination=max_combination, max_total=max_total, k=k)
+    lists = made.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*FOUND_NAMES).alias("f"))))["f"].alias("found"))
+    rest = many.select(*dict.fromkeys([*keep, "sample_id"])).join(large(lists), "sample_id", "left")
+    rest = rest.select(*keep, F.coalesce("found", F.array().cast(schema["found"].dataType)).alias("found"))
+    return rows.where(F.size("adj") <= WHOLE).mapInArrow(run, schema).unionByName(rest) if keyed else rest
+
+
+def _least(shape: subgraphs.Shape, at: np.ndarray, features: list[np.ndarray], values: dict[str, np.ndarray], predict, epsilon: float, given: list[str]) -> tuple:
+    """Of the samples ``at``, all of one shape: rows, numbers of their sets, full predictions, predictions and differences of the least sufficient sets, and the sets."""
+    x, own = np.stack([features[i] for i in at]), {c: v[at] for c, v in values.items() if c not in given}
+    own |= {c: values[c][at] for c in given if c in own}
+    full = values[given[0]][at] if given else np.asarray(predict(udfs.stacked(x, np.ones((1, shape.atoms)), own)), float)
+    scores = np.zeros((len(at), len(shape.mask)))
+    step = max(1, min(STACKED // len(at), CELLS // max(x.size, 1)))
+    for a in range(0, len(shape.mask), step):
+        scores[:, a : a + step] = np.asarray(predict(udfs.stacked(x, shape.inside[a : a + step], own)), float).reshape(len(at), -1)
+    difference = np.abs(full[:, None] - scores)
+    row, one = shape.least(difference <= epsilon)
+    return at[row], one, full[row], scores[row, one], difference[row, one], shape.size[one], shape.parts[one], shape.paths[one]
+
+
+def _found(mols: subgraphs.Molecules, count: int, found: list[tuple], k: int | None) -> pa.ListArray:
+    """The explanations of a batch of ``count`` samples as a list of ``FOUND`` each, by rank, of the first ``k`` ranks if given."""
+    row, one, full, score, difference, size, parts, paths = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort([one, difference, size, row])
+    rank = np.arange(len(row)) - np.searchsorted(row[order], row[order]) + 1
+    order, rank = (order, rank) if k is None else (order[rank <= k], rank[rank <= k])
+    row, full, score, difference, size, parts, paths = (c[order] for c in (row, full, score, difference, size, parts, paths))
+    ends = lambda n: pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+    there, none = paths >= 0, np.iinfo(np.int64).max
+    ids = np.where(there, mols.ids[np.minimum(mols.first[row][:, None, None] + paths, len(mols.ids) - 1)], none)
+    ordered, length = np.sort(ids, axis=2), there.sum(axis=2)
+    lists = lambda x, n: pa.ListArray.from_arrays(ends(n), pa.array(x[np.arange(x.shape[1]) < n[:, None]].astype(np.int32)))
+    used = length > 0
+    components, by_path = (pa.ListArray.from_arrays(ends(parts), lists(x[used], length[used])) for x in (ordered, ids))
+    atoms = lists(np.sort(ids.reshape(len(row), 2 * subgraphs.KEYED), axis=1), size)
+    numbers = [pa.array(x.astype(t)) for x, t in ((parts, np.int32), (size, np.int32), (full, float), (score, float), (difference, float), (rank, np.int32))]
+    rows = pa.StructArray.from_arrays([atoms, components, by_path, *numbers], FOUND_NAMES)
+    return pa.ListArray.from_arrays(ends(np.bincount(row, minlength=count)), rows)
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """A row for each explanation of ``explain_whole``, with what else its sample carries."""
+    return df.select(*[c for c in df.columns if c != "found"], F.inline("found"))

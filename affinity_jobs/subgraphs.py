@@ -197,6 +197,74 @@ class Pairs:
         return mol, [whole, *nested, pa.array(np.repeat([1, 2], [single, pair]).astype(np.int32)), pa.array(size.astype(np.int32)), masks]
 
 
+#: Sets, at most (by the numbers of atoms), of the shapes whose sets are made together, and of those that a task keeps.
+BLOCK, HELD = 1 << 18, 1 << 20
+
+
+class Shape:
+    """The atom sets of all molecules of one shape, by size, parts and path: bitmaps of places, sizes, parts, and paths of two parts (-1 where none)."""
+
+    def __init__(self, atoms: int, mask: np.ndarray, size: np.ndarray, parts: np.ndarray, paths: np.ndarray):
+        self.atoms, self.mask, self.size, self.parts, self.paths = atoms, mask, size, parts, paths
+        self.inside = (mask[:, None] >> np.arange(atoms) & 1).astype(float)
+
+    def least(self, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and sets of ``enough`` (a row for each molecule, a column for each set) that have no smaller one of their row inside."""
+        row, one = np.nonzero(enough)
+        above = np.zeros((len(enough), 1 << self.atoms), bool)  # by bitmap: whether one of the sets is inside
+        above[row, self.mask[one]] = True
+        for b in range(self.atoms):
+            halves = above.reshape(len(enough), -1, 2, 1 << b)
+            halves[:, :, 1] |= halves[:, :, 0]
+        mask, smaller = self.mask[one], np.zeros(len(row), bool)
+        for b in range(self.atoms):
+            smaller |= (mask >> b & 1).astype(bool) & above[row, mask & ~(1 << b)]
+        return row[~smaller], one[~smaller]
+
+
+class Shapes:
+    """Molecules of up to 16 atoms by their shape, which is each atom's neighbours by place: those of one shape have the same sets."""
+
+    def __init__(self, max_subgraph: int, most: int):
+        self.sizes, self.known, self.held = (max_subgraph, most), {}, 0
+
+    def each(self, mols: Molecules, adj: pa.MapArray) -> Iterator[tuple[Shape, np.ndarray]]:
+        """Each shape of ``mols`` (made of ``adj``) and the rows that have it; a shape's sets are made once, and kept while there is room."""
+        width = int(mols.sizes.max(initial=0))
+        code = np.zeros((len(mols.sizes), width + 1), np.uint32)
+        code[:, 0] = mols.sizes
+        mol = np.repeat(np.arange(len(mols.sizes)), mols.sizes)
+        code[mol, 1 + np.arange(len(mol)) - np.repeat(np.cumsum(mols.sizes) - mols.sizes, mols.sizes)] = mols.near[:, 0]
+        kinds, first, group = np.unique(code, axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(group.ravel(), kind="stable")
+        rows = np.split(order, np.cumsum(np.bincount(group.ravel()))[:-1])
+        keys = [k[: 1 + k[0]].tobytes() for k in kinds]
+        fresh = np.array([i for i, key in enumerate(keys) if key not in self.known], np.int64)
+        for i, key in enumerate(keys):
+            if key in self.known:
+                yield self.known[key], rows[i]
+        room = np.cumsum(1 << kinds[fresh, 0].astype(np.int64)) // BLOCK
+        for some in np.split(fresh, np.flatnonzero(np.diff(room)) + 1):
+            for i, shape in zip(some, self.made(adj.take(pa.array(first[some]))) if len(some) else [], strict=True):
+                if self.held + len(shape.mask) <= HELD:
+                    self.known[keys[i]] = shape
+                    self.held += len(shape.mask)
+                yield shape, rows[i]
+
+    def made(self, adj: pa.MapArray) -> list[Shape]:
+        mols = Molecules(adj)
+        sets = Pairs(list(connected(mols, starts(mols), self.sizes[0])), self.sizes[1])
+        one, two = np.r_[sets.alone, sets.first], np.r_[np.full(len(sets.alone), -1), sets.second]
+        pair = two >= 0
+        order = np.lexsort([np.where(pair, sets.key[two], 0), sets.key[one], pair, sets.size[one] + np.where(pair, sets.size[two], 0), sets.mol[one]])
+        one, two, pair = one[order], two[order], pair[order]
+        mask = (sets.mask[one] | np.where(pair, sets.mask[two], U(0))).astype(np.int64)
+        paths = np.stack([sets.path[one], np.where(pair[:, None], sets.path[two], -1)], axis=1).astype(np.int8)
+        ends = np.searchsorted(sets.mol[one], np.arange(len(adj) + 1))
+        size = np.bitwise_count(mask).astype(np.int32)
+        return [Shape(int(n), mask[a:b], size[a:b], 1 + pair[a:b].astype(np.int32), paths[a:b]) for n, a, b in zip(mols.sizes, ends, ends[1:], strict=False)]
+
+
 def counts(count: int, parts: Iterator[Sets], most: int) -> tuple[np.ndarray, ...]:
     """Molecule, size, number of parts, combinations and different atom sets of ``count`` molecules of up to 40 atoms: single sets and disjoint pairs of up to ``most`` atoms."""
     found = [(p.mol, np.full(len(p), p.path.shape[1]), p.mask[:, 0].astype(np.int64)) for p in parts]

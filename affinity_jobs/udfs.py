@@ -65,6 +65,43 @@ def feature_rows(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(rows.flatten().to_numpy().astype(float).reshape(-1, wide[0]), ends[:-1])
 
 
+def values(column: pa.Array) -> np.ndarray:
+    """A field of samples: numbers as an array of numbers (a null as NaN), else objects."""
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), object)
+    for i, x in enumerate(column.to_pylist()):
+        out[i] = x
+    return out
+
+
+def stacked(features: np.ndarray, inside: np.ndarray, fields: dict[str, np.ndarray]) -> dict:
+    """Each sample masked to each set, one sample after the other: ``features`` of samples of as many atoms, ``inside`` has a row for each set."""
+    many, (sets, atoms), rest = len(features), inside.shape, features.shape[2:]
+    masked = features[:, None] * inside.reshape(1, sets, atoms, *[1] * len(rest))
+    mask = np.broadcast_to(inside, (many, sets, atoms)).reshape(-1, atoms)
+    return {c: np.repeat(x, sets, axis=0) for c, x in fields.items()} | {"features": masked.reshape(-1, atoms, *rest), "mask": mask}
+
+
+def of_samples(make_predict: Callable[[], Callable[[dict], np.ndarray]], fields: list[str]) -> Callable:
+    """A model of stacked samples as one of lists of samples, as ``score_masked`` takes it; those of as many atoms are stacked."""
+
+    def make():
+        predict = make_predict()
+
+        def run(rows: list[dict]) -> np.ndarray:
+            out, atoms = np.zeros(len(rows)), np.array([len(x["mask"]) for x in rows])
+            for n in np.unique(atoms):
+                at = np.flatnonzero(atoms == n)
+                given = {c: values(pa.array([rows[i][c] for i in at])) for c in fields}
+                out[at] = predict(given | {c: np.stack([rows[i][c] for i in at]) for c in ("features", "mask")})
+            return out
+
+        return run
+
+    return make
+
+
 def full_samples(full: pa.StructArray, features: str, ids: str | None) -> list[Sample]:
     names = full.type.names
     fields = {name: full.field(name).to_pylist() for name in names if name != features}
