@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode, explain, graphs, io, metrics, pairs, samples, targets, udfs
-from .queries import COMBOS, MOLECULES, SETS, line_tasks, molecules, table, whole_molecules
+from .queries import COMBOS, MOLECULES, SETS, line_span, line_tasks, molecules, table, whole_molecules
+from .queries import explained as whole_explained
 
 
 def kinase_features(spark, d) -> DataFrame:
@@ -187,18 +188,18 @@ def top_explanations(spark, d):
 def explanation_table(spark, d):
     """All explanations of orders as a table of 17 columns, written and read as CSV; sets are named by their line numbers."""
     path = io.shared_folder(spark, "explanations")
-    atoms, _ = molecules(spark, d)
-    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", "symbol"))), lambda x: x["symbol"]), "")
-    texts = atoms.groupBy(F.col("mol_id").alias("sample_id")).agg(letters.alias("full_smiles"))
+    letters = F.array_join(F.col("a.symbol"), "")
+    ranged = line_span(spark, d) <= explain.WHOLE  # no order is joined: all are explained where their lines meet
+    found = explain.listed(whole_explained(spark, d, "symbol", ranged=ranged).withColumn("full_smiles", letters).drop("a"))
     dots = lambda sets: F.transform(sets, lambda s: F.array_join(F.transform(s, lambda a: a.cast("string")), "."))
-    io.write_explanations(explain.explanation_table(explained(spark, d), texts, dataset="orders", model_name="share", fragments=dots), path)
+    io.write_explanations(explain.explanation_table(found, None, dataset="orders", model_name="share", fragments=dots, ranged=ranged), path)
     kinds = {"sample_index": "long"} | dict.fromkeys(["num_components", "size", "max_subgraph_size", "max_combination_size", "max_total_atoms"], "int")
     kinds |= dict.fromkeys(["full_prediction", "fragment_prediction", "difference", "epsilon"], "double")
     out = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in explain.TABLE)).csv(path, **io.CSV)
     parts = F.from_json("components", "array<array<int>>")
     return out.withColumns({
         **{c: F.round(c, 6) for c in ("full_prediction", "fragment_prediction", "difference")},
-        "components": F.to_json(F.array_sort(F.flatten(parts))), "component_smiles": F.size(F.from_json("component_smiles", "array<string>")),
+        "components": F.to_json(F.sort_array(F.flatten(parts))), "component_smiles": F.size(F.from_json("component_smiles", "array<string>")),
     })
 
 

@@ -255,7 +255,7 @@ def describe_atoms(df: DataFrame, atoms: DataFrame, key: str = "sample_id") -> D
 
 def output_columns(df: DataFrame) -> DataFrame:
     """List columns as JSON text, components sorted."""
-    return df.withColumns({"atom_indices": F.to_json(F.array_sort("atoms")), "components": F.to_json(F.transform("components", lambda c: F.array_sort(c)))})
+    return df.withColumns({"atom_indices": F.to_json(F.sort_array("atoms")), "components": F.to_json(F.transform("components", lambda c: F.sort_array(c)))})
 
 
 def explanation_table(df: DataFrame, samples: DataFrame | None, *, dataset: str, model_name: str, fragments=None, epsilon: float = EPSILON, max_subgraph: int = MAX_SUBGRAPH, max_combination: int = MAX_COMBINATION, max_total: int | None = MAX_TOTAL, ranged: bool = False) -> DataFrame:
@@ -266,17 +266,17 @@ def explanation_table(df: DataFrame, samples: DataFrame | None, *, dataset: str,
     sample that ``samples`` lacks have a null ``full_smiles``; of repeated rows the least counts. Without ``samples``, ``df`` has the
     texts. Rows ``ranged`` by sample, a range for each task, are only sorted within tasks.
     """
-    parts = F.transform("components", lambda c: F.array_sort(c))
-    sets = F.concat(F.array(F.array_sort("atoms")), parts)
+    parts = F.transform("components", lambda c: F.sort_array(c))
+    sets = F.concat(F.array(F.sort_array("atoms")), parts)
     named = F.lit(None).cast("array<string>") if fragments is None else fragments(F.col("_sets"))
     if samples is not None:
         df = df.join(large(samples.groupBy("sample_id").agg(F.min("full_smiles").alias("full_smiles"))), "sample_id", "left")
     order = ["sample_id", "size", "difference", "num_components", "paths"]
-    rows = df.withColumn("_sets", sets).withColumn("_names", named)
-    rows = rows.sortWithinPartitions(*order) if ranged else rows.orderBy(*order)
+    rows = df.sortWithinPartitions(*order) if ranged else df.orderBy(*order)  # before the texts are made
+    rows = rows.withColumn("_sets", sets).withColumn("_names", named)
     own = {
-        "sample_index": F.col("sample_id"), "fragment_smiles": F.get("_names", F.lit(0)), "atom_indices": F.to_json(F.array_sort("atoms")),
-        "components": F.to_json(parts), "fragment_prediction": F.col("prediction"), "epsilon": F.lit(epsilon).cast("double"), "max_subgraph_size": F.lit(max_subgraph),
+        "sample_index": F.col("sample_id"), "fragment_smiles": F.get("_names", F.lit(0)), "atom_indices": F.to_json(F.get("_sets", F.lit(0))),
+        "components": F.to_json(F.slice("_sets", 2, 1 << 30)), "fragment_prediction": F.col("prediction"), "epsilon": F.lit(epsilon).cast("double"), "max_subgraph_size": F.lit(max_subgraph),
         "dataset": F.lit(dataset), "model_name": F.lit(model_name), "max_combination_size": F.lit(max_combination),
         "max_total_atoms": F.lit(max_total).cast("int"), "component_smiles": F.to_json(F.slice("_names", 2, 1 << 30)),
     }

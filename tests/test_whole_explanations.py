@@ -1,6 +1,8 @@
 """Explanations made where a sample stands, against the joined path and SQL."""
 
+import csv
 import random
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from affinity_jobs import explain, graphs, queries, subgraphs, udfs
+from affinity_jobs import chain_queries, explain, graphs, io, queries, subgraphs, udfs
 from test_growth import plan
 from test_queries import rows
 
@@ -75,7 +77,8 @@ def odd_orders(spark, path):
 
 def same_as_sql(spark, path, name, query, sql):
     found, con = query(spark, str(path)), duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+    files = f"{path}/lineitem.parquet" + ("/*.parquet" if Path(f"{path}/lineitem.parquet").is_dir() else "")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{files}'")
     frame = con.sql(sql[name]).to_arrow_table()
     want = rows(frame.column_names, zip(*[c.to_pylist() for c in frame.columns], strict=True))
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == want
@@ -105,3 +108,25 @@ def test_shapes_are_made_once(monkeypatch):
     assert [len(list(full.each(subgraphs.Molecules(column), column))) for _ in range(2)] == [2, 2] and len(full.known) == 1
     enough = np.array([[m in (1, 3, 6, 7) for m in found[0, 1].mask]])
     assert sorted(found[0, 1].mask[found[0, 1].least(enough)[1]]) == [1, 6]
+
+
+def written(monkeypatch):
+    """The plans and paths of explanations that queries write."""
+    seen, real = [], io.write_explanations
+    monkeypatch.setattr(io, "write_explanations", lambda df, path, **more: seen.append((plan(df), path)) or real(df, path, **more))
+    return seen
+
+
+def test_the_table_is_in_order_without_a_sort_of_its_own(spark, tmp_path, monkeypatch):
+    seen = written(monkeypatch)
+    odd_orders(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "explanation_table", chain_queries.explanation_table, chain_queries.SQL)
+    same_as_sql(spark, DATA, "explanation_table", chain_queries.explanation_table, chain_queries.SQL)
+    found, path = seen[-1]
+    assert found.count("Exchange") == 1 and "Exchange rangepartitioning(l_orderkey" in found and "Join" not in found
+    parts = sorted(Path(path.removeprefix("file://")).glob("part-*.csv"))
+    keys = [(int(r["sample_index"]), int(r["size"]), float(r["difference"])) for part in parts for r in csv.DictReader(part.open(newline=""))]
+    assert len(parts) > 1 and keys == sorted(keys)
+    for _, other in seen[:1]:  # with an order of 17 lines, which is joined: rows are sorted once more
+        keys = [int(r["sample_index"]) for part in sorted(Path(other.removeprefix("file://")).glob("part-*.csv")) for r in csv.DictReader(part.open(newline=""))]
+        assert 53 in keys and keys == sorted(keys)
