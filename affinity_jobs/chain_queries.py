@@ -265,12 +265,11 @@ def matrix_csv(spark, d):
 
 def explanation_atoms(spark, d):
     """How many of an order's explanations an order line is in, with the order's price (optional fields that it lacks are left out)."""
-    atoms, _ = molecules(spark, d)
-    prices = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.sum(F.floor("l_extendedprice")).cast("long").alias("price"))
-    found = io.cut(explain.attach_target_fields(explained(spark, d), prices, ["price", "y"]), "found")
-    rows = atoms.select("mol_id", "atom_idx", "symbol", (F.col("weight") > 25).alias("is_aromatic"), F.lit(True).alias("in_ring"))
-    out = explain.describe_atoms(found, rows).groupBy("mol_id", "atom_idx", "symbol", "is_aromatic").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(io.large(found.select("mol_id", "price").distinct()), "mol_id")
+    found = whole_explained(spark, d, "symbol", "weight", "price")
+    price = F.when(F.exists("a", lambda x: x["price"].isNotNull()), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["price"], F.lit(0))))
+    lines = F.transform("a", lambda x: F.struct(x["atom_idx"].alias("atom_idx"), x["symbol"].alias("symbol"), (x["weight"] > 25).alias("is_aromatic"), F.lit(True).alias("in_ring")))
+    rows = explain.described(found.select("mol_id", lines.alias("a"), "found", price.alias("price")))
+    return rows.select("mol_id", "atom_idx", "symbol", "is_aromatic", "n", "price")
 
 
 def masked_samples(spark, d):

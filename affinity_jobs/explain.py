@@ -391,3 +391,11 @@ def _found(mols: subgraphs.Molecules, count: int, found: list[tuple], k: int | N
 def listed(df: DataFrame) -> DataFrame:
     """A row for each explanation of ``explain_whole``, with what else its sample carries."""
     return df.select(*[c for c in df.columns if c != "found"], F.inline("found"))
+
+
+def described(df: DataFrame) -> DataFrame:
+    """``describe_atoms`` of whole samples, counted: each atom of ``a`` that is in one of ``found``, its fields, and in how many (``n``)."""
+    sets = lambda x: F.size(F.filter("found", lambda f: F.array_contains(f["atoms"], x["atom_idx"].cast("int")))).cast("long")
+    atoms = F.transform("a", lambda x: F.struct(x.alias("x"), sets(x).alias("n")))
+    rows = df.where(F.size("found") > 0).select(*[c for c in df.columns if c not in ("a", "found")], F.inline(atoms)).where("n > 0")
+    return rows.select(*[c for c in rows.columns if c not in ("x", "n")], "x.*", "n")

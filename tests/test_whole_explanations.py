@@ -130,3 +130,21 @@ def test_the_table_is_in_order_without_a_sort_of_its_own(spark, tmp_path, monkey
     for _, other in seen[:1]:  # with an order of 17 lines, which is joined: rows are sorted once more
         keys = [int(r["sample_index"]) for part in sorted(Path(other.removeprefix("file://")).glob("part-*.csv")) for r in csv.DictReader(part.open(newline=""))]
         assert 53 in keys and keys == sorted(keys)
+
+
+def test_atoms_of_explanations_are_counted_in_their_rows(spark, samples, tmp_path):
+    found = plan(chain_queries.explanation_atoms(spark, DATA))
+    assert found.count("Exchange") == 1 and "Join" not in found
+    odd_orders(spark, tmp_path)
+    want = same_as_sql(spark, tmp_path, "explanation_atoms", chain_queries.explanation_atoms, chain_queries.SQL)
+    assert any(None in r for r in want)
+    entries = F.array_sort(F.map_keys("adj"))
+    atoms = F.transform(entries, lambda i: F.struct(i.alias("atom_idx"), F.lit("C").alias("symbol"), (i % 2 == 0).alias("is_aromatic"), (i > 30).alias("in_ring")))
+    some = samples.where("size(adj) < 17").withColumn("a", atoms)
+    whole = explain.explain_whole(some, model(), ["total", "text"], keep=("sample_id", "mol_id", "total", "a"), epsilon=0.3, most=16)
+    keys = ["sample_id", "mol_id", "total", "atom_idx", "symbol", "is_aromatic", "in_ring"]
+    own = explain.attach_target_fields(explain.listed(whole).drop("total", "a"), some, ["total", "y"])
+    joined = explain.describe_atoms(own, some.select("mol_id", F.inline("a")).distinct()).join(own.select("sample_id", "total").distinct(), "sample_id")
+    want = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    every = lambda df: sorted(tuple(r) for r in df.select(*keys, "n").collect())
+    assert every(explain.described(whole)) == every(want) != []
