@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encode, explain, graphs, io, metrics, pairs, samples, targets, udfs
-from .queries import COMBOS, MOLECULES, SETS, line_span, line_tasks, molecules, table, whole_molecules
-from .queries import explained as whole_explained
+from .queries import COMBOS, MOLECULES, SETS, explained, line_span, line_tasks, molecules, table, whole_molecules
 
 
 def kinase_features(spark, d) -> DataFrame:
@@ -139,21 +138,6 @@ def validation_choice(spark, d):
     return metrics.select_by_validation(rows, ["model"]).select("model", "epoch", "mse")
 
 
-def explained(spark, d, k: int | None = None) -> DataFrame:
-    """Explanations of orders by lines whose quantity is near the order's, both as a user's model has it from masked samples."""
-    atoms, bonds = molecules(spark, d)
-    adj = graphs.adjacency(atoms, graphs.arcs(bonds))
-    lists = F.sort_array(F.collect_list(F.struct("atom_idx", "weight")))
-    full = atoms.groupBy("mol_id").agg(lists.alias("w"), F.sum("weight").alias("total"))
-    features = F.transform("w", lambda x: F.array(x["weight"], F.lit(1.0)))
-    full = full.select(F.col("mol_id").alias("sample_id"), features.alias("features"), F.col("w.atom_idx").alias("ids"), "total")
-
-    def score(candidates: DataFrame) -> DataFrame:
-        return udfs.score_masked(candidates, full, lambda: lambda batch: [x["features"][:, 0].sum() / x["total"] for x in batch], ids="ids")
-
-    return explain.explain(atoms.select(F.col("mol_id").alias("sample_id"), "mol_id").distinct(), adj, score, k=k)
-
-
 def full_scores(spark, d):
     """A user's model over whole orders, and over the odd lines of each, from one copy of an order's features."""
     molecules = io.cut(whole_molecules(spark, d).select("mol_id", "a", "adj"), "molecules")
@@ -178,7 +162,9 @@ def embedding_passing(spark, d):
 def top_explanations(spark, d):
     """The three first explanations of each order, written and read as CSV: their rank, size and difference."""
     path = io.shared_folder(spark, "explanations")
-    io.write_explanations(explain.output_columns(explained(spark, d, k=3)).drop("atoms", "paths"), path)
+    found = explain.output_columns(explain.listed(explained(spark, d, k=3)))
+    columns = ["sample_id", "mol_id", "full_prediction", "components", "num_components", "size", "prediction", "difference", "rank", "atom_indices"]
+    io.write_explanations(found.select(*columns), path)
     numbers = "num_components int, size int, prediction double, difference double, rank int"
     text = spark.read.schema(f"sample_id long, mol_id long, full_prediction double, components string, {numbers}, atom_indices string").csv(path, header=True)
     sizes = F.size(F.from_json("atom_indices", "array<int>"))
@@ -190,7 +176,7 @@ def explanation_table(spark, d):
     path = io.shared_folder(spark, "explanations")
     letters = F.array_join(F.col("a.symbol"), "")
     ranged = line_span(spark, d) <= explain.WHOLE  # no order is joined: all are explained where their lines meet
-    found = explain.listed(whole_explained(spark, d, "symbol", ranged=ranged).withColumn("full_smiles", letters).drop("a"))
+    found = explain.listed(explained(spark, d, "symbol", ranged=ranged).withColumn("full_smiles", letters).drop("a"))
     dots = lambda sets: F.transform(sets, lambda s: F.array_join(F.transform(s, lambda a: a.cast("string")), "."))
     io.write_explanations(explain.explanation_table(found, None, dataset="orders", model_name="share", fragments=dots, ranged=ranged), path)
     kinds = {"sample_index": "long"} | dict.fromkeys(["num_components", "size", "max_subgraph_size", "max_combination_size", "max_total_atoms"], "int")
@@ -265,7 +251,7 @@ def matrix_csv(spark, d):
 
 def explanation_atoms(spark, d):
     """How many of an order's explanations an order line is in, with the order's price (optional fields that it lacks are left out)."""
-    found = whole_explained(spark, d, "symbol", "weight", "price")
+    found = explained(spark, d, "symbol", "weight", "price")
     price = F.when(F.exists("a", lambda x: x["price"].isNotNull()), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["price"], F.lit(0))))
     lines = F.transform("a", lambda x: F.struct(x["atom_idx"].alias("atom_idx"), x["symbol"].alias("symbol"), (x["weight"] > 25).alias("is_aromatic"), F.lit(True).alias("in_ring")))
     rows = explain.described(found.select("mol_id", lines.alias("a"), "found", price.alias("price")))

@@ -148,3 +148,14 @@ def test_atoms_of_explanations_are_counted_in_their_rows(spark, samples, tmp_pat
     want = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     every = lambda df: sorted(tuple(r) for r in df.select(*keys, "n").collect())
     assert every(explain.described(whole)) == every(want) != []
+
+
+def test_first_explanations_shuffle_lines_alone(spark, tmp_path, monkeypatch):
+    seen = written(monkeypatch)
+    odd_orders(spark, tmp_path)
+    same_as_sql(spark, tmp_path, "top_explanations", chain_queries.top_explanations, chain_queries.SQL)
+    same_as_sql(spark, DATA, "top_explanations", chain_queries.top_explanations, chain_queries.SQL)
+    found, path = seen[-1]
+    assert found.count("Exchange") == 1 and "Join" not in found and "Window" not in found
+    lines = [line for part in Path(path.removeprefix("file://")).glob("part-*.csv") for line in part.read_text().splitlines()]
+    assert {x for x in lines if x.startswith("sample_id")} == {"sample_id,mol_id,full_prediction,components,num_components,size,prediction,difference,rank,atom_indices"}
